@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import token_counts
+from panelspark.llm import hilbert_shards, license_scan, token_counts, url_filter
 from panelspark.llm.common import small_batches, table
 
 
@@ -17,11 +17,29 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards along the curve."""
+    return hilbert_shards.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license notices in all documents."""
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages judged by the standing rules."""
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
+OPERATORS = (op1_token_counts, op3_hilbert_shards, op4_license_scan, op7_url_filter)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> function of (spark, sf_dir)."""
-    return {f.__name__: f for f in (op1_token_counts,)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return {}
+    return {"op4_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle()}
