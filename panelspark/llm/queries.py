@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import hilbert_shards, license_scan, token_counts, url_filter
+from panelspark.llm import hilbert_shards, license_scan, substring_dedup, token_counts, url_filter
 from panelspark.llm.common import small_batches, table
 
 
@@ -17,6 +17,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that stand in windows of 35 found more than once."""
+    small_batches(spark)
+    return substring_dedup.dedup_report(table(spark, sf_dir, "documents"), window=35)
+
+
 def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards along the curve."""
     return hilbert_shards.shard_documents(table(spark, sf_dir, "documents"), shards=40)
@@ -32,7 +38,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
-OPERATORS = (op1_token_counts, op3_hilbert_shards, op4_license_scan, op7_url_filter)
+OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op7_url_filter)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
