@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import hilbert_shards, license_scan, substring_dedup, token_counts, url_filter
+from panelspark.llm import hilbert_shards, license_scan, simhash_dedup, substring_dedup, token_counts, url_filter
 from panelspark.llm.common import small_batches, table
 
 
@@ -38,7 +38,13 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
-OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op7_url_filter)
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by linked fingerprints of three-word shingles."""
+    small_batches(spark)
+    return simhash_dedup.group_documents(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
+OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op7_url_filter, op8_simhash_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
