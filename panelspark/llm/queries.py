@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import hilbert_shards, license_scan, simhash_dedup, substring_dedup, token_counts, url_filter
+from panelspark.llm import hilbert_shards, license_scan, quality_classifier, quality_rules, simhash_dedup, substring_dedup, token_counts, url_filter
 from panelspark.llm.common import small_batches, table
 
 
@@ -33,6 +33,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a classifier fitted on the labels that may be used."""
+    small_batches(spark)
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages judged by the standing rules."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
@@ -44,7 +50,12 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.group_documents(table(spark, sf_dir, "documents"), shingle=3, distance=2)
 
 
-OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op7_url_filter, op8_simhash_dedup)
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the base rules and their distance from their language."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op5_quality_classifier, op7_url_filter, op8_simhash_dedup, op9_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -54,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return {"op4_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle()}
+    return {"op4_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle(), "op9_quality_rules": quality_rules.oracle()}
