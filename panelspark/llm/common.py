@@ -50,3 +50,10 @@ def ascii_lower(text: Column) -> Column:
 def text_or_empty(name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(name), F.lit(""))
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id isn't in ``gone`` (null matches null); all columns stay."""
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"))
+    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
+    return packed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import hilbert_shards, license_scan, quality_classifier, quality_rules, simhash_dedup, substring_dedup, token_counts, url_filter
+from panelspark.llm import decontamination, hilbert_shards, license_scan, quality_classifier, quality_rules, simhash_dedup, substring_dedup, token_counts, url_filter
 from panelspark.llm.common import small_batches, table
 
 
@@ -55,7 +55,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op5_quality_classifier, op7_url_filter, op8_simhash_dedup, op9_quality_rules)
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the windows of 13 words that they share with the benchmark."""
+    return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op5_quality_classifier, op7_url_filter, op8_simhash_dedup, op9_quality_rules, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -65,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return {"op4_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle(), "op9_quality_rules": quality_rules.oracle()}
+    return {"op4_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle(), "op9_quality_rules": quality_rules.oracle(), "op10_decontamination": decontamination.oracle()}

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from panelspark.llm.common import written
+from panelspark.llm.common import without_ids, written
 from panelspark.llm.components import connected_components
 
 BITS = 64
@@ -216,5 +216,4 @@ def group_documents(docs: DataFrame, shingle: int = 3, distance: int = 2, parts:
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group."""
     grouped = group_documents(docs, shingle, distance)
-    gone = grouped.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return without_ids(docs, grouped.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -10,7 +10,7 @@ from panelspark.llm import quality_rules as qr
 rng = random.Random(2)
 TEXTS = [
     None, "", " \n ", "a b", "a b c", "a b c a b c", "x x x x x", "# $ 100% <b>|é|</b>\n\n# $ 100% <b>|é|</b>\n \n", "A\x0bB\x0cC\tD\rE", "\x1c \x85 \xa0é 漢 𐍈",
-    " ".join(rng.choice("abcdefghijkl") for _ in range(700)), "THE DOG!! " * 90, "the cat and the dog of " * 40, "the cat sat.\n" * 3, "w" * 5000,
+    " ".join(rng.choice("abcdefghijkl") for _ in range(700)), "THE DOG!! " * 90, "the cat and the dog of " * 40, "the cat sat.\n" * 3, "w" * 5000, " ".join(f"w{i}" for i in range(300)), " ".join(f"THE-{i}" for i in range(300)),
 ] + [" ".join(rng.choice(["the", "and", "cat", "tree", "of", "run", "sky", "x1"]) for _ in range(300)) for _ in range(20)]
 
 
