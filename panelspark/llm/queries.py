@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontamination, hilbert_shards, license_scan, quality_classifier, quality_rules, simhash_dedup, substring_dedup, token_counts, url_filter
+from panelspark.llm import decontamination, hilbert_shards, license_scan, nbest_pieces, quality_classifier, quality_rules, simhash_dedup, substring_dedup, token_counts, url_filter
 from panelspark.llm.common import small_batches, table
 
 
@@ -39,6 +39,12 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_nbest_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by the best and the four best segmentations."""
+    small_batches(spark)
+    return nbest_pieces.segment(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), n=4)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages judged by the standing rules."""
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
@@ -60,7 +66,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op5_quality_classifier, op7_url_filter, op8_simhash_dedup, op9_quality_rules, op10_decontamination)
+OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op5_quality_classifier, op6_nbest_pieces, op7_url_filter, op8_simhash_dedup, op9_quality_rules, op10_decontamination)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

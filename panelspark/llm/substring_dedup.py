@@ -42,6 +42,8 @@ BLOCK_CELLS = 1 << 22
 FLUSH_WINDOWS = 1 << 21
 #: Entries of one exact group of hash ranges, about.
 GROUP_WINDOWS = 1 << 21
+#: So many groups at least (a power of two of this), for all cores and an even growth.
+LEAST_GROUP_BITS = 6
 ROWS = 2
 
 
@@ -134,7 +136,7 @@ def repeated_positions(texts: DataFrame, window: int, max_cells: int) -> DataFra
     expected = max(1, total // 6)
     bits = max(BLOCK_CELLS.bit_length() - 1, min(expected.bit_length(), max_cells.bit_length() - 1))
     twice = spark.sparkContext.broadcast(merged_bits(sketches(texts, window, bits), bits))
-    group_bits = (expected // (2 * GROUP_WINDOWS)).bit_length()
+    group_bits = max(LEAST_GROUP_BITS, (expected // (2 * GROUP_WINDOWS)).bit_length())
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, held, count = twice.value, [], 0
