@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from panelspark.llm.word_hashes import mixed, run_hashes, word_hashes
 
 BLOCK_CELLS = 1 << 22
-#: Windows that a task holds before it sends them on.
-FLUSH_WINDOWS = 1 << 21
+#: Windows that a task holds before it sends them on: as sketches, as candidates.
+SKETCH_WINDOWS, FLUSH_WINDOWS = 1 << 20, 1 << 19
 #: Entries of one exact group of hash ranges, about.
-GROUP_WINDOWS = 1 << 21
+GROUP_WINDOWS = 1 << 19
 #: So many groups at least (a power of two of this), for all cores and an even growth.
 LEAST_GROUP_BITS = 6
 ROWS = 2
@@ -94,7 +94,7 @@ def sketches(docs: DataFrame, window: int, bits: int) -> DataFrame:
                 if len(hashes):
                     held.append(hashes)
                     count += len(hashes)
-                if count >= FLUSH_WINDOWS:
+                if count >= SKETCH_WINDOWS:
                     yield from flush()
                     held, count = [], 0
         yield from flush()
