@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.plans import panel_queries as q
+from panelspark.plans import panel_sql
+
+PLAIN = (
+    q.threshold_sharpe, q.threshold_sharpe_monthly, q.threshold_sharpe_daily, q.dense_returns, q.tail_returns, q.strategy_panel, q.static_rank_panel,
+    q.constant_long_panel, q.weighted_date_returns, q.selected_counts, q.autocorrelation, q.effective_size, q.hac_sharpe, q.bandwidth_sweep,
+    q.sharpe_effective_size, q.block_lengths, q.rolling_sharpe, q.bootstrap_summary, q.entity_bootstrap, q.romano_wolf, q.white_reality_check,
+    q.corrections, q.deflated_sharpe, q.permutation_draws, q.grouped_permutation, q.placebo, q.turnover, q.turnover_neutral, q.cost_sensitivity,
+    q.holdout_windows, q.nested_selection, q.walk_forward, q.capacity, q.row_boundary, q.candidate_gates, q.unfinished_work, q.uniform_counter,
+    q.kernel_bootstrap,
+)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> function of (spark, sf_dir)."""
-    return {}
+    found = {f.__name__: f for f in PLAIN}
+    return found | {f"bootstrap_{m}": q.bootstrap_draws(m) for m in ("iid", "moving_block", "stationary")}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return {}
+    return panel_sql.oracle()
