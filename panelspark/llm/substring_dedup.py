@@ -8,8 +8,8 @@ judged on the input.
    gaps of about a byte each, in blocks of ``BLOCK_CELLS`` cells. The blocks of all
    tasks are merged by Spark into one bit a cell: held twice or more. No count can be
    too low, so every repeated window is estimated repeated.
-2. The bits are broadcast. Their number is that of the expected windows, rounded up to a power of two, for each of two
-   rows, but never over ``max_cells`` (2 ** 29: 128 MB of bits in all). A second pass
+2. The bits are broadcast. Their number is twice that of the expected windows, rounded up to a power of two,
+   for each of two rows, but never over ``max_cells`` (2 ** 29: 128 MB of bits in all). A second pass
    hashes again and keeps only windows that both rows hold repeated.
 3. Those are grouped exactly by 96 bits of hash. A task sends one representative of a
    window however often it holds it (the others are settled where they are), so a
@@ -39,7 +39,7 @@ from panelspark.llm.word_hashes import mixed, run_hashes, word_hashes
 
 BLOCK_CELLS = 1 << 22
 #: Windows that a task holds before it sends them on: as sketches, as candidates.
-SKETCH_WINDOWS, FLUSH_WINDOWS = 1 << 20, 1 << 19
+SKETCH_WINDOWS, FLUSH_WINDOWS = 1 << 21, 1 << 19
 #: Entries of one exact group of hash ranges, about.
 GROUP_WINDOWS = 1 << 19
 #: So many groups at least (a power of two of this), for all cores and an even growth.
@@ -134,7 +134,7 @@ def repeated_positions(texts: DataFrame, window: int, max_cells: int) -> DataFra
     spark = texts.sparkSession
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = max(1, total // 6)
-    bits = max(BLOCK_CELLS.bit_length() - 1, min(expected.bit_length(), max_cells.bit_length() - 1))
+    bits = max(BLOCK_CELLS.bit_length() - 1, min(expected.bit_length() + 1, max_cells.bit_length() - 1))
     twice = spark.sparkContext.broadcast(merged_bits(sketches(texts, window, bits), bits))
     group_bits = max(LEAST_GROUP_BITS, (expected // (2 * GROUP_WINDOWS)).bit_length())
 
@@ -242,11 +242,10 @@ def remove_repeats(docs: DataFrame, window: int, max_cells: int) -> DataFrame:
     left, joined by one space; null if none was removed) and kept_sha256."""
     keyed = docs.select(
         F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-        F.col("text").alias("text"),
         F.xxhash64("doc_id").alias("id_hash"),
         F.xxhash64("text").alias("text_hash"),
     )
-    texts = keyed.filter(F.col("text").isNotNull()).select("id_hash", "text_hash", "text")
+    texts = keyed.filter(F.col("row.text").isNotNull()).select("id_hash", "text_hash", F.col("row.text").alias("text"))
     repeats = repeated_positions(texts, window, max_cells).groupBy("id_hash", "text_hash").agg(F.collect_list("places").alias("places"))
 
     @F.pandas_udf("n_words long, n_removed long, kept_text string, kept_sha256 string")
@@ -266,7 +265,7 @@ def remove_repeats(docs: DataFrame, window: int, max_cells: int) -> DataFrame:
             out.append((len(words), int((~keep).sum()), kept.decode(), hashlib.sha256(kept).hexdigest()))
         return pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text", "kept_sha256"])
 
-    return keyed.join(repeats, ["id_hash", "text_hash"], "left").select("row", cut("text", "places").alias("cut"))
+    return keyed.join(repeats, ["id_hash", "text_hash"], "left").select("row", cut("row.text", "places").alias("cut"))
 
 
 def dedup_report(docs: DataFrame, window: int = 35, max_cells: int = 1 << 29) -> DataFrame:
