@@ -15,7 +15,7 @@ PLAIN = (
     q.sharpe_effective_size, q.block_lengths, q.rolling_sharpe, q.bootstrap_summary, q.entity_bootstrap, q.romano_wolf, q.white_reality_check,
     q.corrections, q.deflated_sharpe, q.permutation_draws, q.grouped_permutation, q.placebo, q.turnover, q.turnover_neutral, q.cost_sensitivity,
     q.holdout_windows, q.nested_selection, q.walk_forward, q.capacity, q.row_boundary, q.candidate_gates, q.unfinished_work, q.uniform_counter,
-    q.kernel_bootstrap,
+    q.kernel_bootstrap, q.prewhitened_hac, q.sharpe_inflation,
 )
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelspark.functions.special import counter
-from panelspark.operators import aggregate, panel, portfolio, resample, series
+from panelspark.operators import aggregate, panel, portfolio, resample, robustness, series
 from panelspark.sources import panels
 
 THRESHOLDS = (0.0, 0.3, 0.5, 0.7, 0.9)
@@ -129,6 +129,21 @@ def bandwidth_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.bandwidth_sweep(ship_series(spark, sf_dir), WEEKS).drop("requested_lag"), 5)
 
 
+def prewhitened_hac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prewhitened HAC inference by threshold."""
+    found = robustness.prewhitened_hac(ship_series(spark, sf_dir), WEEKS)
+    return rounded(found.select("panel_id", "threshold", "n", "sharpe", "se", "z_statistic", "positive_p_value", "bandwidth"), 4)
+
+
+def sharpe_inflation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The HAC variance of the Sharpe ratio over that of pooled rows taken as independent."""
+    rows = ship_panel(spark, sf_dir).withColumn("threshold", F.explode(F.array(*map(F.lit, THRESHOLDS))))
+    place = F.col("t_idx").cast("long") * (1 << 31) + F.col("e_idx")
+    rows = rows.filter((F.col("conf") >= F.col("threshold")) & F.col("realised").isNotNull() & F.col("pred").isNotNull())
+    found = robustness.sharpe_inflation(ship_series(spark, sf_dir), rows.select("panel_id", "threshold", place.alias("u"), F.col("realised").alias("r")), WEEKS)
+    return rounded(found.withColumn("uvif_sr", F.round("uvif_sr", 4)), 5)
+
+
 def sharpe_effective_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sharpe-specific effective sample sizes."""
     return rounded(series.sharpe_effective_size(ship_series(spark, sf_dir), WEEKS), 4)

@@ -65,22 +65,52 @@ def acf(most: int) -> str:
 rho AS (SELECT tau, k, n, CASE WHEN k = 0 THEN 1.0 WHEN max(s) FILTER (k = 0) OVER (PARTITION BY tau) > 0 THEN s / max(s) FILTER (k = 0) OVER (PARTITION BY tau) ELSE 0 END AS rho FROM ac)"""
 
 
+def delta() -> str:
+    """CTE ``h`` of delta-method results from ``cov`` (n, mu, m2, bandwidth, s11, s12, s22)."""
+    half = normal_quantile(0.975)
+    return f"""g AS (SELECT *, greatest(m2 - mu * mu, 1e-16) AS vv FROM cov),
+g2 AS (SELECT *, sqrt(52.0::DOUBLE) * mu / sqrt(vv) AS sharpe, sqrt(52.0::DOUBLE) * m2 / pow(vv, 1.5) AS d1, -0.5 * sqrt(52.0::DOUBLE) * mu / pow(vv, 1.5) AS d2 FROM g),
+g3 AS (SELECT *, CASE WHEN n >= 5 THEN sqrt(greatest((d1 * d1 * s11 + 2 * d1 * d2 * s12 + d2 * d2 * s22) / n, 0)) END AS se FROM g2),
+g4 AS (SELECT *, sharpe / se AS z FROM g3),
+h AS (SELECT *, 1 - {normal_cdf_sql("z")} AS p, sharpe - {half} * se AS ci_lo, sharpe + {half} * se AS ci_hi FROM g4)"""
+
+
 def hac(widths: str, keys: str = "tau") -> str:
     """CTE ``h`` of delta-method results from ``widths`` (keys, bandwidth)."""
-    half = normal_quantile(0.975)
     return f"""wd AS ({widths}),
 lag AS (SELECT {", ".join("w." + k for k in keys.split(", "))}, least(bandwidth, a.n - 1) AS bandwidth, a.n, a.mu, a.m2,
   CASE WHEN k = 0 THEN 0.5 ELSE 1 - k / (least(bandwidth, a.n - 1) + 1.0::DOUBLE) END AS wt, a.x, a.y, b.x AS x2, b.y AS y2
   FROM c a JOIN wd w USING (tau) CROSS JOIN LATERAL (SELECT unnest(range(0, least(bandwidth, a.n - 1) + 1)) AS k) JOIN c b ON b.tau = a.tau AND b.u = a.u + k),
 cov AS (SELECT {keys}, any_value(n) AS n, any_value(mu) AS mu, any_value(m2) AS m2, any_value(bandwidth) AS bandwidth,
   sum(wt * 2 * x * x2) / any_value(n) AS s11, sum(wt * (x * y2 + y * x2)) / any_value(n) AS s12, sum(wt * 2 * y * y2) / any_value(n) AS s22 FROM lag GROUP BY {keys}),
-g AS (SELECT *, greatest(m2 - mu * mu, 1e-16) AS vv FROM cov),
-g2 AS (SELECT *, sqrt(52.0::DOUBLE) * mu / sqrt(vv) AS sharpe, sqrt(52.0::DOUBLE) * m2 / pow(vv, 1.5) AS d1, -0.5 * sqrt(52.0::DOUBLE) * mu / pow(vv, 1.5) AS d2 FROM g),
-g3 AS (SELECT *, CASE WHEN n >= 5 THEN sqrt(greatest((d1 * d1 * s11 + 2 * d1 * d2 * s12 + d2 * d2 * s22) / n, 0)) END AS se FROM g2),
-g4 AS (SELECT *, sharpe / se AS z FROM g3),
-h AS (SELECT *, 1 - {normal_cdf_sql("z")} AS p, sharpe - {half} * se AS ci_lo, sharpe + {half} * se AS ci_hi FROM g4)"""
-
-
+{delta()}"""
+
+
+ROOT = "pow((p11 + p22) / 2, 2) - (p11 * p22 - p12 * p21)"
+PREWHITE = f"""lg AS (SELECT *, lag(x) OVER o AS bx, lag(y) OVER o AS bq FROM c WHERE n >= 8 WINDOW o AS (PARTITION BY tau ORDER BY u)),
+su AS (SELECT tau, any_value(n) AS n, any_value(mu) AS mu, any_value(m2) AS m2, sum(bx * bx) AS a, sum(bx * bq) AS b, sum(bq * bq) AS d,
+  sum(x * bx) AS xx, sum(x * bq) AS xy, sum(y * bx) AS yx, sum(y * bq) AS yy FROM lg WHERE bx IS NOT NULL GROUP BY tau),
+ph AS (SELECT tau, n, mu, m2, (xx * d - xy * b) / (a * d - b * b) AS p11, (xy * a - xx * b) / (a * d - b * b) AS p12,
+  (yx * d - yy * b) / (a * d - b * b) AS p21, (yy * a - yx * b) / (a * d - b * b) AS p22 FROM su),
+ra AS (SELECT *, CASE WHEN {ROOT} >= 0 THEN abs((p11 + p22) / 2) + sqrt(greatest({ROOT}, 0)) ELSE sqrt(abs(p11 * p22 - p12 * p21)) END AS rad FROM ph),
+sh AS (SELECT tau, n, mu, m2, p11 * sc AS p11, p12 * sc AS p12, p21 * sc AS p21, p22 * sc AS p22 FROM (SELECT *, CASE WHEN rad >= 0.98 THEN 0.98 / rad ELSE 1 END AS sc FROM ra)),
+re AS (SELECT tau, u, x - p11 * bx - p12 * bq AS e, y - p21 * bx - p22 * bq AS q FROM lg JOIN sh USING (tau) WHERE bx IS NOT NULL),
+ce AS (SELECT tau, u, count(*) OVER p AS n, e - avg(e) OVER p AS x, q - avg(q) OVER p AS y FROM re WINDOW p AS (PARTITION BY tau)),
+fe AS (SELECT tau, any_value(n) AS n, greatest(-0.95, least(0.95, coalesce(sum(b * x) / nullif(sum(b * b), 0), 0))) AS rho FROM (SELECT *, lag(x) OVER (PARTITION BY tau ORDER BY u) AS b FROM ce) GROUP BY tau),
+we AS (SELECT tau, greatest(1, least(ceil(1.1447 * pow(greatest(4 * rho * rho / greatest(pow(1 - rho, 4), 1e-8) * n, 1.0), 1 / 3.0::DOUBLE)), greatest(1, n - 1)))::BIGINT AS bandwidth FROM fe),
+le AS (SELECT tau, bandwidth, a.n, CASE WHEN k = 0 THEN 0.5 ELSE 1 - k / (bandwidth + 1.0::DOUBLE) END AS wt, a.x, a.y, b.x AS x2, b.y AS y2
+  FROM ce a JOIN we USING (tau) CROSS JOIN LATERAL (SELECT unnest(range(0, bandwidth + 1)) AS k) JOIN ce b ON b.tau = a.tau AND b.u = a.u + k),
+om AS (SELECT tau, any_value(bandwidth) AS bandwidth, sum(wt * 2 * x * x2) / any_value(n) AS w11, sum(wt * (x * y2 + y * x2)) / any_value(n) AS w12, sum(wt * 2 * y * y2) / any_value(n) AS w22 FROM le GROUP BY tau),
+iv AS (SELECT *, (1 - p22) / dt AS a11, p12 / dt AS a12, p21 / dt AS a21, (1 - p11) / dt AS a22 FROM (SELECT *, (1 - p11) * (1 - p22) - p12 * p21 AS dt FROM sh)),
+cov AS (SELECT tau, n, mu, m2, bandwidth, a11 * a11 * w11 + 2 * a11 * a12 * w12 + a12 * a12 * w22 AS s11,
+  a11 * a21 * w11 + (a11 * a22 + a12 * a21) * w12 + a12 * a22 * w22 AS s12, a21 * a21 * w11 + 2 * a21 * a22 * w12 + a22 * a22 * w22 AS s22 FROM iv JOIN om USING (tau)),
+{delta()}"""
+HELD = """hd AS (SELECT tau, realised FROM pan CROSS JOIN thr WHERE conf >= tau AND realised IS NOT NULL),
+hm AS (SELECT tau, count(*) AS n, avg(realised) AS mu, avg(realised * realised) AS m2 FROM hd GROUP BY tau),
+hc AS (SELECT tau, any_value(n) AS n, any_value(mu) AS mu, any_value(m2) AS m2, avg(pow(realised - mu, 2)) AS s11,
+  avg((realised - mu) * (realised * realised - m2)) AS s12, avg(pow(realised * realised - m2, 2)) AS s22 FROM hd JOIN hm USING (tau) GROUP BY tau),
+hv AS (SELECT *, greatest(m2 - mu * mu, 1e-16) AS v FROM hc),
+hs AS (SELECT tau, sqrt((52.0::DOUBLE / pow(v, 3)) * (m2 * m2 * s11 - m2 * mu * s12 + 0.25 * mu * mu * s22) / n) AS se_rows FROM hv)"""
 AUTO = "SELECT tau, bandwidth FROM bw"
 BLOCKS = f"""{acf(1)},
 bl AS (SELECT tau, n, CASE WHEN n < 10 THEN greatest(1, n) ELSE greatest(1, least(ceil(pow(n::DOUBLE, 0.2) *
@@ -190,6 +220,8 @@ low AS (SELECT *, min(rho) OVER (PARTITION BY tau ORDER BY k) AS lo FROM rho WHE
 SELECT tau AS threshold, any_value(n) AS n, round(greatest(1.0, any_value(n) / (1 + 2 * coalesce(sum(rho) FILTER (k > 0 AND lo >= 0), 0))), 4) AS n_eff FROM low GROUP BY tau""",
         "hac_sharpe": f"""{hac_auto} SELECT tau AS threshold, n, round(sharpe, 5) AS sharpe, round(se, 5) AS se, round(ci_lo, 5) AS ci_lo, round(ci_hi, 5) AS ci_hi, round(z, 5) AS z_statistic,
   round(p, 5) AS positive_p_value, round(2 * least(p, 1 - p), 5) AS two_sided_p_value, round(mu, 5) AS mean_return, round(sqrt(greatest(s11, 0) / n), 5) AS mean_return_se, bandwidth FROM h""",
+        "prewhitened_hac": f"""{BASE}, {MOMENTS}, {PREWHITE} SELECT tau AS threshold, n, round(sharpe, 4) AS sharpe, round(se, 4) AS se, round(z, 4) AS z_statistic, round(p, 4) AS positive_p_value, bandwidth FROM h""",
+        "sharpe_inflation": f"""{hac_auto}, {HELD} SELECT tau AS threshold, round(se, 5) AS se_dates, round(se_rows, 5) AS se_rows, round(pow(se / nullif(se_rows, 0), 2), 4) AS uvif_sr FROM h JOIN hs USING (tau)""",
         "bandwidth_sweep": f"""{BASE}, {MOMENTS}, {BANDWIDTH},
 {hac("SELECT tau, 'auto' AS label, bandwidth FROM bw UNION ALL SELECT tau, l::VARCHAR, l FROM m CROSS JOIN (SELECT unnest([0, 1, 5, 10, 21, 63, 126]) AS l)", "tau, label")}
 SELECT tau AS threshold, label AS lag_label, bandwidth AS used_bandwidth, round(sharpe, 5) AS sharpe, round(se, 5) AS se, round(ci_lo, 5) AS ci_lo, round(ci_hi, 5) AS ci_hi, round(p, 5) AS positive_p_value FROM h""",
