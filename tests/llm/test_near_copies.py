@@ -86,3 +86,33 @@ def test_distance_follows_similarity():
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert nc.one_near_copy(docs).collect() == []
+
+
+def test_unrelated_short_texts_stay_apart(spark):
+    rng = random.Random(8)
+    word = lambda: "v%d" % rng.randrange(10**9)
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 7))) for _ in range(3000)]
+    for size in (30, 53, 58, 64):  # one word more at the end: 0.8 and more; every fifth changed: no shingle in common
+        base = [word() for _ in range(size)]
+        texts += [" ".join(base), " ".join([*base, word()]), " ".join(w if i % 5 else word() for i, w in enumerate(base))]
+    rows = list(enumerate(texts))
+    got = dict(map(tuple, nc.group_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {i: i - 1 if i >= 3000 and (i - 3000) % 3 == 1 else i for i, _ in rows}
+
+
+def test_exact_links_decide(spark):
+    """Pairs whose distance is taken as a link, but whose shingles are below the limit, stay apart."""
+    texts = spark.createDataFrame([(0, "a b c d e f g h"), (1, "a b c d e f g x"), (2, "a b c d e y z x")], "node long, text string")
+    close = spark.createDataFrame([(0, 1, 0), (1, 2, 5), (0, 2, 300)], "a long, b long, distance long")
+    none = spark.createDataFrame([], "a long, b long")
+    assert [tuple(r) for r in nc.verified_links(close, texts, none, 262, 5, 0.6).collect()] == [(0, 1)]
+    assert nc.verified_links(close, texts, none, 262, 5, 0.8).collect() == []
+
+
+def test_pairs_behind_a_failed_link_are_compared(spark):
+    prints = nc.wide_fingerprints([" ".join(f"w{i}" for i in range(100))] * 3, 5)
+    nodes = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(prints)], "node long, fingerprint array<long>")
+    tree = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
+    none = spark.createDataFrame([], "a long, b long")
+    assert {(r.a, r.b) for r in nc.split_pairs(nodes, tree, none, 10, 4096).collect()} == {(0, 1), (0, 2), (1, 2)}
+    assert {(r.a, r.b) for r in nc.split_pairs(nodes, tree, spark.createDataFrame([(0, 1)], none.schema), 10, 4096).collect()} == {(0, 2), (1, 2)}
