@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 #: Java patterns of the separators between words.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -52,8 +53,29 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id isn't in ``gone`` (null matches null); all columns stay."""
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"))
-    gone = gone.select(F.col("doc_id").alias("gone_id")).distinct()
-    return packed.join(gone, F.col("id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
+def row_hashes() -> list[Column]:
+    """id_hash and text_hash of a row: what tells rows apart where doc_id repeats or is null."""
+    return [F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash")]
+
+
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """``row`` (a struct of all columns), id_hash and text_hash of every row of ``docs``."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *row_hashes())
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id_hash and text_hash aren't both those of a row of ``gone``; all columns stay."""
+    gone = gone.select("id_hash", "text_hash").distinct()
+    return keyed_rows(docs).join(gone, ["id_hash", "text_hash"], "left_anti").select("row.*")
+
+
+def first_rows(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """One row of ``docs`` of each group: the ``first`` of ``grouped``, which has the id_hash and text_hash
+    of every row and of the first one of its group. All columns stay."""
+    first = (F.col("id_hash") == F.col("first.id_hash")) & (F.col("text_hash") == F.col("first.text_hash"))
+    kept = written(grouped.filter(first).groupBy("id_hash", "text_hash").agg(F.count(F.lit(1)).alias("copies")), "kept-rows")
+    found = keyed_rows(docs).join(kept, ["id_hash", "text_hash"])
+    # rows that are equal in both are told apart by a number; the others need none
+    equal = Window.partitionBy("id_hash", "text_hash").orderBy(F.xxhash64(F.to_json("row")))
+    repeated = found.filter("copies > 1").withColumn("nth", F.row_number().over(equal)).filter("nth = 1")
+    return found.filter("copies = 1").select("row.*").unionByName(repeated.select("row.*"))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import NON_WORD, ascii_lower, text_or_empty, without_ids, written
+from panelspark.llm.common import NON_WORD, ascii_lower, row_hashes, text_or_empty, without_rows, written
 
 
 def words_of(text: Column) -> Column:
@@ -158,8 +158,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id has no contaminated text."""
-    return without_ids(docs, find_contamination(docs, benchmark, window, gram).filter("contaminated"))
+    """The rows of ``docs`` whose text isn't contaminated, whatever other rows have their doc_id."""
+    keyed = docs.select(F.struct(*row_hashes()).alias("doc_id"), "text")
+    return without_rows(docs, find_contamination(keyed, benchmark, window, gram).filter("contaminated").select("doc_id.*"))
 
 
 def oracle(window: int = 13) -> str:

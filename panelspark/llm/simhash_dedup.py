@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from panelspark.llm.common import without_ids, written
+from panelspark.llm.common import first_rows, row_hashes, written
 from panelspark.llm.components import connected_components
 
 BITS = 64
@@ -200,20 +200,25 @@ def links(distinct: DataFrame, distance: int = 2, parts: int = 3, bucket: int =
     return pairs.unionByName(starred).distinct()
 
 
-def group_documents(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int = 3, bucket: int = 24) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row of ``docs``."""
-    marked = written(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fingerprint")), "fingerprints")
-    distinct = written(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_doc")), "distinct-fingerprints")
+def grouped_rows(docs: DataFrame, shingle: int, distance: int, parts: int = 3, bucket: int = 24) -> DataFrame:
+    """doc_id, id_hash, text_hash, fingerprint, and first (no_id, doc_id, id_hash, text_hash) of the
+    row with the smallest doc_id of its group, of every row of ``docs``."""
+    marked = written(docs.select("doc_id", *row_hashes(), fingerprint_column(F.col("text"), shingle).alias("fingerprint")), "fingerprints")
+    own_row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "id_hash", "text_hash")
+    distinct = written(marked.groupBy("fingerprint").agg(F.min(own_row).alias("own_first")), "distinct-fingerprints")
     roots = connected_components(links(distinct.select("fingerprint"), distance, parts, bucket))
     rooted = distinct.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
-    smallest = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    components = rooted.join(smallest, "root").select("fingerprint", "component_id")
-    return marked.join(components, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
+    smallest = rooted.groupBy("root").agg(F.min("own_first").alias("first"))
+    return marked.join(rooted.join(smallest, "root").select("fingerprint", "first"), "fingerprint")
+
+
+def group_documents(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int = 3, bucket: int = 24) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row of ``docs``."""
+    return grouped_rows(docs, shingle, distance, parts, bucket).select(
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), F.col("first.doc_id").alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, distance: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group."""
-    grouped = group_documents(docs, shingle, distance)
-    return without_ids(docs, grouped.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """One row of ``docs`` of each group, one with its smallest doc_id."""
+    return first_rows(docs, grouped_rows(docs, shingle, distance))

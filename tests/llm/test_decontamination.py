@@ -63,6 +63,13 @@ def test_stage_keeps_clean_documents(spark):
     assert kept == {i for i, t in enumerate(docs) if not plain(t, items)[-1]}
 
 
+def test_stage_keeps_clean_rows_under_the_same_id(spark):
+    items, docs = cases()
+    frame = spark.createDataFrame([(None if i % 2 else 7, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    kept = dc.without_contaminated(frame, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter((None if i % 2 else 7, t) for i, t in enumerate(docs) if not plain(t, items)[-1])
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

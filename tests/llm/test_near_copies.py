@@ -2,10 +2,13 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 
 from panelspark.llm import near_copies as nc
+from panelspark.llm import simhash_dedup as sh
+from panelspark.llm.substring_dedup import without_repeats
 
 
 def plain_shingles(text, n=5):
@@ -116,3 +119,16 @@ def test_pairs_behind_a_failed_link_are_compared(spark):
     none = spark.createDataFrame([], "a long, b long")
     assert {(r.a, r.b) for r in nc.split_pairs(nodes, tree, none, 10, 4096).collect()} == {(0, 1), (0, 2), (1, 2)}
     assert {(r.a, r.b) for r in nc.split_pairs(nodes, tree, spark.createDataFrame([(0, 1)], none.schema), 10, 4096).collect()} == {(0, 2), (1, 2)}
+
+
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("u%d" % rng.randrange(10**6) for _ in range(80))
+    same, a, b, c, d = (text() for _ in range(5))
+    rows = [(1, same), (1, same), (1, same), (None, same), (None, a), (None, b), (2, a + " x"), (3, c), (3, d), (3, d), (4, c), (None, None), (None, None)]
+    frame = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, row string").repartition(3)
+    want = Counter([(1, same, "s"), (None, b, "s"), (2, a + " x", "s"), (3, c, "s"), (3, d, "s"), (None, None, "s")])
+    kept = nc.one_near_copy(frame)
+    assert Counter(map(tuple, kept.collect())) == want
+    assert Counter(map(tuple, without_repeats(kept).collect())) == want
+    assert Counter(map(tuple, sh.one_of_each(frame.filter("text is null or doc_id = 1")).collect())) == Counter([(1, same, "s"), (None, None, "s")])
