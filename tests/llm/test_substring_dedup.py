@@ -66,6 +66,40 @@ def test_small_flushes_and_full_sketches_lose_nothing(monkeypatch):
     assert found == want
 
 
+def test_slices_lose_nothing(spark, monkeypatch):
+    """A sketch of a few cells, cut into slices, with small flushes, through Spark."""
+    rows = list(enumerate(texts()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sd.sketch_size(10**9, 35, 1 << 24) == (24, 64)
+    monkeypatch.setattr(sd, "sketch_size", lambda *_: (22, 4))
+    monkeypatch.setattr(sd, "cells_of", lambda hashes, row, bits: hashes % np.uint64(97))
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in sd.dedup_report(docs, 9).collect())
+    assert got == Counter((d, *p) for (d, _), p in zip(rows, plain([t for _, t in rows], 9), strict=True))
+
+
+def test_minimizers_of_equal_windows_are_equal(monkeypatch):
+    monkeypatch.setattr(sd, "PLACES_AT_ONCE", 64)
+    rng = np.random.default_rng(1)
+    words = rng.integers(0, 2**63, 40, dtype=np.uint64)[rng.integers(0, 40, 500)]
+    words[300:400] = words[50:150]
+    words[420:480] = words[420]
+    places, hashes, own = sd.minimizers(words, 9)
+    assert len(own) == 492 and (hashes == run_hashes(words, 4)[places]).all()
+    offset = places[own] - np.arange(492)
+    assert offset.min() >= 0 and offset.max() <= 5
+    assert (offset[300:392] == offset[50:142]).all() and (offset[420:472] == 0).all()
+    assert all(len(x) == 0 for x in sd.minimizers(words[:8], 9))
+
+
+def test_very_long_text(spark):
+    """A text of two million words that holds one passage twice, and another of a short text."""
+    long = [f"w{i}" for i in range(2_000_000)]
+    long[1_500_000:1_500_060] = long[100:160]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[5000:5040], "tail"])), (3, " ".join(long[:34]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in sd.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (2_000_000, 160), 2: (41, 40), 3: (34, 0)}
+
+
 def test_other_columns_and_untouched_texts_stay(spark):
     docs = spark.createDataFrame([(1, "a  b", 5), (2, "p q r s t", 6), (3, "x p q r s t", 7)], "doc_id long, text string, places int")
     got = {(r.doc_id, r.text, r.places) for r in sd.without_repeats(docs, 5).collect()}
