@@ -96,9 +96,10 @@ def bit_correlations(distinct: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def correlated_parts(correlation: np.ndarray, parts: int) -> list[list[int]]:
     """Deal the bits into parts of about equal size: each part starts with the most
     correlated pair left and takes the bit most correlated with it, again and again."""
-    left, out = set(range(BITS)), []
+    bits = len(correlation)
+    left, out = set(range(bits)), []
     for k in range(parts):
-        size = BITS * (k + 1) // parts - BITS * k // parts
+        size = bits * (k + 1) // parts - bits * k // parts
         pairs = [(correlation[i, j], -i, -j) for i, j in combinations(sorted(left), 2)]
         mine = [-x for x in max(pairs)[1:]] if size > 1 and pairs else [min(left)]
         left -= set(mine)

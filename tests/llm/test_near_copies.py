@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 
 from panelspark.llm import near_copies as nc
 from panelspark.llm import simhash_dedup as sh
@@ -62,17 +63,69 @@ def test_groups_equal_plain(spark):
     rows = [(None if i == 3 else i, t) for i, t in enumerate(corpus())]
     rows += [(7, rows[7][1]), (2000, rows[8][1])]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, node int").repartition(3)
-    got = {tuple(r) for r in nc.group_near_copies(docs).collect()}
-    want = plain_groups(rows)
-    assert len(got ^ want) <= 0.02 * len(want)  # candidates at just 0.8 meet with odds of 0.95
+    for room in (nc.ROOM, 8):  # the copies fill larger keys, which are cut into blocks of 8
+        got = {tuple(r) for r in nc.group_near_copies(docs, room=room).collect()}
+        want = plain_groups(rows)
+        assert {d for d, _ in got} == {d for d, _ in want}
+        whole = dict(want)
+        assert all(whole[d] == whole[c] for d, c in got if d is not None)  # nothing is merged wrongly
+        missed = [d for d, c in got if c != whole[d]]
+        assert len(missed) <= 0.02 * len(want)  # keys are shared with odds of 0.95 at just the limit
     assert {r.doc_id for r in nc.one_near_copy(docs).collect()} == {d for d, c in got if d == c}
 
 
-def test_crowded_keys_find_the_same(spark):
-    texts = corpus(copies=40, others=5)
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    wide = {tuple(r) for r in nc.group_near_copies(docs, bucket=1000).collect()}
-    assert {tuple(r) for r in nc.group_near_copies(docs, bucket=12).collect()} == wide
+def test_planted_pairs_are_found(spark):
+    """Pairs by similarity: at least 0.9 of those just above the limit, all of those well above; none below."""
+    rng = random.Random(11)
+    word = lambda: "k%d" % rng.randrange(10**6)
+    texts, similarity = [], []
+    for i in range(400):
+        words = [word() for _ in range(200)]
+        other = list(words)
+        for at in rng.sample(range(0, 195, 6), (2, 3, 4, 5)[i % 4]):
+            other[at + 2] = word()
+        a, b = plain_shingles(" ".join(words)), plain_shingles(" ".join(other))
+        similarity.append(len(a & b) / len(a | b))
+        texts += [" ".join(words), " ".join(other)]
+    got = dict(map(tuple, nc.group_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    found = [got[2 * i + 1] == 2 * i for i in range(400)]
+    share = lambda lo, hi: np.mean([f for f, s in zip(found, similarity, strict=True) if lo <= s < hi])
+    assert share(0.8, 0.84) >= 0.9 and share(0.84, 1.01) >= 0.98 and not any(f for f, s in zip(found, similarity, strict=True) if s < 0.8)
+    assert all(c in (d, d - 1) for d, c in got.items())
+
+
+def test_keys_follow_the_number_of_texts():
+    assert nc.key_bits(10) == nc.key_bits(2**20) == 26 and nc.key_bits(2**34) == 40
+    bits = nc.key_bits(1000)
+    keys = nc.keys_needed(bits, 0.8)
+    equal = (1 - nc.expected_distance(0.8) / nc.WIDTH) ** bits
+    assert 1 - (1 - equal) ** keys >= nc.RECALL > 1 - (1 - equal) ** (keys - 1)
+    groups = nc.dealt_groups(bits, keys, 3)
+    assert len(groups) * 3 >= keys and all(len(set(g)) == 3 * bits for g in groups)
+
+
+def test_keys_meet_whatever_tasks_hold():
+    """All pairs of small keys, and a path to the first node in larger ones, from sorted blocks of any tasks."""
+    rng = np.random.default_rng(4)
+    key = np.repeat(rng.integers(0, 2**26, 40), rng.integers(1, 30, 40))
+    node = rng.permutation(len(key)).astype(np.int64) + 2**40
+    blocks = []
+    for own in np.array_split(rng.permutation(len(key)), 3):
+        own = own[np.lexsort((node[own], key[own]))]
+        blocks.append(nc._key_block(5, key[own], node[own], 26, 2))
+    rows = pd.concat([nc._met(g) for _, g in pd.concat(blocks).groupby(["part", "grp"])])
+    members, pairs = rows[rows["kind"] == nc.MEMBER], {(a, b) for a, b in zip(rows["a"], rows["b"], strict=True) if b}
+    for k in set(key.tolist()):
+        own = sorted(node[key == k].tolist())
+        if len(own) <= nc.FEW:
+            assert all((a, b) in pairs for a in own for b in own if a < b)
+        else:
+            assert sorted(members["a"][members["key"] == k]) == own
+            reached = {own[0]}
+            for _ in own:
+                reached |= {x for p in pairs for x in p if reached & set(p)}
+            assert reached >= set(own)
+    assert (nc._unpacked(nc._packed(node)) == node).all()
 
 
 def test_distance_follows_similarity():
@@ -112,13 +165,16 @@ def test_exact_links_decide(spark):
     assert nc.verified_links(close, texts, none, 262, 5, 0.8).collect() == []
 
 
-def test_pairs_behind_a_failed_link_are_compared(spark):
-    prints = nc.wide_fingerprints([" ".join(f"w{i}" for i in range(100))] * 3, 5)
+def test_groups_of_one_key_are_compared(spark):
+    """Nodes that links leave apart meet in every block of their key."""
+    prints = nc.wide_fingerprints([" ".join(f"w{i}" for i in range(100))] * 12, 5)
     nodes = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(prints)], "node long, fingerprint array<long>")
-    tree = spark.createDataFrame([(0, 1), (0, 2)], "a long, b long")
-    none = spark.createDataFrame([], "a long, b long")
-    assert {(r.a, r.b) for r in nc.split_pairs(nodes, tree, none, 10, 4096).collect()} == {(0, 1), (0, 2), (1, 2)}
-    assert {(r.a, r.b) for r in nc.split_pairs(nodes, tree, spark.createDataFrame([(0, 1)], none.schema), 10, 4096).collect()} == {(0, 2), (1, 2)}
+    members = spark.createDataFrame([(0, 9, i) for i in range(12)] + [(1, 3, i) for i in range(4)], "part int, key long, node long")
+    roots = spark.createDataFrame([(i, 0) for i in range(1, 8)] + [(9, 8)], "node long, root long")
+    for room in (3, 100):
+        got = {(r.a, r.b) for r in nc.crossed_pairs(members, roots, nodes, 10, room).collect()}
+        group = [0] * 8 + [8, 8, 10, 11]
+        assert got == {(a, b) for a in range(12) for b in range(a + 1, 12) if group[a] != group[b]}
 
 
 def test_one_row_of_each_group_stays(spark):
