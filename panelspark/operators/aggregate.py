@@ -89,14 +89,14 @@ def selected_counts(panel: DataFrame, thresholds: tuple[float, ...]) -> DataFram
 
 
 def count_summary(counts: DataFrame) -> DataFrame:
-    """How many names were selected, over the dates with any."""
+    """How many names were selected, over the dates with any; least and most are 0 where there are none."""
     some = F.when(F.col("n") > 0, F.col("n"))
     quartiles = F.percentile(some, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     return (
         counts.groupBy(*KEYS)
         .agg(
             F.count(F.lit(1)).alias("n_dates"), F.count(some).alias("n_dates_selected"), F.sum("n").alias("n_predictions"),
-            F.avg(some).alias("avg_names"), F.min(some).alias("min_names"), quartiles.alias("q"), F.max(some).alias("max_names"),
+            F.avg(some).alias("avg_names"), F.coalesce(F.min(some), F.lit(0)).alias("min_names"), quartiles.alias("q"), F.coalesce(F.max(some), F.lit(0)).alias("max_names"),
         )
         .select(*KEYS, "n_dates", "n_dates_selected", "n_predictions", "avg_names", "min_names",
                 F.col("q")[0].alias("p25_names"), F.col("q")[1].alias("median_names"), F.col("q")[2].alias("p75_names"), "max_names")

@@ -4,8 +4,7 @@ RETURNS  panel_id, t_idx, date, e_idx, entity, ret
 PANEL    panel_id, t_idx, date, e_idx, entity, pred, realised, conf
 
 ``t_idx`` and ``e_idx`` are dense from 0. Missing is null, never NaN. Work along time is
-partitioned by (panel_id, e_idx), work across entities by (panel_id, t_idx): two
-exchanges, whatever the number of operators.
+partitioned by (panel_id, e_idx), work across entities by (panel_id, t_idx).
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from panelspark.functions.special import counter, finite, sign
 
 ALONG = ("panel_id", "e_idx")
 ACROSS = ("panel_id", "t_idx")
+SALTS = 64
 IDS = ("panel_id", "t_idx", "date", "e_idx", "entity")
 
 
@@ -32,7 +32,10 @@ def dense_grid(values: DataFrame) -> DataFrame:
     dates = dates.withColumn("t_idx", F.row_number().over(Window.partitionBy("panel_id").orderBy("date")) - 1)
     entities = values.select("panel_id", "entity").distinct()
     entities = entities.withColumn("e_idx", F.row_number().over(Window.partitionBy("panel_id").orderBy("entity")) - 1)
-    return dates.join(entities, "panel_id").join(values, ["panel_id", "date", "entity"], "left").select(*IDS, "value")
+    # dates are dealt to SALTS keys of each panel, so that its grid is built by as many tasks
+    salted = dates.withColumn("salt", F.pmod("t_idx", F.lit(SALTS)))
+    every = entities.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, ["panel_id", "salt"]).join(values, ["panel_id", "date", "entity"], "left").select(*IDS, "value")
 
 
 def simple_returns(grid: DataFrame) -> DataFrame:

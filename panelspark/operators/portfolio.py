@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.special import normal_cdf, normal_quantile, sign
-from panelspark.operators.aggregate import KEYS, sharpe_of, target_weights
-from panelspark.operators.resample import shape
+from panelspark.operators.aggregate import KEYS, date_returns, series_of, sharpe_of, target_weights
+from panelspark.operators.resample import bootstrap, inference, row_statistics, shape
+from panelspark.operators.series import hac_sharpe
+from panelspark.tables import written
 
 #: Liquidity tiers (label, daily volume in dollars, daily volatility, spread in basis points).
 TIERS = (("Large-cap ($200M ADV)", 200e6, 0.018, 5.0), ("Mid-cap ($50M ADV)", 50e6, 0.025, 10.0), ("Small-cap ($10M ADV)", 10e6, 0.035, 20.0))
@@ -17,26 +21,31 @@ AUM_MM = (1, 5, 10, 25, 50, 100, 250, 500)
 EULER_GAMMA = 0.5772156649015329
 
 
-def turnover(panel: DataFrame, thresholds: tuple[float, ...], exposure: str = "as_selected") -> DataFrame:
-    """Mean half-L1 turnover of adjacent dates with an active side, and its parts: rescaling of
-    positions that keep their side, and entries, exits and flips."""
+def daily_turnover(panel: DataFrame, thresholds: tuple[float, ...], exposure: str = "as_selected") -> DataFrame:
+    """Half-L1 turnover of each date against the one before: total, the part of positions that keep
+    their side, and whether either date has a position."""
     weights = target_weights(panel, thresholds, exposure)
     before = F.lag("weight").over(Window.partitionBy(*KEYS, "e_idx").orderBy("t_idx"))
     steps = weights.withColumn("before", before)
     move = F.abs(F.col("weight") - F.col("before"))
-    per_date = steps.groupBy(*KEYS, "t_idx").agg(
+    return steps.groupBy(*KEYS, "t_idx").agg(
         F.sum(0.5 * move).alias("total"),
         F.sum(F.when(F.col("weight") * F.col("before") > 0, 0.5 * move).otherwise(0.0)).alias("rescale"),
         (F.sum(F.abs("weight") + F.abs("before")) > 0).alias("active"),
     )
-    counted = per_date.filter(F.col("active") & (F.col("t_idx") > 0))
+
+
+def turnover(panel: DataFrame, thresholds: tuple[float, ...], exposure: str = "as_selected") -> DataFrame:
+    """Mean half-L1 turnover of adjacent dates with an active side, and its parts: rescaling of
+    positions that keep their side, and entries, exits and flips."""
+    per_date = daily_turnover(panel, thresholds, exposure)
+    there = F.col("active") & (F.col("t_idx") > 0)
     rest = F.greatest(F.col("total") - F.col("rescale"), F.lit(0.0))
-    found = counted.groupBy(*KEYS).agg(
-        F.avg("total").alias("daily_turnover"), F.avg("rescale").alias("turnover_rescale"), F.avg(rest).alias("turnover_entry_exit_flip"),
-        F.count(F.lit(1)).alias("n_turnover_pairs"),
+    mean = lambda c: F.coalesce(F.avg(F.when(there, c)), F.lit(0.0))
+    return per_date.groupBy(*KEYS).agg(
+        mean(F.col("total")).alias("daily_turnover"), mean(F.col("rescale")).alias("turnover_rescale"), mean(rest).alias("turnover_entry_exit_flip"),
+        F.count_if(there).alias("n_turnover_pairs"),
     )
-    every = weights.select(*KEYS).distinct().join(found, list(KEYS), "left")
-    return every.na.fill(0).select(*KEYS, "daily_turnover", "turnover_rescale", "turnover_entry_exit_flip", "n_turnover_pairs")
 
 
 def cost_sensitivity(dates: DataFrame, turnovers: DataFrame, annualise: float, bps: tuple[int, ...] = (0, 1, 5, 10, 25)) -> DataFrame:
@@ -65,45 +74,87 @@ def holdout_windows(dates: DataFrame, annualise: float, share: float = 0.7) -> D
     return rows.groupBy(*KEYS, "window", "start_idx", "end_idx").agg(sharpe_of(F.col("ret"), annualise).alias("sharpe"), F.count("ret").alias("n"))
 
 
+def day(column: Column | str) -> Column:
+    """A date as text."""
+    return F.date_format(column, "yyyy-MM-dd")
+
+
 def nested_selection(dates: DataFrame, annualise: float, folds: int = 5) -> DataFrame:
-    """For each expanding fold the threshold with the best Sharpe on the last 30 % of its
-    training dates (the first one wins ties), and that threshold's Sharpe out of sample."""
+    """For each expanding fold, from 1, the threshold with the best Sharpe on the last 30 % of its
+    training dates (the first one wins ties), and that threshold's Sharpe in and out of sample.
+
+    Training starts with a third of the dates; test windows are equal and at least one date long, and
+    dates that are left over belong to none."""
     n = dates.groupBy("panel_id").agg((F.max("t_idx") + 1).alias("dates"))
-    fold = n.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("first", F.expr("dates div 3"))
-    size = F.expr(f"(dates - first) div {folds}")
-    fold = fold.withColumn("train_end", F.col("first") + F.col("fold") * size)
-    fold = fold.withColumn("test_end", F.when(F.col("fold") == folds - 1, F.col("dates")).otherwise(F.col("train_end") + size))
-    fold = fold.withColumn("inner", F.floor(F.col("train_end") * 0.7).cast("int"))
-    rows = dates.join(fold.select("panel_id", "fold", "inner", "train_end", "test_end"), "panel_id")
-    inner = (F.col("t_idx") >= F.col("inner")) & (F.col("t_idx") < F.col("train_end"))
-    test = (F.col("t_idx") >= F.col("train_end")) & (F.col("t_idx") < F.col("test_end"))
-    scored = rows.groupBy(*KEYS, "fold", "train_end", "test_end").agg(
-        sharpe_of(F.when(inner, F.col("ret")), annualise).alias("inner_sharpe"),
-        sharpe_of(F.when(test, F.col("ret")), annualise).alias("oos_sharpe"),
-        F.count(F.when(test, F.col("ret"))).alias("n_oos"),
-    )
-    order = Window.partitionBy("panel_id", "fold").orderBy(F.desc("inner_sharpe"), "threshold")
+    fold = n.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds)))).withColumn("first", F.expr("dates div 3"))
+    size = F.greatest(F.lit(1), F.expr(f"(dates - first) div {folds}"))
+    fold = fold.withColumn("train_days", F.col("first") + (F.col("fold") - 1) * size)
+    fold = fold.withColumn("test_stop", F.least(F.col("train_days") + size, "dates")).filter("test_stop > train_days")
+    fold = fold.withColumn("inner", F.floor(F.col("train_days") * 0.7).cast("int"))
+    rows = dates.join(F.broadcast(fold.select("panel_id", "fold", "inner", "train_days", "test_stop")), "panel_id")
+    at, ret = F.col("t_idx"), F.col("ret")
+    train, test = at < F.col("train_days"), (at >= F.col("train_days")) & (at < F.col("test_stop"))
+    sharpe = lambda where: sharpe_of(F.when(where, ret), annualise)
+    scored = rows.groupBy(*KEYS, "fold", "train_days").agg(
+        sharpe(train & (at >= F.col("inner"))).alias("inner_val_sharpe"), sharpe(train).alias("is_sharpe"), sharpe(test).alias("oos_sharpe"),
+        F.count(F.when(test, ret)).alias("oos_n_valid"), day(F.min("date")).alias("train_start"), day(F.max(F.when(train, F.col("date")))).alias("train_end"),
+        day(F.min(F.when(test, F.col("date")))).alias("test_start"), day(F.max(F.when(test, F.col("date")))).alias("test_end"),
+    )
+    order = Window.partitionBy("panel_id", "fold").orderBy(F.desc("inner_val_sharpe"), "threshold")
     best = scored.withColumn("nth", F.row_number().over(order)).filter("nth = 1")
-    return best.select("panel_id", "fold", "train_end", "test_end", F.col("threshold").alias("chosen_threshold"), "inner_sharpe", "oos_sharpe", "n_oos")
+    return best.select(
+        "panel_id", "fold", "train_start", "train_end", "test_start", "test_end", F.col("threshold").alias("selected_threshold"),
+        "inner_val_sharpe", "is_sharpe", "oos_sharpe", "oos_n_valid",
+    )
+
+
+#: Half-spread, commission and impact in basis points a side: optimistic, moderate, pessimistic.
+COSTS = ((5.0, 1.0, 2.0), (10.0, 2.0, 5.0), (20.0, 5.0, 10.0))
+
+
+def round_trip(spread: float, commission: float, impact: float) -> float:
+    """The cost of getting in and out, in basis points."""
+    return 2 * (spread + commission + impact)
 
 
 def walk_forward(
-    dates: DataFrame, turnovers: DataFrame, annualise: float, folds: int = 5, round_trips: tuple[float, ...] = (5.0, 10.0, 20.0)
+    panel: DataFrame, thresholds: tuple[float, ...], annualise: float, draws: int, seed: int, folds: int = 5, costs: tuple[tuple[float, float, float], ...] = COSTS
 ) -> DataFrame:
-    """Out-of-sample Sharpe of consecutive test windows after 40 % of the dates, gross and net of
-    three round-trip costs; windows of ten dates or fewer, or returns, are left out."""
+    """Expanding folds, from 1, after 40 % of the dates: Sharpe in sample, and of the test window gross and
+    net of each cost, with the window's own turnover, the error of its mean and its block bootstrap.
+
+    Windows of ten dates or fewer end the folds; a threshold with fewer than ten returns in one is left out."""
+    dates = written(date_returns(panel, thresholds), "walk-dates")
     n = dates.groupBy("panel_id").agg((F.max("t_idx") + 1).alias("dates"))
-    fold = n.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("first", F.floor(F.col("dates") * 0.4).cast("int"))
+    fold = n.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(folds)))).withColumn("first", F.floor(F.col("dates") * 0.4).cast("int"))
     size = F.expr(f"(dates - first) div {folds}")
-    fold = fold.withColumn("start_idx", F.col("first") + F.col("fold") * size).withColumn("end_idx", F.col("start_idx") + size)
-    fold = fold.filter(F.col("end_idx") - F.col("start_idx") > 10).select("panel_id", "fold", "start_idx", "end_idx")
-    rows = dates.join(fold, "panel_id").filter("t_idx >= start_idx and t_idx < end_idx")
-    stats = rows.groupBy(*KEYS, "fold", "start_idx", "end_idx").agg(
-        F.count("ret").alias("n"), F.avg("ret").alias("mean"), F.stddev_samp("ret").alias("sd"), sharpe_of(F.col("ret"), annualise).alias("gross_sharpe")
-    )
-    rows = stats.filter("n >= 10").join(turnovers.select(*KEYS, "daily_turnover"), list(KEYS)).withColumn("round_trip_bps", F.explode(F.array(*map(F.lit, round_trips))))
-    net = F.when(F.col("sd") > 0, (F.col("mean") - F.col("daily_turnover") * F.col("round_trip_bps") / 1e4) / F.col("sd") * annualise**0.5)
-    return rows.select(*KEYS, "fold", "start_idx", "end_idx", "n", "gross_sharpe", "round_trip_bps", F.coalesce(net, F.lit(0.0)).alias("net_sharpe"))
+    fold = fold.withColumn("start", F.col("first") + (F.col("fold") - 1) * size).withColumn("stop", F.least(F.col("start") + size, "dates"))
+    fold = F.broadcast(fold.filter("stop - start > 10").select("panel_id", "fold", "start", "stop"))
+    keys = (*KEYS, "fold")
+    at, ret = F.col("t_idx"), F.col("ret")
+    train, test = at < F.col("start"), (at >= F.col("start")) & (at < F.col("stop"))
+    rows = dates.join(fold, "panel_id")
+    date = lambda where, pick: day(pick(F.when(where, F.col("date"))))
+    stats = rows.groupBy(*keys).agg(
+        date(train, F.min).alias("train_start"), date(train, F.max).alias("train_end"), date(test, F.min).alias("test_start"), date(test, F.max).alias("test_end"),
+        F.count_if(train).alias("train_days"), F.count_if(test).alias("test_days"), sharpe_of(F.when(train, ret), annualise).alias("is_sharpe"),
+        F.count(F.when(test, ret)).alias("n"), F.avg(F.when(test, ret)).alias("mean"), F.stddev_samp(F.when(test, ret)).alias("sd"),
+    ).filter("n >= 10")
+    moves = daily_turnover(panel, thresholds).join(fold, "panel_id").filter((at > F.col("start")) & (at < F.col("stop")) & F.col("active"))
+    moves = moves.groupBy(*keys).agg(F.avg("total").alias("moved"))
+    series = written(series_of(rows.filter(test & ret.isNotNull()).join(stats.select(*keys), list(keys), "left_semi"), keys), "walk-series")
+    record = inference(series, bootstrap(series, "moving_block", draws, seed - 1, annualise, keys, "fold"), annualise, keys)
+    error = hac_sharpe(series, annualise, keys=keys).select(*keys, F.col("mean_return_se").alias("nw_se_daily"))
+    record = record.select(*keys, F.col("ci_lo").alias("oos_ci_lo"), F.col("ci_hi").alias("oos_ci_hi"), F.col("positive_p_value").alias("oos_p_value"), F.col("n_eff").alias("oos_n_effective"))
+    out = stats.join(record, list(keys)).join(error, list(keys)).join(moves, list(keys), "left").withColumn("daily_turnover", F.coalesce("moved", F.lit(0.0)))
+    sharpe = lambda mean: F.coalesce(F.when(F.col("sd") > 0, mean / F.col("sd") * annualise**0.5), F.lit(0.0))
+    net = {round_trip(*c): F.col("mean") - F.col("daily_turnover") * (round_trip(*c) / 1e4) for c in costs}
+    return out.select(
+        *keys, "train_start", "train_end", "test_start", "test_end", "train_days", "test_days", "is_sharpe", sharpe(F.col("mean")).alias("oos_sharpe_gross"),
+        (F.col("mean") * annualise).alias("oos_ann_ret_gross"), (F.col("sd") * annualise**0.5).alias("oos_ann_vol"), "oos_ci_lo", "oos_ci_hi", "oos_p_value",
+        "oos_n_effective", "nw_se_daily", "daily_turnover",
+        *(sharpe(m).alias(f"oos_sharpe_net_{bps:.0f}bps") for bps, m in net.items()), *((m * annualise).alias(f"oos_ann_ret_net_{bps:.0f}bps") for bps, m in net.items()),
+    )
 
 
 def capacity(panel: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
@@ -129,13 +180,45 @@ def capacity(panel: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     )
 
 
-def same_date_correlation(panel: DataFrame, thresholds: tuple[float, ...], least: int = 10) -> DataFrame:
-    """Mean correlation of the selected returns of pairs of entities with ``least`` common dates."""
-    rows = panel.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    held = rows.filter((F.col("conf") >= F.col("threshold")) & F.col("pred").isNotNull()).select(*KEYS, "t_idx", "e_idx", "realised").dropna()
-    other = held.select(*KEYS, "t_idx", F.col("e_idx").alias("e2"), F.col("realised").alias("r2"))
-    pairs = held.join(other, [*KEYS, "t_idx"]).filter("e_idx < e2").groupBy(*KEYS, "e_idx", "e2").agg(F.count(F.lit(1)).alias("n"), F.corr("realised", "r2").alias("c"))
-    rho = pairs.filter(F.col("n") >= least).groupBy(*KEYS).agg(F.avg(F.when(~F.isnan("c"), F.col("c"))).alias("rho_same_date"))
+def same_date_correlation(panel: DataFrame, thresholds: tuple[float, ...], least: int = 10, block: int = 256) -> DataFrame:
+    """Mean correlation of the selected returns of pairs of entities with ``least`` common dates.
+
+    Entities go in blocks of so many; a task has two blocks, an array of its dates for each entity, and
+    returns how many pairs it has and the sum of their correlations, for all thresholds."""
+    cell = F.struct("t_idx", "realised", "conf")
+    cells = panel.filter(F.col("realised").isNotNull() & F.col("conf").isNotNull() & F.col("pred").isNotNull())
+    entities = cells.groupBy("panel_id", "e_idx").agg(F.collect_list(cell).alias("cells")).withColumn("own", F.expr(f"e_idx div {block}"))
+    last = panel.groupBy("panel_id").agg(F.expr(f"max(e_idx) div {block}").alias("last"), F.max("t_idx").alias("t_last"))
+    other = F.explode(F.sequence(F.lit(0), "last"))
+    sent = entities.join(F.broadcast(last), "panel_id").withColumn("other", other)
+    sent = sent.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
+
+    def matrix(rows: pd.DataFrame, dates: int) -> tuple[np.ndarray, np.ndarray]:
+        value, conf = (np.full((len(rows), dates), np.nan) for _ in range(2))
+        for i, own in enumerate(rows["cells"]):
+            for c in own:
+                value[i, c["t_idx"]], conf[i, c["t_idx"]] = c["realised"], c["conf"]
+        return value, conf
+
+    def pairs(group: pd.DataFrame) -> pd.DataFrame:
+        low, high, dates = int(group["low"].iloc[0]), int(group["high"].iloc[0]), int(group["t_last"].iloc[0]) + 1
+        (a, conf_a), (b, conf_b) = (matrix(group[group["own"] == k].sort_values("e_idx"), dates) for k in (low, high))
+        out = []
+        for threshold in thresholds:
+            in_a, in_b = (np.nan_to_num(c, nan=-np.inf) >= threshold for c in (conf_a, conf_b))
+            x, y, mx, my = np.where(in_a, a, 0.0), np.where(in_b, b, 0.0), in_a.astype(float), in_b.astype(float)
+            n, sx, sy, sxy, sxx, syy = mx @ my.T, x @ my.T, mx @ y.T, x @ y.T, (x * x) @ my.T, mx @ (y * y).T
+            with np.errstate(invalid="ignore", divide="ignore"):
+                vx, vy = sxx - sx * sx / n, syy - sy * sy / n
+                c = (sxy - sx * sy / n) / np.sqrt(vx * vy)
+                there = (n >= least) & (vx > 1e-14 * sxx) & (vy > 1e-14 * syy) & np.isfinite(c)
+            if low == high:
+                there &= np.triu(np.ones_like(there), 1)
+            out.append((group["panel_id"].iloc[0], threshold, int(there.sum()), float(c[there].sum())))
+        return pd.DataFrame(out, columns=["panel_id", "threshold", "n", "s"])
+
+    found = sent.groupBy("panel_id", "low", "high").applyInPandas(pairs, "panel_id string, threshold double, n long, s double")
+    rho = found.groupBy(*KEYS).agg(F.try_divide(F.sum("s"), F.sum("n").cast("double")).alias("rho_same_date"))
     return panel.select("panel_id").distinct().withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds)))).join(rho, list(KEYS), "left")
 
 
@@ -154,9 +237,11 @@ def deflated_sharpe(series: DataFrame, trials: int, annualise: float) -> DataFra
     root, sr = F.sqrt(F.col("n") - 1.0), F.col("sr")
     rows = rows.withColumn("star", F.lit(star) / root).withColumn("spread", 1 - F.col("skew") * sr + (F.col("kurtosis") - 1) / 4 * sr * sr)
     z = (sr - F.col("star")) * root / F.sqrt("spread")
+    enough = F.col("n") >= 5
     return rows.select(
-        *KEYS, F.when((F.col("n") >= 5) & (F.col("spread") > 0), normal_cdf(z)).alias("dsr"), (F.col("star") * annualise**0.5).alias("sr_star"), "skew", "kurtosis"
-    )
+        *KEYS, F.when(enough & (F.col("spread") > 0), normal_cdf(z)).alias("dsr"), F.when(enough, F.col("star") * annualise**0.5).alias("sr_star"),
+        F.when(enough, F.col("skew")).alias("skew"), F.when(enough, F.col("kurtosis")).alias("kurtosis"),
+    )
 
 
 def order_size_bound(facts: DataFrame, volume: float, impact: float, z: float) -> DataFrame:
@@ -168,17 +253,46 @@ def order_size_bound(facts: DataFrame, volume: float, impact: float, z: float) -
     return facts.withColumn("order_size", F.when(edge > 0, bound).otherwise(0.0))
 
 
+def row_boundary(
+    panel: DataFrame, dates: DataFrame, thresholds: tuple[float, ...], annualise: float, menu: DataFrame | None = None
+) -> DataFrame:
+    """Pooled-row inference beside the date's: row t and p, same-date correlation and its design effect,
+    HAC z and p, and the menu's p_adjusted (of ``menu``, if given).
+
+    A panel of one entity, and one with fewer than three rows or dates, has a status and no figures."""
+    entities = panel.groupBy("panel_id").agg(F.countDistinct("e_idx").alias("entities"))
+    counts = dates.groupBy(*KEYS).agg(F.count("ret").alias("n_dates"), F.avg(F.when(F.col("n_sel") > 0, F.col("n_sel"))).alias("avg_names"), F.sum("n_sel").alias("n_rows"))
+    hac = hac_sharpe(series_of(dates), annualise).select(*KEYS, F.col("z_statistic").alias("date_hac_z"), F.col("positive_p_value").alias("hac_p_positive"))
+    rows = row_statistics(panel, thresholds, annualise).drop("n_rows")
+    found = counts.join(F.broadcast(entities), "panel_id").join(rows, list(KEYS), "left").join(same_date_correlation(panel, thresholds), list(KEYS), "left").join(hac, list(KEYS), "left")
+    romano_wolf_p = F.lit(None).cast("double")
+    if menu is not None:
+        found, romano_wolf_p = found.join(menu.select(*KEYS, "p_adjusted"), list(KEYS), "left"), F.col("p_adjusted")
+    status = (
+        F.when(F.col("entities") < 2, "not_applicable_single_series")
+        .when((F.col("n_rows") < 3) | (F.col("n_dates") < 3), "insufficient_observations")
+        .otherwise("ok")
+    )
+    found = found.withColumn("status", status).withColumn("trading_moulton_factor", moulton(F.col("avg_names"), F.col("rho_same_date")))
+    of = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
+    figures = ("rho_same_date", "trading_moulton_factor", "row_t_stat", "date_hac_z", "row_p_positive", "hac_p_positive")
+    return found.select(*KEYS, "n_rows", "n_dates", "avg_names", *map(of, figures), romano_wolf_p.alias("romano_wolf_p"), "status")
+
+
 CHECKS = ("holdout_positive", "hac", "romano_wolf", "informative", "permutation", "alpha", "net_5bps", "quarters")
 
 
 def gates(facts: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """The eight checks, and whether all pass; applicable drops the permutation checks where the
-    null is uninformative. Missing p-values fail; a missing alpha passes (no factors)."""
+    """The eight checks, and whether all pass; applicable drops the permutation checks where the null is
+    uninformative. Missing p-values fail; a panel without factors (alpha_status isn't ok) passes that check."""
     ok = lambda c: F.coalesce(c, F.lit(False))
+    informative = ok(F.col("permutation_informative")) & F.col("permutation_p").isNotNull()
+    no_factors = ~ok(F.col("alpha_status") == "ok")
     checks = {
         "holdout_positive": ok(F.col("holdout_sharpe") > 0), "hac": ok(F.col("hac_p") <= alpha), "romano_wolf": ok(F.col("romano_wolf_p") <= alpha),
-        "informative": ok(F.col("permutation_informative")), "permutation": ok(F.col("permutation_p") <= alpha),
-        "alpha": F.coalesce(F.col("alpha_p") <= alpha, F.lit(True)), "net_5bps": ok(F.col("net_sharpe_5bps") > 0), "quarters": ok(F.col("positive_quarters") >= 3),
+        "informative": informative, "permutation": informative & ok(F.col("permutation_p") <= alpha),
+        "alpha": no_factors | ok((F.col("alpha_period") > 0) & (F.col("alpha_p") <= alpha)),
+        "net_5bps": ok(F.col("net_sharpe_5bps") > 0), "quarters": ok(F.col("positive_quarters") >= 3),
     }
     named = facts.withColumns({f"passes_{k}": v for k, v in checks.items()})
     passes = {k: F.col(f"passes_{k}") for k in CHECKS}
@@ -188,29 +302,60 @@ def gates(facts: DataFrame, alpha: float = 0.05) -> DataFrame:
 
 
 def gate_sensitivity(facts: DataFrame, alphas: tuple[float, ...] = (0.05, 0.01)) -> DataFrame:
-    """The five-check rule at several levels: HAC, bootstrap, Romano-Wolf, permutation and costs."""
+    """The five-check rule at several levels: HAC, bootstrap, Romano-Wolf, permutation and costs.
+
+    A row whose status isn't ok (a candidate that failed or is missing) stays, with neither rule passed
+    and its other checks unknown."""
     rows = facts.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    there = F.col("status") == "ok"
     under = lambda c: F.coalesce(F.col(c) <= F.col("alpha"), F.lit(False))
+    informative = F.coalesce(F.col("permutation_informative"), F.lit(False))
     rows = rows.withColumns({
         "passes_hac": under("hac_p"), "passes_bootstrap": under("bootstrap_p"), "passes_romano_wolf": under("romano_wolf_p"),
-        "passes_permutation": under("permutation_p"), "passes_net_5bps": F.coalesce(F.col("net_sharpe_5bps") > 0, F.lit(False)),
+        "passes_permutation": informative & under("permutation_p"), "passes_net_5bps": F.coalesce(F.col("net_sharpe_5bps") > 0, F.lit(False)),
     })
     base = F.col("passes_hac") & F.col("passes_bootstrap") & F.col("passes_romano_wolf") & F.col("passes_net_5bps")
-    informative = F.coalesce(F.col("permutation_informative"), F.lit(False))
-    return rows.withColumn("passes_all", base & F.col("passes_permutation")).withColumn("passes_applicable", base & (F.col("passes_permutation") | ~informative))
+    rows = rows.withColumn("passes_all", there & base & informative & F.col("passes_permutation"))
+    rows = rows.withColumn("passes_applicable", there & base & (F.col("passes_permutation") | ~informative))
+    rows = rows.withColumn("permutation_status", F.when(there, F.col("permutation_status")).otherwise(F.col("status")))
+    rows = rows.withColumn("permutation_informative", there & informative)
+    return rows.withColumns({c: F.when(there, F.col(c)) for c in ("passes_hac", "passes_bootstrap", "passes_romano_wolf", "passes_permutation", "passes_net_5bps")})
+
+
+def gate_counts(sensitivity: DataFrame) -> DataFrame:
+    """At each level, how many candidates there are and how many pass either rule."""
+    return sensitivity.groupBy("alpha").agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if("passes_all").alias("n_full_passes"), F.count_if("passes_applicable").alias("n_applicable_passes")
+    )
+
+
+#: The texts of a status.
+FULL = "Passes full evaluation"
+UNINFORMATIVE = "Permutation uninformative; remaining applicable checks pass"
+PERMUTATION_FAILS = "Fails permutation check"
+BOTH_FAIL = "Fails statistical and cost checks"
+COST_FAILS = "Fails cost check"
+OTHERWISE = "Does not pass full evaluation"
 
 
 def status_label(gated: DataFrame) -> DataFrame:
-    """A line of text for each gated row; the first rule that fits."""
+    """audit_p, the largest p-value of the date level (the permutation's if it is informative), and status_label,
+    a line of text for each gated row: the first rule that fits.
+
+    A row whose pooled rows look significant though the dates don't is the one that the evaluation is there to catch."""
+    own = F.when(F.coalesce("permutation_informative", F.lit(False)), F.col("permutation_p"))
+    audit = F.greatest("hac_p", "romano_wolf_p", own)
+    known = lambda c: F.coalesce(c, F.lit(False))
+    statistics, cost = known(audit > 0.05), known(F.col("net_sharpe_5bps") <= 0)
     label = (
-        F.when(F.col("passes_all"), "All checks pass")
-        .when(F.col("passes_applicable"), "Permutation uninformative; remaining applicable checks pass")
-        .when(~F.col("passes_hac"), "Date-level inference not significant")
-        .when(~F.col("passes_romano_wolf"), "Fails multiple-testing correction")
-        .when(~F.col("passes_net_5bps"), "Fails after costs")
-        .otherwise("Fails another check")
+        F.when(known(F.col("passes_all")), FULL)
+        .when(known(F.lower("permutation_status") == "degenerate") & known(F.col("passes_applicable")), UNINFORMATIVE)
+        .when(known(F.col("row_p") <= 0.05) & statistics, PERMUTATION_FAILS)
+        .when(statistics & cost, BOTH_FAIL)
+        .when(cost, COST_FAILS)
+        .otherwise(OTHERWISE)
     )
-    return gated.withColumn("status_label", label)
+    return gated.withColumn("audit_p", audit).withColumn("status_label", label)
 
 
 def unfinished(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:

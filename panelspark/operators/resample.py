@@ -1,12 +1,14 @@
-"""Resampling of SERIES: bootstraps, menu tests, and permutations of the panel.
+"""Resampling of SERIES: bootstraps and menu tests, permutations of the panel, corrections.
 
-The relational form draws from hashed counters and joins draws with values on (keys, u):
-exact and independent of partitioning, for draws x length up to some millions a series.
-:func:`kernel_draws` is the form for more: blocks of draws are tasks of their own.
+A series is one value a date, a bounded array: it goes to a task for each block of draws,
+which returns one number a draw, or a sum over its draws. Panels are cut into blocks of
+dates as well, whose sums Spark adds up. Random numbers are hashed counters of (seed, draw,
+place), so results depend on neither partitioning nor retries.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,78 +16,82 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.special import counter, sign
+from panelspark.functions.special import student_upper
 from panelspark.operators.aggregate import KEYS, date_returns, sharpe_of
-from panelspark.operators.panel import raw_returns
-from panelspark.operators.series import block_lengths
+from panelspark.operators.panel import along_time, compounded, rank_confidence, raw_returns
+from panelspark.operators.series import block_lengths, effective_size
 
-METHODS = ("iid", "moving_block", "stationary")
+METHODS = ("iid", "moving_block", "stationary", "cluster_date")
+#: Draws of one task, dates of one block of a panel.
+BLOCK, DATES = 200, 2048
 
 
-def draw_index(lengths: DataFrame, method: str, draws: int, seed: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, draw, pos and u: which value stands at each place of each draw.
+def counters(seed: int, draws: np.ndarray, n: int) -> np.ndarray:
+    """Uniform numbers below 2 ** 32 for each draw and place below ``n``, as :func:`special.counter` gives them.
 
-    ``lengths`` has n and block_size. iid: any value; moving_block: runs of block_size that
-    don't wrap; stationary: runs that end with odds 1 / block_size, wrapping around."""
-    rows = lengths.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    They don't depend on the series, so the series of one task share those of the longest one so far."""
+    key = (seed, int(draws[0]), len(draws))
+    held = _COUNTERS.get(key)
+    if held is None or held.shape[1] < n:
+        digest = hashlib.md5
+        own = [int.from_bytes(digest(f"{seed}:{d}:{p}".encode()).digest()[:4], "big") for d in draws.tolist() for p in range(n)]
+        if len(_COUNTERS) > 4:
+            _COUNTERS.clear()
+        held = _COUNTERS[key] = np.array(own, dtype=np.int64).reshape(len(draws), n)
+    return held[:, :n]
+
+
+_COUNTERS: dict[tuple[int, int, int], np.ndarray] = {}
+
+
+def drawn_places(method: str, n: int, size: int, draws: np.ndarray, seed: int) -> np.ndarray:
+    """Which of ``n`` values stands at each place of each draw.
+
+    iid (cluster_date: dates are the values): any value; moving_block: runs of ``size`` that
+    don't wrap; stationary: runs that end with odds 1 / size, wrapping around."""
     if method == "moving_block":
-        blocks = F.sequence(F.lit(0), (F.ceil(F.col("n") / F.col("block_size")) - 1).cast("int"))
-        rows = rows.withColumn("block", F.explode(blocks))
-        start = F.pmod(counter(seed, F.col("draw"), F.col("block")), F.col("n") - F.col("block_size") + 1)
-        rows = rows.withColumn("start", start).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("block_size") - 1)))
-        rows = rows.withColumn("pos", F.col("block") * F.col("block_size") + F.col("step")).filter("pos < n")
-        return rows.select(*keys, "draw", "pos", (F.col("start") + F.col("step")).cast("int").alias("u"))
-    rows = rows.withColumn("pos", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
-    any_u = F.pmod(counter(seed, F.col("draw"), F.col("pos")), F.col("n"))
-    if method == "iid":
-        return rows.select(*keys, "draw", "pos", any_u.cast("int").alias("u"))
+        starts = counters(seed, draws, -(-n // size)) % (n - size + 1)
+        return (starts[:, :, None] + np.arange(size)).reshape(len(draws), -1)[:, :n]
+    any_place = counters(seed, draws, n) % n
+    if method in ("iid", "cluster_date"):
+        return any_place
     if method != "stationary":
         raise ValueError(f"unknown method {method}")
-    starts = (F.col("pos") == 0) | (counter(seed + 1, F.col("draw"), F.col("pos")) * F.col("block_size") < 2**32)
-    upto = Window.partitionBy(*keys, "draw").orderBy("pos")
-    last = F.last(F.when(starts, F.struct(F.col("pos").alias("pos"), any_u.alias("u"))), ignorenulls=True).over(upto)
-    rows = rows.withColumn("last", last)
-    return rows.select(*keys, "draw", "pos", F.pmod(F.col("last.u") + F.col("pos") - F.col("last.pos"), F.col("n")).cast("int").alias("u"))
+    new = counters(seed + 1, draws, n) * size < 2**32
+    new[:, 0] = True
+    last = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
+    return (np.take_along_axis(any_place, last, axis=1) + np.arange(n) - last) % n
 
 
-def bootstrap(series: DataFrame, method: str, draws: int, seed: int, annualise: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """keys, method, draw and sharpe of every draw."""
-    index = draw_index(block_lengths(series, keys=keys), method, draws, seed, keys)
-    found = index.join(series, [*keys, "u"]).groupBy(*keys, "draw").agg(sharpe_of(F.col("r"), annualise).alias("sharpe"))
-    return found.select(*keys, F.lit(method).alias("method"), "draw", "sharpe")
+def sharpe_rows(values: np.ndarray, annualise: float) -> np.ndarray:
+    """The Sharpe ratio of each row; 0 without spread."""
+    spread = values.std(axis=1, ddof=1) if values.shape[1] > 1 else np.zeros(len(values))
+    return np.where(spread > 0, values.mean(axis=1) / np.where(spread > 0, spread, 1.0) * annualise**0.5, 0.0)
 
 
-def kernel_draws(series: DataFrame, method: str, draws: int, seed: int, annualise: float, block: int = 250, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """As :func:`bootstrap`, a task for each block of draws of a series; a series is one value
-    a date, a bounded array. Blocks have random streams of their own."""
-    lengths = block_lengths(series, keys=keys)
+def draw_blocks(rows: DataFrame, draws: int) -> DataFrame:
+    """Each row with ``first``, the first draw of each block."""
+    return rows.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(BLOCK))))
+
+
+def bootstrap(
+    series: DataFrame, method: str, draws: int, seed: int, annualise: float, keys: tuple[str, ...] = KEYS, shifted_by: str | None = None
+) -> DataFrame:
+    """keys, method, draw and sharpe of every draw. ``shifted_by`` names a key to add to the seed."""
     whole = series.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("u", "r"))), lambda x: x["r"]).alias("values"))
-    work = whole.join(lengths, list(keys)).withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(draws - 1), F.lit(block))))
+    work = draw_blocks(whole.join(block_lengths(series, keys=keys), list(keys)), draws)
     types = dict(series.dtypes)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                x, n, size = np.asarray(row["values"], dtype=float), int(row["n"]), int(row["block_size"])
-                rng = np.random.default_rng([seed, row["first"]])
-                many = min(block, draws - row["first"])
-                if method == "iid":
-                    at = rng.integers(0, n, (many, n))
-                elif method == "moving_block":
-                    starts = rng.integers(0, n - size + 1, (many, -(-n // size)))
-                    at = (starts[:, :, None] + np.arange(size)).reshape(many, -1)[:, :n]
-                else:
-                    new = rng.random((many, n)) < 1.0 / size
-                    new[:, 0] = True
-                    last = np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
-                    at = (np.take_along_axis(rng.integers(0, n, (many, n)), last, axis=1) + np.arange(n) - last) % n
-                values = x[at]
-                spread = values.std(axis=1, ddof=1) if n > 1 else np.zeros(many)
-                sharpe = np.where(spread > 0, values.mean(axis=1) / np.where(spread > 0, spread, 1.0) * annualise**0.5, 0.0)
-                yield pd.DataFrame({**{k: row[k] for k in keys}, "method": method, "draw": np.arange(many) + row["first"], "sharpe": sharpe})
+                own = np.arange(row["first"], min(row["first"] + BLOCK, draws))
+                x = np.asarray(row["values"], dtype=float)
+                at = drawn_places(method, len(x), int(row["block_size"]), own, seed + (row[shifted_by] if shifted_by else 0))
+                yield pd.DataFrame({**{k: row[k] for k in keys}, "method": method, "draw": own, "sharpe": sharpe_rows(x[at], annualise)})
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", method string, draw int, sharpe double"
-    return work.repartition(*keys, "first").mapInPandas(draw, schema)
+    return work.repartition(keys[0], "first").mapInPandas(draw, schema)  # a panel's series share a block's random numbers
 
 
 def draw_summary(draws: DataFrame, keys: tuple[str, ...] = (*KEYS, "method"), confidence: float = 0.95) -> DataFrame:
@@ -99,98 +105,242 @@ def draw_summary(draws: DataFrame, keys: tuple[str, ...] = (*KEYS, "method"), co
     )
 
 
+def panel_blocks(panel: DataFrame) -> DataFrame:
+    """panel_id, dates (the number of a block of dates) and cells: t_idx, e_idx, raw, pred, realised and conf of its rows."""
+    cell = F.struct("t_idx", "e_idx", "raw", "pred", "realised", "conf")
+    rows = panel if "raw" in panel.columns else raw_returns(panel)
+    cells = rows.select("panel_id", F.expr(f"t_idx div {DATES}").alias("dates"), cell.alias("cell"))
+    return cells.groupBy("panel_id", "dates").agg(F.collect_list("cell").alias("cells"))
+
+
+_FIELDS = ("raw", "pred", "realised", "conf")
+
+
+def _matrices(cells, width: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The dates of a block, and each field as a matrix of dates x entities, NaN where there is nothing."""
+    frame = pd.DataFrame.from_records([c.asDict() if hasattr(c, "asDict") else c for c in cells])
+    dates, at = np.unique(frame["t_idx"].to_numpy(), return_inverse=True)
+    out = {}
+    for name in _FIELDS:
+        out[name] = np.full((len(dates), width), np.nan)
+        out[name][at, frame["e_idx"].to_numpy()] = pd.to_numeric(frame[name]).to_numpy(dtype=float)
+    return dates, out
+
+
+def _moments(ret: np.ndarray) -> tuple[int, float, float]:
+    finite = ret[np.isfinite(ret)]
+    return len(finite), float(finite.sum()), float((finite * finite).sum())
+
+
+def _selected_mean(pred: np.ndarray, conf: np.ndarray, realised: np.ndarray, weight: np.ndarray | float, threshold: float, exposure: str) -> np.ndarray:
+    """The return of each date (NaN: none) of what a threshold selects."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        there = (conf >= threshold) & np.isfinite(realised) & np.isfinite(pred)
+        mean = lambda held: (np.where(held, weight * realised, 0.0).sum(axis=-1)) / (held * weight).sum(axis=-1)
+        if exposure == "as_selected":
+            out = mean(there)
+        elif exposure == "dollar_neutral":
+            out = 0.5 * mean(there & (pred > 0)) + 0.5 * mean(there & (pred < 0))
+        else:
+            raise ValueError(f"unknown exposure {exposure}")
+    return np.where(np.isfinite(out), out, np.nan)
+
+
+def sharpe_of_sums(sums: DataFrame, keys: list[str], annualise: float) -> DataFrame:
+    """keys and sharpe from numbers, sums and sums of squares (n, s1, s2) of blocks of dates."""
+    n, s1, s2 = (F.sum(c) for c in ("n", "s1", "s2"))
+    variance = (s2 - s1 * s1 / n) / (n - 1)
+    # what rounding leaves of no spread at all is none
+    value = F.when((n > 1) & (variance > 1e-14 * s2 / n), s1 / n / F.sqrt(variance) * annualise**0.5)
+    return sums.groupBy(*keys).agg(F.coalesce(value, F.lit(0.0)).alias("sharpe"))
+
+
 def entity_bootstrap(panel: DataFrame, thresholds: tuple[float, ...], draws: int, seed: int, annualise: float) -> DataFrame:
     """Sharpe of each draw of N entities with replacement; an entity drawn m times weighs m."""
-    entities = panel.select("panel_id", "e_idx").distinct()
-    n = entities.groupBy("panel_id").agg(F.count(F.lit(1)).alias("n"))
-    drawn = n.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("nth", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    times = drawn.withColumn("e_idx", F.pmod(counter(seed, F.col("draw"), F.col("nth")), F.col("n")).cast("int"))
-    times = times.groupBy("panel_id", "draw", "e_idx").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    dates = date_returns(panel.join(times, ["panel_id", "e_idx"]), thresholds, weighting="custom", by=("panel_id", "draw"))
-    found = dates.groupBy(*KEYS, "draw").agg(sharpe_of(F.col("ret"), annualise).alias("sharpe"))
+    width = panel.groupBy("panel_id").agg((F.max("e_idx") + 1).alias("width"))
+    work = draw_blocks(panel_blocks(panel).join(F.broadcast(width), "panel_id"), draws)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                width = int(row["width"])
+                _, m = _matrices(row["cells"], width)
+                own = np.arange(row["first"], min(row["first"] + BLOCK, draws))
+                drawn = counters(seed, own, width + 1)[:, 1:] % width  # places count from 1
+                weight = np.stack([np.bincount(x, minlength=width) for x in drawn]).astype(float)
+                out = []
+                for threshold in thresholds:
+                    held = (m["conf"] >= threshold) & np.isfinite(m["realised"]) & np.isfinite(m["pred"])
+                    total = weight @ held.T.astype(float)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        ret = (weight @ np.where(held, m["realised"], 0.0).T) / total
+                    there = total > 0
+                    ret = np.where(there, ret, 0.0)
+                    out.append(pd.DataFrame({
+                        "panel_id": row["panel_id"], "threshold": threshold, "draw": own,
+                        "n": there.sum(axis=1), "s1": ret.sum(axis=1), "s2": (ret * ret).sum(axis=1),
+                    }))
+                yield pd.concat(out)
+
+    sums = work.repartition("panel_id", "dates", "first").mapInPandas(draw, "panel_id string, threshold double, draw int, n long, s1 double, s2 double")
+    found = sharpe_of_sums(sums, [*KEYS, "draw"], annualise)
     return found.select(*KEYS, F.lit("cluster_entity").alias("method"), "draw", "sharpe")
 
 
 def menu_rows(dates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The menu's returns, centred (missing 0), on the dates that any strategy has, and its block length."""
+    """The menu's returns on the dates that any strategy has, and its block length."""
     some = dates.groupBy("panel_id", "t_idx").agg(F.count("ret").alias("some"), F.avg("ret").alias("r")).filter("some > 0")
     u = F.row_number().over(Window.partitionBy("panel_id").orderBy("t_idx")) - 1
     some = some.withColumn("u", u)
     block = block_lengths(some.select("panel_id", "u", "r"), keys=("panel_id",))
-    centre = F.avg("ret").over(Window.partitionBy(*KEYS))
-    rows = dates.withColumn("x", F.coalesce(F.col("ret") - centre, F.lit(0.0))).join(some.select("panel_id", "t_idx", "u"), ["panel_id", "t_idx"])
-    return rows.select(*KEYS, "u", "ret", "x"), block
+    return dates.join(some.select("panel_id", "t_idx", "u"), ["panel_id", "t_idx"]).select(*KEYS, "u", "ret"), block
 
 
-def t_statistics(value: Column) -> Column:
-    """mean / (sd / sqrt(n)); 0 where there is no spread."""
-    spread = F.stddev_samp(value)
-    return F.coalesce(F.when(spread > 0, F.avg(value) / (spread / F.sqrt(F.count(value)))), F.lit(0.0))
+def _t_rows(values: np.ndarray, count: np.ndarray | int) -> np.ndarray:
+    """mean / (sd / sqrt(n)) along the first axis, null values left out; 0 without spread."""
+    mean, spread = np.nanmean(values, axis=0), np.nanstd(values, axis=0, ddof=1)
+    return np.where(spread > 0, mean / np.where(spread > 0, spread / np.sqrt(count), 1.0), 0.0)
 
 
-def romano_wolf(dates: DataFrame, draws: int, seed: int) -> DataFrame:
-    """t_stat, p_raw and step-down p_adjusted of each threshold, from one joint block bootstrap."""
+def _menu(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The thresholds of a menu and its returns, dates x thresholds, NaN where there is none."""
+    cells = pd.DataFrame.from_records([c.asDict() if hasattr(c, "asDict") else c for c in row["cells"]])
+    wide = cells.pivot(index="u", columns="threshold", values="ret")
+    return wide.columns.to_numpy(dtype=float), wide.to_numpy(dtype=float)
+
+
+def menu_tests(dates: DataFrame, draws: int, seed: int) -> DataFrame:
+    """For each threshold of a panel's menu (block sums, to be added): step (by falling t statistic), t_stat,
+    mean, and how many joint block draws reach it: marginally, among the steps from its own on, and in the best mean."""
     rows, block = menu_rows(dates)
-    observed = rows.groupBy(*KEYS).agg(t_statistics(F.col("ret")).alias("t_stat"))
-    observed = observed.withColumn("step", F.row_number().over(Window.partitionBy("panel_id").orderBy(F.desc("t_stat"), F.desc("threshold"))))
-    index = draw_index(block, "moving_block", draws, seed, ("panel_id",))
-    drawn = index.join(rows, ["panel_id", "u"]).groupBy("panel_id", "draw", "threshold").agg(t_statistics(F.col("x")).alias("t_draw"))
-    drawn = drawn.join(observed, list(KEYS))
-    rest = Window.partitionBy("panel_id", "draw").orderBy(F.desc("step"))
-    drawn = drawn.withColumn("highest", F.max("t_draw").over(rest))
-    smooth = lambda c: (1 + F.count_if(F.col(c) >= F.col("t_stat"))) / (1 + F.count(F.lit(1)))
-    p = drawn.groupBy(*KEYS, "t_stat", "step").agg(smooth("t_draw").alias("p_raw"), smooth("highest").alias("p_step"))
-    running = F.max("p_step").over(Window.partitionBy("panel_id").orderBy("step"))
-    p = p.withColumn("p_adjusted", F.greatest(F.least(running, F.lit(1.0)), "p_raw"))
-    return p.join(block.select("panel_id", "block_size"), "panel_id").select(*KEYS, "t_stat", "p_raw", "p_adjusted", "block_size")
+    whole = rows.groupBy("panel_id").agg(F.collect_list(F.struct("threshold", "u", "ret")).alias("cells"))
+    work = draw_blocks(whole.join(block, "panel_id"), draws)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                thresholds, values = _menu(row)
+                n, count = len(values), np.isfinite(values).sum(axis=0)
+                own = np.arange(row["first"], min(row["first"] + BLOCK, draws))
+                observed, mean = _t_rows(values, np.maximum(count, 1)), np.nanmean(values, axis=0)
+                order = np.lexsort((thresholds, observed))[::-1]
+                centred = np.nan_to_num(values - mean)
+                at = drawn_places("moving_block", n, int(row["block_size"]), own, seed)
+                drawn = centred[at]  # draws x dates x thresholds
+                spread = drawn.std(axis=1, ddof=1)
+                means = drawn.mean(axis=1)
+                t = np.where(spread > 0, means / np.where(spread > 0, spread / np.sqrt(n), 1.0), 0.0)
+                highest = np.maximum.accumulate(t[:, order[::-1]], axis=1)[:, ::-1]
+                above = np.empty(len(thresholds), dtype=np.int64)
+                above[order] = (highest >= observed[order]).sum(axis=0)
+                step = np.empty(len(thresholds), dtype=np.int64)
+                step[order] = np.arange(len(order)) + 1
+                yield pd.DataFrame({
+                    "panel_id": row["panel_id"], "threshold": thresholds, "n_dates": n, "block_size": int(row["block_size"]), "step": step, "t_stat": observed,
+                    "mean": mean, "raw": (t >= observed).sum(axis=0), "above": above, "best": int((means.max(axis=1) >= mean.max()).sum()),
+                })
+
+    schema = "panel_id string, threshold double, n_dates int, block_size int, step int, t_stat double, mean double, raw long, above long, best long"
+    found = work.repartition("panel_id", "first").mapInPandas(draw, schema)
+    fixed = ("n_dates", "block_size", "step", "t_stat", "mean")
+    return found.groupBy(*KEYS).agg(*(F.first(c).alias(c) for c in fixed), *(F.sum(c).alias(c) for c in ("raw", "above", "best")))
+
+
+def romano_wolf(dates: DataFrame, draws: int, seed: int) -> DataFrame:
+    """t_stat, p_raw and step-down p_adjusted of each threshold, from one joint block bootstrap;
+    ones on fewer than ten dates."""
+    found = menu_tests(dates, draws, seed)
+    enough = F.col("n_dates") >= 10
+    smooth = lambda c: (1 + F.col(c)) / F.lit(draws + 1.0)
+    running = F.max(smooth("above")).over(Window.partitionBy("panel_id").orderBy("step"))
+    rows = found.withColumn("p_raw", smooth("raw")).withColumn("p_step", running)
+    adjusted = F.greatest(F.least(F.col("p_step"), F.lit(1.0)), "p_raw")
+    return rows.select(
+        *KEYS, F.when(enough, F.col("t_stat")).otherwise(0.0).alias("t_stat"), F.when(enough, F.col("p_raw")).otherwise(1.0).alias("p_raw"),
+        F.when(enough, adjusted).otherwise(1.0).alias("p_adjusted"), F.when(enough, F.col("block_size")).alias("block_size"),
+    )
 
 
 def white_reality_check(dates: DataFrame, draws: int, seed: int) -> DataFrame:
     """The best mean of the menu and its p-value against the best of centred draws."""
-    rows, block = menu_rows(dates)
-    best = rows.groupBy(*KEYS).agg(F.avg("ret").alias("mean")).groupBy("panel_id").agg(F.max("mean").alias("observed_max_mean"))
-    index = draw_index(block, "moving_block", draws, seed, ("panel_id",))
-    drawn = index.join(rows, ["panel_id", "u"]).groupBy("panel_id", "draw", "threshold").agg(F.avg("x").alias("mean"))
-    drawn = drawn.groupBy("panel_id", "draw").agg(F.max("mean").alias("highest")).join(best, "panel_id")
-    p = (1 + F.count_if(F.col("highest") >= F.col("observed_max_mean"))) / (1 + F.count(F.lit(1)))
-    return drawn.groupBy("panel_id", "observed_max_mean").agg(p.alias("p_value")).join(block.select("panel_id", "block_size"), "panel_id")
+    found = menu_tests(dates, draws, seed).groupBy("panel_id").agg(
+        F.max("mean").alias("observed_max_mean"), ((1 + F.max("best")) / F.lit(draws + 1.0)).alias("p_value"), F.max("block_size").alias("block_size")
+    )
+    return found
 
 
 def permuted_sharpe(
-    panel: DataFrame, thresholds: tuple[float, ...], perms: int, seed: int, annualise: float, group: Column | None = None, exposure: str = "as_selected"
+    panel: DataFrame, thresholds: tuple[float, ...], perms: int, seed: int, annualise: float, group: Column | None = None, exposure: str = "as_selected", block: int = 50
 ) -> DataFrame:
     """NULL_DRAWS: panel_id, threshold, perm and sharpe with (pred, conf) dealt anew among the
-    entities of a date (and of a group, if one is given)."""
-    cells = raw_returns(panel).withColumn("grp", F.lit(0) if group is None else group)
-    cells = cells.withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(perms - 1))))
-    pool = Window.partitionBy("panel_id", "perm", "t_idx", "grp")
-    cells = cells.withColumn("key", counter(seed, F.col("perm"), F.col("t_idx"), F.col("e_idx")))
-    keyed = ["panel_id", "perm", "t_idx", "date", "grp"]
-    places = cells.select(*keyed, "raw", F.row_number().over(pool.orderBy("e_idx")).alias("nth"))
-    dealt = cells.select(*keyed, "pred", "conf", F.row_number().over(pool.orderBy("key", "e_idx")).alias("nth"))
-    side = sign(F.col("pred"))
-    moved = places.join(dealt, [*keyed, "nth"]).withColumn("realised", F.when(side != 0, side * F.col("raw")))
-    dates = date_returns(moved, thresholds, exposure=exposure, by=("panel_id", "perm"))
-    return dates.groupBy(*KEYS, "perm").agg(sharpe_of(F.col("ret"), annualise).alias("sharpe"))
+    entities of a date (and of a group, if one is given). A task has a block of dates and of
+    permutations; each entity's turn is a hashed counter of (seed, perm, t_idx, e_idx)."""
+    width = panel.groupBy("panel_id").agg((F.max("e_idx") + 1).alias("width"))
+    groups = panel.select("panel_id", "e_idx", (F.lit(0) if group is None else group).cast("long").alias("grp")).distinct()
+    groups = groups.groupBy("panel_id").agg(F.array_sort(F.collect_list(F.struct("e_idx", "grp"))).alias("groups"))
+    work = panel_blocks(panel).join(F.broadcast(width), "panel_id").join(F.broadcast(groups), "panel_id")
+    work = work.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(perms - 1), F.lit(block))))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                dates, m = _matrices(row["cells"], int(row["width"]))
+                pool = np.zeros(int(row["width"]), dtype=np.int64)
+                for g in row["groups"]:
+                    pool[g["e_idx"]] = g["grp"]
+                out = []
+                for perm in range(row["first"], min(row["first"] + block, perms)):
+                    keys = _turns(seed, perm, dates, len(pool))
+                    places = np.lexsort((np.broadcast_to(np.arange(len(pool)), keys.shape), np.broadcast_to(pool, keys.shape)), axis=1)
+                    turns = np.lexsort((keys, np.broadcast_to(pool, keys.shape)), axis=1)
+                    order = np.empty_like(turns)
+                    np.put_along_axis(order, places, turns, axis=1)
+                    pred, conf = (np.take_along_axis(m[c], order, axis=1) for c in ("pred", "conf"))
+                    side = np.nan_to_num(np.sign(pred))
+                    realised = np.where(side != 0, side * m["raw"], np.nan)
+                    for threshold in thresholds:
+                        n, s1, s2 = _moments(_selected_mean(pred, conf, realised, 1.0, threshold, exposure))
+                        out.append((row["panel_id"], threshold, perm, n, s1, s2))
+                yield pd.DataFrame(out, columns=["panel_id", "threshold", "perm", "n", "s1", "s2"])
+
+    sums = work.repartition("panel_id", "dates", "first").mapInPandas(deal, "panel_id string, threshold double, perm int, n long, s1 double, s2 double")
+    return sharpe_of_sums(sums, [*KEYS, "perm"], annualise)
+
+
+def _turns(seed: int, perm: int, dates: np.ndarray, width: int) -> np.ndarray:
+    """Hashed counters of (date, entity) for one permutation: a number of 32 bits from one hash of
+    (seed, perm, date) for every four entities."""
+    digest, blocks = hashlib.md5, -(-width // 4)
+    raw = b"".join(digest(f"{seed}:{perm}:{t}:{b}".encode()).digest() for t in dates.tolist() for b in range(blocks))
+    return np.frombuffer(raw, dtype=">u4").reshape(len(dates), 4 * blocks)[:, :width].astype(np.int64)
 
 
 def null_summary(draws: DataFrame, observed: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Null mean, sd, quantiles and p-value; a null without spread is degenerate and gives no p-value.
 
-    ``observed`` has keys and observed_sharpe."""
+    ``observed`` has keys, observed_sharpe and entities; a panel of one entity has nothing to permute."""
     quantiles = F.percentile("sharpe", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     found = (
-        draws.join(observed, list(keys)).groupBy(*keys, "observed_sharpe")
+        draws.groupBy(*keys)
         .agg(
-            F.avg("sharpe").alias("null_mean"), F.stddev_samp("sharpe").alias("null_sd"), quantiles.alias("q"),
-            F.count_if(F.col("sharpe") >= F.col("observed_sharpe")).alias("above"), F.count(F.lit(1)).alias("n_perms"), F.countDistinct("sharpe").alias("kinds"),
+            F.avg("sharpe").alias("null_mean"), F.stddev_samp("sharpe").alias("null_sd"), quantiles.alias("q"), F.collect_list("sharpe").alias("all"),
+            F.count(F.lit(1)).alias("n_perms"), F.countDistinct("sharpe").alias("kinds"),
         )
     )
-    informative = (F.col("kinds") > 1) & (F.col("null_sd") > 1e-10)
-    return found.select(
-        *keys, "observed_sharpe", "null_mean", "null_sd", F.col("q")[0].alias("null_q025"), F.col("q")[1].alias("null_q500"), F.col("q")[2].alias("null_q975"),
-        F.when(informative, (1 + F.col("above")) / (1 + F.col("n_perms"))).alias("p_positive"), "n_perms",
-        F.when(informative, "informative").otherwise("degenerate").alias("status"), F.coalesce(informative, F.lit(False)).alias("permutation_informative"),
+    single = F.col("entities") < 2
+    rows = observed.join(found, list(keys), "left").withColumn("n_perms", F.when(single, 0).otherwise(F.coalesce("n_perms", F.lit(0))))
+    informative = F.coalesce(~single & (F.col("n_perms") > 0) & (F.col("kinds") > 1) & (F.col("null_sd") > 1e-10), F.lit(False))
+    status = (
+        F.when(single, "not_applicable_single_series").when(F.col("n_perms") == 0, "insufficient_permutation_draws")
+        .when(informative, "ok").otherwise("degenerate")
+    )
+    above = F.size(F.filter("all", lambda x: x >= F.col("observed_sharpe")))
+    of = lambda c: F.when(~single, c)
+    return rows.select(
+        *keys, "observed_sharpe", of(F.col("null_mean")).alias("null_mean"), of(F.col("null_sd")).alias("null_sd"),
+        *(of(F.col("q")[i]).alias(name) for i, name in enumerate(("null_q025", "null_q500", "null_q975"))),
+        F.when(informative, (1 + above) / (1 + F.col("n_perms"))).alias("p_positive"), F.col("n_perms").cast("long").alias("n_perms"),
+        status.alias("status"), informative.alias("permutation_informative"),
     )
 
 
@@ -225,8 +375,86 @@ def shape(series: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     )
 
 
-def row_statistics(panel: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
-    """n_rows and the t statistic of all selected rows pooled, as if they were independent."""
+def inference(series: DataFrame, draws: DataFrame, annualise: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The inference record of each series and method of ``draws``: point and bootstrap error, interval
+    and p-value; the mean with its error at the effective size, and t with n_eff - 1 degrees of
+    freedom. Series of fewer than ten values have none."""
+    base = series.groupBy(*keys).agg(F.count("r").alias("n_nominal"), F.avg("r").alias("mean_return"), F.stddev_samp("r").alias("sd"), sharpe_of(F.col("r"), annualise).alias("sharpe"))
+    base = base.filter("n_nominal >= 10").join(effective_size(series, keys=keys).select(*keys, "n_eff"), list(keys))
+    base = base.join(block_lengths(series, keys=keys).select(*keys, "block_size"), list(keys))
+    base = base.withColumn("mean_return_se", F.col("sd") / F.sqrt("n_eff"))
+    base = base.withColumn("t_statistic", F.when(F.col("mean_return_se") > 0, F.col("mean_return") / F.col("mean_return_se")).otherwise(float("inf")))
+    upper = student_upper(F.col("t_statistic"), F.greatest(F.lit(1.0), F.col("n_eff") - 1))
+    base = base.withColumn("upper", upper).withColumn("two_sided_p_value", 2 * F.least(F.col("upper"), 1 - F.col("upper")))
+    return base.join(draw_summary(draws, (*keys, "method")), list(keys)).select(
+        *keys, "method", "sharpe", "se", "ci_lo", "ci_hi", "mean_return", "mean_return_se", "t_statistic", F.col("p_positive").alias("positive_p_value"),
+        "two_sided_p_value", "n_eff", "n_nominal", "block_size",
+    )
+
+
+def compared_methods(panel: DataFrame, series: DataFrame, thresholds: tuple[float, ...], draws: int, seed: int, annualise: float) -> DataFrame:
+    """The inference records of the five methods side by side."""
+    every = entity_bootstrap(panel, thresholds, draws, seed, annualise)
+    for method in METHODS:
+        every = every.unionByName(bootstrap(series, method, draws, seed, annualise))
+    return inference(series, every, annualise)
+
+
+def menu_table(panel: DataFrame, dates: DataFrame, series: DataFrame, draws: int, seed: int, annualise: float, correction: str = "holm") -> DataFrame:
+    """Each threshold's inference (block bootstrap), its corrected p-value and whether both are under 0.05.
+
+    A threshold of fewer than 30 dates has a p-value of 1 and no other figures. n_predictions counts
+    confidences alone, avg_names also dates without any."""
+    record = inference(series, bootstrap(series, "moving_block", draws, seed, annualise), annualise)
+    sizes = dates.groupBy(*KEYS).agg(F.count("ret").alias("n_dates"))
+    counted = panel.select("panel_id", "t_idx", "conf", "realised").withColumn("threshold", F.explode(F.array(*map(F.lit, sorted({r[0] for r in dates.select("threshold").distinct().collect()})))))
+    reached = F.col("conf") >= F.col("threshold")
+    names = counted.groupBy(*KEYS).agg(
+        F.count_if(reached).alias("n_predictions"),
+        (F.count_if(reached & F.col("realised").isNotNull()) / F.countDistinct("t_idx")).alias("avg_names"),
+    )
+    rows = sizes.join(names, list(KEYS)).join(record, list(KEYS), "left")
+    enough = F.col("n_dates") >= 30
+    rows = rows.select(
+        *KEYS, *(F.when(enough, F.col(c)).alias(c) for c in ("sharpe", "se", "ci_lo", "ci_hi", "n_eff", "block_size")),
+        F.when(enough, F.col("positive_p_value")).otherwise(1.0).alias("p_raw"), "n_dates", "n_predictions", F.when(F.col("n_dates") > 0, F.col("avg_names")).alias("avg_names"),
+    )
+    if correction == "romano_wolf":
+        adjusted = romano_wolf(dates, draws, seed).select(*KEYS, "p_adjusted")
+    else:
+        column = {"holm": "p_holm", "bh": "p_bh", "by": "p_by", "storey": "q_storey", "bonferroni": "p_bonferroni", "none": "p"}[correction]
+        adjusted = corrections(rows.select(*KEYS, F.col("p_raw").alias("p"))).select(*KEYS, F.col(column).alias("p_adjusted"))
+    rows = rows.join(adjusted, list(KEYS))
+    return rows.withColumn("significant_raw", F.col("p_raw") < 0.05).withColumn("significant_adjusted", F.col("p_adjusted") < 0.05)
+
+
+def t_statistics(value: Column) -> Column:
+    """mean / (sd / sqrt(n)); null where there is no spread."""
+    spread = F.stddev_samp(value)
+    return F.when(spread > 0, F.avg(value) / (spread / F.sqrt(F.count(value))))
+
+
+def row_statistics(panel: DataFrame, thresholds: tuple[float, ...], annualise: float) -> DataFrame:
+    """All selected rows pooled, as if they were independent: n_rows, t statistic and its p-value by
+    Student's distribution; Sharpe ratio with its iid error, interval and normal p-value
+    (null below five rows)."""
     rows = panel.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     held = rows.filter((F.col("conf") >= F.col("threshold")) & F.col("realised").isNotNull() & F.col("pred").isNotNull())
-    return held.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"), t_statistics(F.col("realised")).alias("row_t_stat"))
+    value = F.col("realised")
+    found = held.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n_rows"), t_statistics(value).alias("row_t_stat"), sharpe_of(value, annualise).alias("row_sharpe"), sharpe_of(value, 1.0).alias("period")
+    )
+    se = F.when(F.col("n_rows") >= 5, F.sqrt(annualise * (1 + 0.5 * F.col("period") * F.col("period")) / F.col("n_rows")))
+    found = found.withColumn("row_sharpe_se", se).withColumn("row_p_positive", student_upper(F.col("row_t_stat"), F.greatest(F.lit(1.0), F.col("n_rows") - 1.0)))
+    return found.select(
+        *KEYS, "n_rows", "row_t_stat", "row_p_positive", F.when(F.col("n_rows") >= 5, F.col("row_sharpe")).alias("row_sharpe"), "row_sharpe_se",
+        (F.col("row_sharpe") - 1.96 * F.col("row_sharpe_se")).alias("row_ci_lo"), (F.col("row_sharpe") + 1.96 * F.col("row_sharpe_se")).alias("row_ci_hi"),
+    )
+
+
+def signal_panel(returns: DataFrame, lookback: int, skip: int) -> DataFrame:
+    """The cells of a momentum panel before positions are taken: signals, the ranks of all of them, and the
+    next date's returns (raw), whether or not a signal stands beside one."""
+    scored = returns.withColumn("pred", compounded(F.col("ret"), lookback, skip)).withColumn("raw", F.lead("ret").over(along_time()))
+    ranked = scored.withColumn("conf", rank_confidence(F.abs("pred")))
+    return ranked.select("panel_id", "t_idx", "e_idx", "raw", "pred", F.lit(None).cast("double").alias("realised"), "conf")

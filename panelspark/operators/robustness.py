@@ -6,11 +6,16 @@ recolouring are closed forms over sums: nothing but grouped sums and a window ov
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.aggregate import KEYS
-from panelspark.operators.series import _lagged, bandwidths, delta_method, hac_sharpe, moments
+from panelspark.operators.series import _lagged, bandwidths, delta_method, hac_sharpe, long_run_covariance, moments, rolling_sharpe, with_moments
 
 #: The autoregression is scaled down to this spectral radius.
 LARGEST_RADIUS = 0.98
@@ -48,7 +53,7 @@ def prewhitened_covariance(series: DataFrame, lag: int | None = None, keys: tupl
     """n, mu, m2, bandwidth and the recoloured long-run covariance (s11, s12, s22) of (r, r squared).
 
     Series of fewer than ``SHORTEST`` values have no row."""
-    rows = series.join(moments(series, keys).filter(F.col("n") >= SHORTEST), list(keys))
+    rows = with_moments(series, keys).filter(F.col("n") >= SHORTEST)
     rows = rows.withColumn("x", F.col("r") - F.col("mu")).withColumn("y", F.col("r") * F.col("r") - F.col("m2"))
     order = Window.partitionBy(*keys).orderBy("u")
     rows = rows.withColumn("before_x", F.lag("x").over(order)).withColumn("before_y", F.lag("y").over(order))
@@ -103,3 +108,130 @@ def sharpe_inflation(dates: DataFrame, rows: DataFrame, annualise: float, keys:
     row = hac_sharpe(rows, annualise, 0, keys=keys).select(*keys, F.col("se").alias("se_rows"))
     ratio = F.try_divide("se_dates", "se_rows")
     return date.join(row, list(keys)).select(*keys, "se_dates", "se_rows", (ratio * ratio).alias("uvif_sr"))
+
+
+def _hac_z(draws: np.ndarray, width: int, annualise: float) -> np.ndarray:
+    """The delta-method z statistic of each row, at a fixed bandwidth."""
+    n = draws.shape[1]
+    mu, m2 = draws.mean(axis=1), (draws * draws).mean(axis=1)
+    x, y = draws - mu[:, None], draws * draws - m2[:, None]
+    s11, s12, s22 = (x * x).mean(axis=1), (x * y).mean(axis=1), (y * y).mean(axis=1)
+    for k in range(1, width + 1):
+        w = 1 - k / (width + 1)
+        early_x, late_x, early_y, late_y = x[:, :-k], x[:, k:], y[:, :-k], y[:, k:]
+        s11 += w * 2 * (early_x * late_x).sum(axis=1) / n
+        s12 += w * ((early_x * late_y).sum(axis=1) + (early_y * late_x).sum(axis=1)) / n
+        s22 += w * 2 * (early_y * late_y).sum(axis=1) / n
+    v = np.maximum(m2 - mu * mu, 1e-16)
+    root = math.sqrt(annualise)
+    g1, g2 = root * m2 / v**1.5, -0.5 * root * mu / v**1.5
+    error = np.sqrt(np.maximum((g1 * g1 * s11 + 2 * g1 * g2 * s12 + g2 * g2 * s22) / n, 0.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(error > 0, root * mu / np.sqrt(v) / error, np.inf)
+
+
+def fixed_b(
+    series: DataFrame, annualise: float, shares: tuple[float, ...] = (0.02, 0.05, 0.10, 0.20), sims: int = 499, longest: int = 1000, seed: int = 42,
+    block: int = 100, keys: tuple[str, ...] = KEYS,
+) -> DataFrame:
+    """HAC inference at bandwidths of given shares of the length, with p-values and critical values from
+    normal series without a mean at the same share (max(50, min(longest, n)) values long).
+
+    Series of fewer than twenty values have no row. A task has a block of simulated series."""
+    lengths = series.groupBy(*keys).agg(F.count("r").alias("n")).filter("n >= 20").withColumn("b", F.explode(F.array(*map(F.lit, shares))))
+    width = F.greatest(F.lit(0), F.least(F.col("n") - 1, F.bround(F.col("b") * F.col("n")))).cast("int")
+    sim_n = F.greatest(F.lit(50), F.least(F.lit(longest), F.col("n"))).cast("int")
+    lengths = lengths.withColumn("bandwidth", width).withColumn("simulation_length", sim_n)
+    lengths = lengths.withColumn("simulation_bandwidth", F.greatest(F.lit(0), F.least(F.col("simulation_length") - 1, F.bround(F.col("b") * F.col("simulation_length")))).cast("int"))
+    named = (*keys, "b")
+    observed = delta_method(long_run_covariance(series, lengths.select(*named, "bandwidth"), keys), annualise, keys=named)
+    observed = observed.select(*named, "sharpe", "se", "z_statistic", F.col("positive_p_value").alias("normal_positive_p"))
+    work = lengths.select(*named, "simulation_length", "simulation_bandwidth").withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(sims - 1), F.lit(block))))
+    types = dict(series.dtypes)
+
+    def simulate(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                rng = np.random.default_rng([seed, int(round(row["b"] * 10_000)), row["first"]])
+                draws = rng.normal(0.0, 1.0, (min(block, sims - row["first"]), row["simulation_length"]))
+                yield pd.DataFrame({**{k: row[k] for k in named}, "z": _hac_z(draws, row["simulation_bandwidth"], annualise)})
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", b double, z double"
+    null = work.repartition(*named, "first").mapInPandas(simulate, schema).filter(~F.isnan("z") & (F.abs("z") < float("inf")))
+    rows = null.join(observed, list(named)).groupBy(*named).agg(
+        F.count_if(F.col("z") >= F.col("z_statistic")).alias("above"), F.count_if(F.abs("z") >= F.abs("z_statistic")).alias("beyond"), F.count(F.lit(1)).alias("n_sim"),
+        F.percentile("z", 0.95).alias("fixedb_crit_95"), F.percentile(F.abs("z"), 0.95).alias("fixedb_abs_crit_95"),
+    )
+    smooth = lambda c: (1 + F.col(c)) / (1 + F.col("n_sim"))
+    return lengths.join(observed, list(named)).join(rows, list(named)).select(
+        *named, "bandwidth", "simulation_length", "simulation_bandwidth", "sharpe", "se", "z_statistic", "normal_positive_p",
+        smooth("above").alias("fixedb_positive_p"), smooth("beyond").alias("fixedb_two_sided_p"), "fixedb_crit_95", "fixedb_abs_crit_95", "n_sim",
+    )
+
+
+#: Response surfaces of the unit-root test with a constant (bounds, switch, and the polynomials
+#: of the statistic, lowest power first), and critical values of the stationarity test with their odds.
+ROOT_LEAST, ROOT_MOST, ROOT_SWITCH = -18.83, 2.74, -1.61
+ROOT_SMALL = (2.1659, 1.4412, 0.038269)
+ROOT_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
+LEVEL_CRITICAL, LEVEL_ODDS = (0.347, 0.463, 0.574, 0.739), (0.10, 0.05, 0.025, 0.01)
+
+
+def unit_root_p(r: np.ndarray) -> float:
+    """The augmented unit-root test's p-value: a constant, and as many lagged differences as the least AIC takes."""
+    n = len(r)
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+    step = np.diff(r)
+
+    def fit(lags: int, start: int) -> tuple[float, float]:
+        y = step[start:]
+        x = np.column_stack([r[start:-1], np.ones(len(y)), *(step[start - k : len(step) - k] for k in range(1, lags + 1))])
+        beta, *_ = np.linalg.lstsq(x, y, rcond=None)
+        left = y - x @ beta
+        rss = float(left @ left)
+        aic = len(y) * (math.log(2 * math.pi * rss / len(y)) + 1) + 2 * x.shape[1]
+        cov = np.linalg.pinv(x.T @ x) * rss / (len(y) - x.shape[1])
+        return aic, beta[0] / math.sqrt(cov[0, 0])
+
+    best = min(range(most + 1), key=lambda k: fit(k, most)[0])
+    t = fit(best, best)[1]
+    if t > ROOT_MOST or t < ROOT_LEAST:
+        return 1.0 if t > ROOT_MOST else 0.0
+    powers = ROOT_SMALL if t <= ROOT_SWITCH else ROOT_LARGE
+    return 0.5 * math.erfc(-sum(c * t**i for i, c in enumerate(powers)) / math.sqrt(2))
+
+
+def level_p(r: np.ndarray) -> float:
+    """The stationarity test's p-value about a constant, with a data-driven Bartlett window; 0.01 to 0.1."""
+    n = len(r)
+    x = r - r.mean()
+    s0, s1 = float(x @ x) / n, 0.0
+    for k in range(1, int(n ** (2 / 9)) + 1):
+        product = float(x[k:] @ x[:-k]) / (n / 2)
+        s0, s1 = s0 + product, s1 + k * product
+    lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
+    long_run = float(x @ x) + 2 * sum((1 - k / (lags + 1)) * float(x[k:] @ x[:-k]) for k in range(1, lags + 1))
+    statistic = float((np.cumsum(x) ** 2).sum()) / n**2 / (long_run / n)
+    return float(np.interp(statistic, LEVEL_CRITICAL, LEVEL_ODDS))
+
+
+def stationarity(series: DataFrame, annualise: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """n, adf_p, kpss_p and the extremes of the rolling Sharpe ratio; null below 30 values, and each p-value
+    where its test fails. A series is one value a date, a bounded array."""
+    types = dict(series.dtypes)
+
+    def tests(group: pd.DataFrame) -> pd.DataFrame:
+        r = group.sort_values("u")["r"].to_numpy()
+        out = []
+        for test in (unit_root_p, level_p):
+            try:
+                with np.errstate(all="raise"):
+                    out.append(test(r) if len(r) >= 30 else None)
+            except (ValueError, ArithmeticError, np.linalg.LinAlgError):
+                out.append(None)
+        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), len(r), *out]], columns=[*keys, "n", "adf_p", "kpss_p"])
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n long, adf_p double, kpss_p double"
+    rolling = rolling_sharpe(series, annualise, keys).drop("rolling_window")
+    found = series.groupBy(*keys).applyInPandas(tests, schema).join(rolling, list(keys), "left")
+    return found.withColumns({c: F.when(F.col("n") >= 30, F.col(c)) for c in ("rolling_sr_min", "rolling_sr_max")})

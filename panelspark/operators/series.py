@@ -25,9 +25,16 @@ def moments(series: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     return series.groupBy(*keys).agg(F.count("r").alias("n"), F.avg("r").alias("mu"), F.avg(F.col("r") * F.col("r")).alias("m2"))
 
 
+def with_moments(series: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The series with n, mu and m2 (see :func:`moments`) in every row: a window instead of a join with itself."""
+    own = Window.partitionBy(*keys)
+    r = F.col("r")
+    return series.withColumn("n", F.count(r).over(own)).withColumn("mu", F.avg(r).over(own)).withColumn("m2", F.avg(r * r).over(own))
+
+
 def autocorrelation(series: DataFrame, max_lag: int = 20, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """k and rho for k = 0 .. min(max_lag, n - 1); 0 beyond lag 0 for a series without spread."""
-    rows = series.join(moments(series, keys), list(keys)).withColumn("x", F.col("r") - F.col("mu"))
+    rows = with_moments(series, keys).withColumn("x", F.col("r") - F.col("mu"))
     products = _lagged(rows, keys, F.least(F.lit(max_lag), F.col("n") - 1), ("x",))
     sums = products.groupBy(*keys, "k").agg(F.sum(F.col("x") * F.col("later_x")).alias("c"), F.first("n").alias("n"))
     c0 = F.max(F.when(F.col("k") == 0, F.col("c"))).over(Window.partitionBy(*keys))
@@ -46,7 +53,7 @@ def effective_size(series: DataFrame, max_lag: int = 50, keys: tuple[str, ...] =
 
 def bandwidths(series: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """The automatic Bartlett bandwidth under a first-order autoregression; 0 below three values."""
-    rows = series.join(moments(series, keys), list(keys)).withColumn("x", F.col("r") - F.col("mu"))
+    rows = with_moments(series, keys).withColumn("x", F.col("r") - F.col("mu"))
     previous = rows.withColumn("before", F.lag("x").over(Window.partitionBy(*keys).orderBy("u")))
     fit = previous.groupBy(*keys).agg(
         F.first("n").alias("n"), F.sum(F.col("before") * F.col("x")).alias("s01"), F.sum(F.col("before") * F.col("before")).alias("s00")
@@ -64,7 +71,7 @@ def long_run_covariance(series: DataFrame, widths: DataFrame, keys: tuple[str, .
 
     ``widths`` has a ``bandwidth`` for the keys; it may have more keys than the series."""
     wide = tuple(c for c in widths.columns if c != "bandwidth")
-    rows = series.join(moments(series, keys), list(keys)).join(widths, list(keys))
+    rows = with_moments(series, keys).join(widths, list(keys))
     rows = rows.withColumn("x", F.col("r") - F.col("mu")).withColumn("y", F.col("r") * F.col("r") - F.col("m2"))
     rows = rows.withColumn("bandwidth", F.least("bandwidth", F.col("n") - 1))
     products = _lagged(rows, wide, F.col("bandwidth"), ("x", "y"))
@@ -138,7 +145,7 @@ def block_lengths(series: DataFrame, exponent: float = 0.2, keys: tuple[str, ...
 
 
 def rolling_sharpe(series: DataFrame, annualise: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Lowest and highest Sharpe ratio of all full windows of min(252, max(30, n div 5)) values."""
+    """Lowest and highest Sharpe ratio (0 without spread) of all full windows of min(252, max(30, n div 5)) values."""
     n = F.count("r").over(Window.partitionBy(*keys))
     rows = series.withColumn("rolling_window", F.least(F.lit(252), F.greatest(F.lit(30), F.floor(n / 5))).cast("int"))
     # prefix sums of the centred values: a window of any width is a difference of two of them
@@ -151,7 +158,7 @@ def rolling_sharpe(series: DataFrame, annualise: float, keys: tuple[str, ...] =
     w = F.col("rolling_window")
     t1, t2 = F.col("s1") - F.coalesce("b1", F.lit(0.0)), F.col("s2") - F.coalesce("b2", F.lit(0.0))
     spread = F.sqrt(F.greatest((t2 - t1 * t1 / w) / (w - 1), F.lit(0.0)))
-    value = F.when(spread > 0, (t1 / w + F.col("centre")) / spread * annualise**0.5)
+    value = F.when(spread > 0, (t1 / w + F.col("centre")) / spread * annualise**0.5).otherwise(0.0)
     return whole.groupBy(*keys, "rolling_window").agg(F.min(value).alias("rolling_sr_min"), F.max(value).alias("rolling_sr_max"))
 
 

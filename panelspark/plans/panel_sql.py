@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from panelspark.functions.special import counter_sql, normal_cdf_sql, normal_quantile
-from panelspark.operators.portfolio import AUM_MM, EULER_GAMMA, TIERS
-from panelspark.plans.panel_queries import DRAWS, SEED, THRESHOLDS
+from panelspark.functions.special import counter_sql, normal_cdf_sql, normal_quantile, student_upper_sql
+from panelspark.operators.portfolio import AUM_MM, COSTS, EULER_GAMMA, TIERS, round_trip
+from panelspark.plans.panel_queries import DRAWS, PERMS, PRIMARY, SEED, THRESHOLDS
 
 WEEK_VALUES = """SELECT date_trunc('week', l_shipdate)::DATE AS date, s_nationkey AS entity,
   sum((l_extendedprice * (1 - l_discount))::DECIMAL(18,4))::DOUBLE AS value
@@ -118,15 +118,15 @@ bl AS (SELECT tau, n, CASE WHEN n < 10 THEN greatest(1, n) ELSE greatest(1, leas
   FROM (SELECT tau, any_value(n) AS n, greatest(0.0, least(0.95, coalesce(max(rho) FILTER (k = 1), 0))) AS f FROM rho GROUP BY tau))"""
 
 
-def indices(method: str, source: str = "bl", keys: str = "tau, ") -> str:
+def indices(method: str, source: str = "bl", keys: str = "tau, ", seed: int | str = SEED) -> str:
     """CTE ``ix`` (keys, draw, pos, u)."""
     draws = f"CROSS JOIN (SELECT unnest(range(0, {DRAWS})) AS draw)"
     if method == "moving_block":
-        start = counter_sql(SEED, "draw", "block")
+        start = counter_sql(seed, "draw", "block")
         return f"""ix AS (SELECT {keys} draw, block * b + step AS pos, ({start}) % (n - b + 1) + step AS u
   FROM {source} {draws} CROSS JOIN LATERAL (SELECT unnest(range(0, ceil(n / b)::BIGINT)) AS block) CROSS JOIN LATERAL (SELECT unnest(range(0, b)) AS step) WHERE block * b + step < n)"""
     cells = f"SELECT {keys} n, b, draw, pos, ({counter_sql(SEED, 'draw', 'pos')}) % n AS r0, ({counter_sql(SEED + 1, 'draw', 'pos')}) AS r1 FROM {source} {draws} CROSS JOIN LATERAL (SELECT unnest(range(0, n)) AS pos)"
-    if method == "iid":
+    if method in ("iid", "cluster_date"):
         return f"ix AS (SELECT {keys} draw, pos, r0 AS u FROM ({cells}))"
     return f"""cells AS ({cells}),
 runs AS (SELECT *, max(CASE WHEN pos = 0 OR r1 * b < 4294967296 THEN pos END) OVER (PARTITION BY {keys} draw ORDER BY pos) AS since FROM cells),
@@ -167,33 +167,136 @@ def threshold_table(base: str, a: float) -> str:
 
 
 def summary_of(base: str, digits: int, obs: str) -> str:
+    ok = "count(DISTINCT s) > 1 AND stddev_samp(s) > 1e-10"
     return f"""{base} SELECT tau AS threshold, round(any_value(o), {digits}) AS observed_sharpe, round(avg(s), {digits}) AS null_mean, round(stddev_samp(s), {digits}) AS null_sd,
   round(quantile_cont(s, 0.025), {digits}) AS null_q025, round(quantile_cont(s, 0.5), {digits}) AS null_q500, round(quantile_cont(s, 0.975), {digits}) AS null_q975,
-  round(CASE WHEN count(DISTINCT s) > 1 AND stddev_samp(s) > 1e-10 THEN (1 + count(*) FILTER (s >= o)) / (1 + count(*))::DOUBLE END, {digits}) AS p_positive, count(*) AS n_perms,
-  CASE WHEN count(DISTINCT s) > 1 AND stddev_samp(s) > 1e-10 THEN 'informative' ELSE 'degenerate' END AS status,
-  coalesce(count(DISTINCT s) > 1 AND stddev_samp(s) > 1e-10, false) AS permutation_informative FROM nulls JOIN ({obs}) USING (tau) GROUP BY tau"""
+  round(CASE WHEN {ok} THEN (1 + count(*) FILTER (s >= o)) / (1 + count(*))::DOUBLE END, {digits}) AS p_positive, count(*) AS n_perms,
+  CASE WHEN {ok} THEN 'ok' ELSE 'degenerate' END AS status, coalesce({ok}, false) AS permutation_informative FROM nulls JOIN ({obs}) USING (tau) GROUP BY tau"""
 
 
-def permuted(group: str) -> str:
-    """CTE ``nulls`` (perm, tau, s)."""
-    return f"""raw AS (SELECT t, e, {group} AS grp, realised / nullif(sign(pred), 0) AS raw, pred, conf, perm FROM pan CROSS JOIN (SELECT unnest(range(0, 10)) AS perm)),
+def permuted(group: str, source: str = "realised / nullif(sign(pred), 0) AS raw, pred, conf", table: str = "pan") -> str:
+    """CTE ``nulls`` (perm, tau, s): an entity's turn is four bytes of a hash that four entities share."""
+    turn = f"('0x' || substr(md5(concat_ws(':', '{SEED}', perm::VARCHAR, t::VARCHAR, (e // 4)::VARCHAR)), 1 + 8 * (e % 4)::INT, 8))::BIGINT"
+    return f"""raw AS (SELECT t, e, {group} AS grp, {source}, perm FROM {table} CROSS JOIN (SELECT unnest(range(0, {PERMS})) AS perm)),
 pl AS (SELECT perm, t, grp, raw, row_number() OVER (PARTITION BY perm, t, grp ORDER BY e) AS nth FROM raw),
-dl AS (SELECT perm, t, grp, pred, conf, row_number() OVER (PARTITION BY perm, t, grp ORDER BY {counter_sql(SEED, "perm", "t", "e")}, e) AS nth FROM raw),
+dl AS (SELECT perm, t, grp, pred, conf, row_number() OVER (PARTITION BY perm, t, grp ORDER BY {turn}, e) AS nth FROM raw),
 mv AS (SELECT perm, t, pred, conf, CASE WHEN pred <> 0 THEN sign(pred) * raw END AS realised FROM pl JOIN dl USING (perm, t, grp, nth)),
 pdr AS (SELECT perm, tau, t, avg(realised) FILTER (conf >= tau AND realised IS NOT NULL) AS r FROM mv CROSS JOIN thr GROUP BY 1, 2, 3),
 nulls AS (SELECT perm, tau, {sharpe("r")} AS s FROM pdr GROUP BY 1, 2)"""
 
 
+OBSERVED = f"SELECT tau, {sharpe('r')} AS o FROM dr GROUP BY tau"
+
+
+def draws_of(method: str) -> str:
+    """All draws (tau, s) of a bootstrap of dates."""
+    return f"{BASE}, {MOMENTS}, {BLOCKS}, {indices(method)} SELECT tau, draw, {sharpe('r')} AS s FROM ix JOIN ser USING (tau, u) GROUP BY 1, 2"
+
+
+ENTITY_DRAWS = f"""{BASE}, ne AS (SELECT count(*) AS n FROM ent),
+tm AS (SELECT draw, e, count(*) AS m FROM (SELECT draw, ({counter_sql(SEED, "draw", "nth")}) % n AS e FROM ne CROSS JOIN (SELECT unnest(range(0, {DRAWS})) AS draw) CROSS JOIN LATERAL (SELECT unnest(range(1, n + 1)) AS nth)) GROUP BY 1, 2),
+bd AS (SELECT draw, t, {", ".join(f"sum(m * realised) FILTER (conf >= {x}) / nullif(sum(m) FILTER (conf >= {x}), 0) AS r{i}" for i, x in enumerate(THRESHOLDS))} FROM pan JOIN tm USING (e) GROUP BY 1, 2)
+{" UNION ALL ".join(f"SELECT {x}::DOUBLE AS tau, draw, {sharpe(f'r{i}')} AS s FROM bd GROUP BY draw" for i, x in enumerate(THRESHOLDS))}"""
+SUMMARY = "stddev_samp(s) AS se, quantile_cont(s, 0.025) AS ci_lo, quantile_cont(s, 0.975) AS ci_hi, (1 + count(*) FILTER (s <= 0)) / (1 + count(*))::DOUBLE AS p"
+LOW = "low AS (SELECT *, min(rho) OVER (PARTITION BY tau ORDER BY k) AS lo FROM rho WHERE k <= greatest(1, n // 3)), ef AS (SELECT tau, greatest(1.0, any_value(n) / (1 + 2 * coalesce(sum(rho) FILTER (k > 0 AND lo >= 0), 0))) AS n_eff FROM low GROUP BY tau)"
+SIZES = f"SELECT tau, n_eff FROM ({BASE}, {MOMENTS}, {acf(50)}, {LOW} SELECT * FROM ef)"
+POINTS = f"""SELECT tau, n, mean, sd, sharpe, n_eff, b, mean / (sd / sqrt(n_eff)) AS t FROM
+  ({BASE} SELECT tau, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd, {sharpe("r")} AS sharpe FROM ser GROUP BY tau) JOIN ({SIZES}) USING (tau)
+  JOIN ({BASE}, {MOMENTS}, {BLOCKS} SELECT tau, b FROM bl) USING (tau)"""
+
+
+def records(methods: tuple[str, ...], digits: int = 5) -> str:
+    """The inference records of some methods."""
+    every = " UNION ALL ".join(f"SELECT tau, '{m}' AS method, {SUMMARY} FROM ({ENTITY_DRAWS if m == 'cluster_entity' else draws_of(m)}) GROUP BY tau" for m in methods)
+    upper = student_upper_sql("t", "greatest(1.0, n_eff - 1)")
+    return f"""SELECT tau AS threshold, method, round(sharpe, {digits}) AS sharpe, round(se, {digits}) AS se, round(ci_lo, {digits}) AS ci_lo, round(ci_hi, {digits}) AS ci_hi,
+  round(mean, {digits}) AS mean_return, round(sd / sqrt(n_eff), {digits}) AS mean_return_se, round(t, {digits}) AS t_statistic, round(p, {digits}) AS positive_p_value,
+  round(2 * least(up, 1 - up), {digits}) AS two_sided_p_value, round(n_eff, {digits}) AS n_eff, n AS n_nominal, b AS block_size
+FROM (SELECT *, {upper} AS up FROM ({POINTS})) JOIN ({every}) USING (tau)"""
+
+
+HELD_ROWS = "hd AS (SELECT tau, t, e, realised FROM pan CROSS JOIN thr WHERE conf >= tau AND realised IS NOT NULL)"
+ROWS = f"""{BASE}, {HELD_ROWS}, rs AS (SELECT tau, count(*) AS n, avg(realised) / (stddev_samp(realised) / sqrt(count(*))) AS ts, {sharpe("realised")} AS sr, {sharpe("realised", 1.0)} AS s1 FROM hd GROUP BY tau)
+SELECT tau, n, ts, sr, sqrt(52.0::DOUBLE * (1 + 0.5 * s1 * s1) / n) AS se, {student_upper_sql("ts", "greatest(1, n - 1)")} AS p FROM rs"""
+RHO = f"""{BASE}, {HELD_ROWS},
+pr AS (SELECT a.tau, a.e, b.e AS e2, count(*) AS n, CASE WHEN count(*) >= 10 THEN corr(a.realised, b.realised) END AS cc FROM hd a JOIN hd b ON a.tau = b.tau AND a.t = b.t AND a.e < b.e GROUP BY 1, 2, 3),
+rh AS (SELECT tau, avg(cc) AS rho FROM pr WHERE n >= 10 AND NOT isnan(cc) GROUP BY tau)
+SELECT tau, any_value(rho) AS rho, avg(k) FILTER (k > 0) AS names, count(r) AS dates FROM dr LEFT JOIN rh USING (tau) GROUP BY tau"""
+MOULTON = "CASE WHEN 1 + (names - 1) * rho >= 0 THEN sqrt(greatest(1 + (names - 1) * rho, 0)) END"
+HAC_P = f"{BASE}, {MOMENTS}, {BANDWIDTH}, {hac(AUTO)} SELECT tau, z, p FROM h"
+RW_P = f"{BASE}, {MENU}, {ROMANO} SELECT tau, p_raw, p_adjusted FROM rw"
+BOUNDARY = f"""SELECT tau, n, dates, names, rho, {MOULTON} AS sei, ts, z, r.p AS row_p, h.p AS hac_p, p_adjusted AS rw_p
+FROM ({ROWS}) r JOIN ({RHO}) USING (tau) JOIN ({HAC_P}) h USING (tau) JOIN ({RW_P}) USING (tau)"""
+
+
+def boundary(digits: int) -> str:
+    """The row boundary of every threshold."""
+    cells = {"rho_same_date": "rho", "trading_moulton_factor": "sei", "row_t_stat": "ts", "date_hac_z": "z", "row_p_positive": "row_p", "hac_p_positive": "hac_p", "romano_wolf_p": "rw_p"}
+    return f"""SELECT tau AS threshold, n AS n_rows, dates AS n_dates, round(names, {digits}) AS avg_names, {", ".join(f"round({v}, {digits}) AS {k}" for k, v in cells.items())}, 'ok' AS status FROM ({BOUNDARY})"""
+
+
+FACTS = f"""SELECT tau, hs, qs, h.p AS hac_p, b.p AS boot_p, p_adjusted AS rw_p, gross, net, o.p_positive AS perm_p, o.status AS perm_status, o.permutation_informative AS informative, r.p AS row_p
+FROM ({BASE}, {WINDOWS}, ws AS (SELECT tau, name, {sharpe("r")} AS s FROM dr JOIN win ON t >= lo AND t < hi GROUP BY 1, 2)
+  SELECT tau, max(s) FILTER (name = 'holdout_30pct') AS hs, count(*) FILTER (name LIKE 'quarter%' AND s > 0) AS qs FROM ws GROUP BY tau)
+JOIN ({HAC_P}) h USING (tau) JOIN (SELECT tau, {SUMMARY} FROM ({draws_of("moving_block")}) GROUP BY tau) b USING (tau) JOIN ({RW_P}) USING (tau)
+JOIN ({BASE}, {WEIGHTS}, {TURNOVER} SELECT tau, {sharpe("r")} AS gross, coalesce((avg(r) - any_value(total) * 5 / 1e4) / nullif(stddev_samp(r), 0) * sqrt(52.0::DOUBLE), 0) AS net FROM dr JOIN tn USING (tau) GROUP BY tau) USING (tau)
+JOIN (SELECT threshold AS tau, * EXCLUDE threshold FROM ({summary_of(f"{BASE}, {permuted('0')}", 12, OBSERVED)})) o USING (tau) JOIN ({ROWS}) r USING (tau)"""
+GATED = f"""SELECT *, hs > 0 AS c1, hac_p <= 0.05 AS c2, rw_p <= 0.05 AS c3, informative AND perm_p IS NOT NULL AS c4, coalesce(informative AND perm_p <= 0.05, false) AS c5, true AS c6, net > 0 AS c7, qs >= 3 AS c8 FROM ({FACTS})"""
+LABELLED = f"""SELECT *, c1 AND c2 AND c3 AND c4 AND c5 AND c6 AND c7 AND c8 AS every, c1 AND c2 AND c3 AND (NOT c4 OR c5) AND c6 AND c7 AND c8 AS applicable,
+  greatest(hac_p, rw_p, CASE WHEN informative THEN perm_p END) AS audit_p FROM ({GATED})"""
+LABEL = """CASE WHEN every THEN 'Passes full evaluation' WHEN perm_status = 'degenerate' AND applicable THEN 'Permutation uninformative; remaining applicable checks pass'
+  WHEN row_p <= 0.05 AND audit_p > 0.05 THEN 'Fails permutation check' WHEN audit_p > 0.05 AND net <= 0 THEN 'Fails statistical and cost checks' WHEN net <= 0 THEN 'Fails cost check'
+  ELSE 'Does not pass full evaluation' END"""
+SENSITIVITY = f"""SELECT tau, 'threshold ' || tau::VARCHAR AS candidate_id, alpha, 'ok' AS status, hac_p <= alpha AS p1, boot_p <= alpha AS p2, rw_p <= alpha AS p3, coalesce(informative AND perm_p <= alpha, false) AS p4,
+  perm_status, informative, net > 0 AS p5, boot_p FROM ({FACTS}) CROSS JOIN (SELECT unnest([0.05::DOUBLE, 0.01]) AS alpha)
+UNION ALL SELECT NULL, 'not loaded', alpha, 'failed', NULL, NULL, NULL, NULL, 'failed', false, NULL, NULL FROM (SELECT unnest([0.05::DOUBLE, 0.01]) AS alpha)"""
+JUDGED = f"SELECT *, coalesce(p1 AND p2 AND p3 AND informative AND p4 AND p5, false) AS every, coalesce(p1 AND p2 AND p3 AND (p4 OR NOT informative) AND p5, false) AS applicable FROM ({SENSITIVITY})"
+
+#: The walk's windows: ``ser`` has a series for each threshold and fold, keyed by ``tau`` as fold * 10 + threshold.
+FOLDS = f"""{momentum()}, thr(tau) AS (VALUES {TAUS}),
+dr AS (SELECT tau, t, date, avg(realised) FILTER (conf >= tau AND realised IS NOT NULL AND pred IS NOT NULL) AS r FROM pan JOIN cal USING (t) CROSS JOIN thr GROUP BY 1, 2, 3),
+nd AS (SELECT max(t) + 1 AS n, floor((max(t) + 1) * 0.4::DOUBLE)::BIGINT AS s0 FROM dr),
+fo AS (SELECT f, s0 + (f - 1) * ((n - s0) // 5) AS lo, least(s0 + f * ((n - s0) // 5), n) AS hi FROM nd CROSS JOIN (SELECT unnest(range(1, 6)) AS f) WHERE (n - s0) // 5 > 10),
+name AS (SELECT f * 10 + tau AS wt, f, tau AS th, lo, hi FROM fo CROSS JOIN thr),
+ser AS (SELECT wt AS tau, row_number() OVER (PARTITION BY wt ORDER BY t) - 1 AS u, r FROM dr JOIN name ON dr.tau = th AND t >= lo AND t < hi WHERE r IS NOT NULL)"""
+WALKED = f"""SELECT wt, {SUMMARY} FROM (SELECT tau AS wt, draw, s FROM ({FOLDS}, {MOMENTS}, {BLOCKS}, nb AS (SELECT bl.*, floor(tau / 10)::BIGINT AS f FROM bl),
+  {indices("moving_block", "nb", seed=f"{SEED - 1} + f")} SELECT tau, draw, {sharpe("r")} AS s FROM ix JOIN ser USING (tau, u) GROUP BY 1, 2)) GROUP BY wt"""
+
+
+FACTORS = f"""{returns()},
+fa AS (SELECT t, avg(ret) AS mkt_rf, avg(ret) FILTER (e < 5) - avg(ret) FILTER (e >= 20) AS smb, avg(ret) FILTER (e % 2 = 0) - avg(ret) FILTER (e % 2 = 1) AS hml, 0.0001::DOUBLE AS rf,
+  CASE WHEN t >= 10 THEN avg(ret) FILTER (e % 3 = 0) - avg(ret) FILTER (e % 3 = 1) END AS mom FROM ret GROUP BY t)
+SELECT date, mkt_rf, smb, hml, rf, mom FROM fa JOIN cal USING (t)"""
+
+
+def menu_sql(digits: int) -> str:
+    """The menu's inference with Holm's and the joint test's corrections."""
+    return f"""WITH base AS (SELECT tau, sharpe, se, ci_lo, ci_hi, n_eff, b, p, n FROM ({POINTS}) JOIN (SELECT tau, {SUMMARY} FROM ({draws_of("moving_block")}) GROUP BY tau) USING (tau)),
+names AS ({BASE} SELECT tau, any_value(np) AS np, avg(k) AS av FROM dr JOIN (SELECT tau, count(*) FILTER (conf >= tau) AS np FROM pan CROSS JOIN thr GROUP BY tau) USING (tau) GROUP BY tau),
+ranked AS (SELECT *, row_number() OVER (ORDER BY p, tau) AS rk, count(*) OVER () AS m FROM base),
+holm AS (SELECT tau, 'holm' AS correction, max(least(1.0, p * (m - rk + 1))) OVER (ORDER BY p, tau) AS pa FROM ranked), every AS (SELECT * FROM holm UNION ALL SELECT tau, 'romano_wolf', p_adjusted FROM ({RW_P}))
+SELECT tau AS threshold, round(sharpe, {digits}) AS sharpe, round(se, {digits}) AS se, round(ci_lo, {digits}) AS ci_lo, round(ci_hi, {digits}) AS ci_hi, round(n_eff, {digits}) AS n_eff, b AS block_size, round(p, {digits}) AS p_raw, n AS n_dates, np AS n_predictions,
+  round(av, {digits}) AS avg_names, round(pa, {digits}) AS p_adjusted, p < 0.05 AS significant_raw, pa < 0.05 AS significant_adjusted, correction FROM base JOIN names USING (tau) JOIN every USING (tau)"""
+
+
+def horizon(lookback: int) -> str:
+    """One lookback's row of the horizon report."""
+    base = dates(momentum(lookback=lookback), f"({PRIMARY}::DOUBLE)")
+    both = "SELECT tau, 'hac' AS label, bandwidth FROM bw UNION ALL SELECT tau, 'iid', 0 FROM bw"
+    return f"""SELECT '{lookback}' AS lookback, tau AS threshold, n::VARCHAR AS n_dates, round(names, 4) AS avg_names, round(gross, 4) AS gross_sharpe, round(net, 4) AS net_sharpe_5bps, round(total, 4) AS daily_turnover,
+  round(pow(sh / nullif(se_rows, 0), 2), 4) AS uvif_sr, round(pow(sh / si, 2), 4) AS serial_uvif_sr, round(hp, 4) AS hac_p
+FROM ({base}, {WEIGHTS}, {TURNOVER} SELECT tau, any_value(total) AS total, count(r) AS n, avg(k) FILTER (k > 0) AS names, {sharpe("r")} AS gross, coalesce((avg(r) - any_value(total) * 5 / 1e4) / nullif(stddev_samp(r), 0) * sqrt(52.0::DOUBLE), 0) AS net FROM dr JOIN tn USING (tau) GROUP BY tau)
+JOIN ({base}, {MOMENTS}, {BANDWIDTH}, {hac(both, "tau, label")} SELECT tau, max(se) FILTER (label = 'iid') AS si, max(se) FILTER (label = 'hac') AS sh, max(p) FILTER (label = 'hac') AS hp FROM h GROUP BY tau) USING (tau)
+JOIN ({base}, {HELD} SELECT tau, se_rows FROM hs) USING (tau)"""
+
+
 def oracle() -> dict[str, str]:
     """Name -> SQL."""
-    two = dates(momentum(), "(0.0::DOUBLE), (0.5::DOUBLE)")
-    half = dates(momentum(), "(0.5::DOUBLE)")
     hac_auto = f"{BASE}, {MOMENTS}, {BANDWIDTH}, {hac(AUTO)}"
     mean_of = lambda w, where="true": f"sum({w} * realised) FILTER (conf >= 0.5 AND {where}) / nullif(sum({w}) FILTER (conf >= 0.5 AND {where}), 0)"
     static = f"""{returns()}, scored AS (SELECT t, e, (2 * e - (count(*) OVER (PARTITION BY t) - 1))::DOUBLE AS pred, lead(ret) OVER (PARTITION BY e ORDER BY t) AS nxt FROM ret){RANKED}"""
     star = (1 - EULER_GAMMA) * normal_quantile(1 - 1 / 5) + EULER_GAMMA * normal_quantile(1 - 1 / (5 * 2.718281828459045))
-    boot = lambda m: f"{BASE}, {MOMENTS}, {BLOCKS}, {indices(m)}, bs AS (SELECT tau, draw, {sharpe('r')} AS s FROM ix JOIN ser USING (tau, u) GROUP BY 1, 2)"
-    draws_of = lambda m: f"{boot(m)} SELECT tau AS threshold, '{m}' AS method, draw, round(s, 5) AS sharpe FROM bs"
+    shown = lambda m: f"SELECT tau AS threshold, '{m}' AS method, draw, round(s, 5) AS sharpe FROM ({draws_of(m)})"
     turn = lambda w: f"{BASE}, {w}, {TURNOVER} SELECT tau AS threshold, round(total, 6) AS daily_turnover, round(rescale, 6) AS turnover_rescale, round(rest, 6) AS turnover_entry_exit_flip, pairs AS n_turnover_pairs FROM tn"
     tiers = ", ".join(f"('{a}', {v}::DOUBLE, {s}::DOUBLE, {b}::DOUBLE)" for a, v, s, b in TIERS)
     return {
@@ -212,8 +315,8 @@ def oracle() -> dict[str, str]:
   UNION ALL SELECT 'signal_abs', 'as_selected', t, round({mean_of("abs(pred)")}, 6) FROM pan GROUP BY t
   UNION ALL SELECT 'equal', 'dollar_neutral', t, round(0.5 * {mean_of("1", "pred > 0")} + 0.5 * {mean_of("1", "pred < 0")}, 6) FROM pan GROUP BY t""",
         "selected_counts": f"""{BASE} SELECT tau AS threshold, count(*) AS n_dates, count(*) FILTER (k > 0) AS n_dates_selected, sum(k)::BIGINT AS n_predictions,
-  round(avg(k) FILTER (k > 0), 6) AS avg_names, min(k) FILTER (k > 0) AS min_names, round(quantile_cont(k, 0.25) FILTER (k > 0), 6) AS p25_names,
-  round(quantile_cont(k, 0.5) FILTER (k > 0), 6) AS median_names, round(quantile_cont(k, 0.75) FILTER (k > 0), 6) AS p75_names, max(k) FILTER (k > 0) AS max_names FROM dr GROUP BY tau""",
+  round(avg(k) FILTER (k > 0), 6) AS avg_names, coalesce(min(k) FILTER (k > 0), 0) AS min_names, round(quantile_cont(k, 0.25) FILTER (k > 0), 6) AS p25_names,
+  round(quantile_cont(k, 0.5) FILTER (k > 0), 6) AS median_names, round(quantile_cont(k, 0.75) FILTER (k > 0), 6) AS p75_names, coalesce(max(k) FILTER (k > 0), 0) AS max_names FROM dr GROUP BY tau""",
         "autocorrelation": f"{BASE}, {MOMENTS}, {acf(20)} SELECT tau AS threshold, k, round(rho, 6) AS rho FROM rho",
         "effective_size": f"""{BASE}, {MOMENTS}, {acf(50)},
 low AS (SELECT *, min(rho) OVER (PARTITION BY tau ORDER BY k) AS lo FROM rho WHERE k <= greatest(1, n // 3))
@@ -230,18 +333,15 @@ b AS (SELECT tau, any_value(n) AS n, max(se) FILTER (label = 'iid') AS si, max(s
 SELECT tau AS threshold, round(greatest(1.0, least(n::DOUBLE, n * pow(si / sh, 2))), 4) AS n_eff_sr, round(si, 4) AS se_iid_delta, round(sh, 4) AS se_hac_delta, round(sh / si, 4) AS se_inflation, bw AS hac_bandwidth FROM b""",
         "block_lengths": f"{BASE}, {MOMENTS}, {BLOCKS} SELECT tau AS threshold, n, b AS block_size FROM bl",
         "rolling_sharpe": f"""{BASE}, nn AS (SELECT tau, least(252, greatest(30, count(*) // 5)) AS w FROM ser GROUP BY tau),
-roll AS (SELECT a.tau, a.u, any_value(w) AS w, avg(b.r) / nullif(stddev_samp(b.r), 0) * sqrt(52.0::DOUBLE) AS s
+roll AS (SELECT a.tau, a.u, any_value(w) AS w, coalesce(avg(b.r) / nullif(stddev_samp(b.r), 0) * sqrt(52.0::DOUBLE), 0) AS s
   FROM ser a JOIN nn USING (tau) JOIN ser b ON b.tau = a.tau AND b.u BETWEEN a.u - w + 1 AND a.u WHERE a.u >= w - 1 GROUP BY 1, 2)
 SELECT tau AS threshold, w AS rolling_window, round(min(s), 4) AS rolling_sr_min, round(max(s), 4) AS rolling_sr_max FROM roll GROUP BY 1, 2""",
-        "bootstrap_iid": draws_of("iid"),
-        "bootstrap_moving_block": draws_of("moving_block"),
-        "bootstrap_stationary": draws_of("stationary"),
-        "bootstrap_summary": f"""{boot("moving_block")} SELECT tau AS threshold, 'moving_block' AS method, round(stddev_samp(s), 5) AS se, round(quantile_cont(s, 0.025), 5) AS ci_lo,
-  round(quantile_cont(s, 0.975), 5) AS ci_hi, round((1 + count(*) FILTER (s <= 0)) / (1 + count(*))::DOUBLE, 5) AS p_positive FROM bs GROUP BY tau""",
-        "entity_bootstrap": f"""{momentum()}, ne AS (SELECT count(*) AS n FROM ent),
-tm AS (SELECT draw, e, count(*) AS m FROM (SELECT draw, ({counter_sql(SEED, "draw", "nth")}) % n AS e FROM ne CROSS JOIN (SELECT unnest(range(0, 20)) AS draw) CROSS JOIN LATERAL (SELECT unnest(range(1, n + 1)) AS nth)) GROUP BY 1, 2),
-bd AS (SELECT draw, t, sum(m * realised) FILTER (conf >= 0.5) / nullif(sum(m) FILTER (conf >= 0.5), 0) AS r FROM pan JOIN tm USING (e) GROUP BY 1, 2)
-SELECT 0.5::DOUBLE AS threshold, 'cluster_entity' AS method, draw, round({sharpe("r")}, 5) AS sharpe FROM bd GROUP BY draw""",
+        "bootstrap_iid": shown("iid"),
+        "bootstrap_moving_block": shown("moving_block"),
+        "bootstrap_stationary": shown("stationary"),
+        "bootstrap_summary": f"""SELECT tau AS threshold, 'moving_block' AS method, round(se, 5) AS se, round(ci_lo, 5) AS ci_lo, round(ci_hi, 5) AS ci_hi, round(p, 5) AS p_positive
+FROM (SELECT tau, {SUMMARY} FROM ({draws_of("moving_block")}) GROUP BY tau)""",
+        "entity_bootstrap": f"SELECT tau AS threshold, 'cluster_entity' AS method, draw, round(s, 5) AS sharpe FROM ({ENTITY_DRAWS})",
         "romano_wolf": f"{BASE}, {MENU}, {ROMANO} SELECT tau AS threshold, round(t_stat, 5) AS t_stat, round(p_raw, 5) AS p_raw, round(p_adjusted, 5) AS p_adjusted, b AS block_size FROM rw, bl",
         "white_reality_check": f"""{BASE}, {MENU}, best AS (SELECT max(x) AS o FROM (SELECT avg(r) AS x FROM rows GROUP BY tau)),
 hi AS (SELECT draw, max(x) AS top FROM (SELECT draw, tau, avg(x) AS x FROM ix JOIN rows USING (u) GROUP BY 1, 2) GROUP BY draw)
@@ -254,8 +354,9 @@ SELECT tau AS threshold, round(p, 5) AS p, round(least(1.0, p * m), 5) AS p_bonf
         "deflated_sharpe": f"""{BASE}, sh AS (SELECT tau, count(*) AS n, skewness(r) AS sk, kurtosis(r) + 3 AS ku, {sharpe("r", 1.0)} AS sr FROM ser GROUP BY tau),
 d AS (SELECT *, {star} / sqrt(n - 1.0::DOUBLE) AS st, 1 - sk * sr + (ku - 1) / 4 * sr * sr AS sp FROM sh), z AS (SELECT *, (sr - st) * sqrt(n - 1.0::DOUBLE) / sqrt(sp) AS z FROM d)
 SELECT tau AS threshold, round({normal_cdf_sql("z")}, 5) AS dsr, round(st * sqrt(52.0::DOUBLE), 5) AS sr_star, round(sk, 5) AS skew, round(ku, 5) AS kurtosis FROM z""",
-        "permutation_draws": f"{two}, {permuted('0')} SELECT tau AS threshold, perm, round(s, 5) AS sharpe FROM nulls",
-        "grouped_permutation": summary_of(f"{two}, {permuted('e // 5')}", 5, f"SELECT tau, {sharpe('r')} AS o FROM dr GROUP BY tau"),
+        "permutation_draws": f"{BASE}, {permuted('0')} SELECT tau AS threshold, perm, round(s, 5) AS sharpe FROM nulls",
+        "grouped_permutation": summary_of(f"{BASE}, {permuted('e // 5')}", 5, OBSERVED),
+        "signal_permutation": summary_of(f"{BASE}, {permuted('0', 'nxt AS raw, pred, c AS conf', 'conf')}", 5, OBSERVED),
         "turnover": turn(WEIGHTS),
         "turnover_neutral": turn(NEUTRAL),
         "cost_sensitivity": f"""{BASE}, {WEIGHTS}, {TURNOVER}, sx AS (SELECT tau, avg(r) AS mean, stddev_samp(r) AS sd, {sharpe("r")} AS gross FROM dr GROUP BY tau)
@@ -264,35 +365,95 @@ SELECT tau AS threshold, bps AS cost_bps_per_rebalance, round(total, 4) AS daily
 FROM sx JOIN tn USING (tau) CROSS JOIN (SELECT unnest([0, 1, 5, 10, 25]) AS bps)""",
         "holdout_windows": f"""{BASE}, {WINDOWS} SELECT tau AS threshold, name AS "window", lo AS start_idx, hi AS end_idx, round({sharpe("r")}, 5) AS sharpe, count(r) AS n FROM dr JOIN win ON t >= lo AND t < hi GROUP BY 1, 2, 3, 4""",
         "nested_selection": f"""{BASE}, nd AS (SELECT max(t) + 1 AS n FROM dr),
-f0 AS (SELECT n, f, n // 3 + f * ((n - n // 3) // 5) AS te, (n - n // 3) // 5 AS sz FROM nd CROSS JOIN (SELECT unnest(range(0, 5)) AS f)),
-fo AS (SELECT f, te, CASE WHEN f = 4 THEN n ELSE te + sz END AS xe, floor(te * 0.7::DOUBLE)::BIGINT AS i FROM f0),
-sc AS (SELECT tau, f, te, xe, {sharpe("CASE WHEN t >= i AND t < te THEN r END")} AS s, {sharpe("CASE WHEN t >= te AND t < xe THEN r END")} AS o, count(CASE WHEN t >= te AND t < xe THEN r END) AS k FROM dr CROSS JOIN fo GROUP BY 1, 2, 3, 4)
-SELECT f AS fold, te AS train_end, xe AS test_end, tau AS chosen_threshold, round(s, 5) AS inner_sharpe, round(o, 5) AS oos_sharpe, k AS n_oos FROM sc QUALIFY row_number() OVER (PARTITION BY f ORDER BY s DESC, tau) = 1""",
-        "walk_forward": f"""{BASE}, {WEIGHTS}, {TURNOVER}, nd AS (SELECT max(t) + 1 AS n, floor((max(t) + 1) * 0.4::DOUBLE)::BIGINT AS s0 FROM dr),
-fo AS (SELECT f, s0 + f * ((n - s0) // 5) AS lo, s0 + (f + 1) * ((n - s0) // 5) AS hi FROM nd CROSS JOIN (SELECT unnest(range(0, 5)) AS f) WHERE (n - s0) // 5 > 10),
-sx AS (SELECT tau, f, lo, hi, count(r) AS n, avg(r) AS mean, stddev_samp(r) AS sd, {sharpe("r")} AS gross FROM dr JOIN fo ON t >= lo AND t < hi GROUP BY 1, 2, 3, 4 HAVING count(r) >= 10)
-SELECT tau AS threshold, f AS fold, lo AS start_idx, hi AS end_idx, n, round(gross, 4) AS gross_sharpe, bps AS round_trip_bps, round(coalesce(CASE WHEN sd > 0 THEN (mean - total * bps / 1e4) / sd * sqrt(52.0::DOUBLE) END, 0), 4) AS net_sharpe
-FROM sx JOIN tn USING (tau) CROSS JOIN (SELECT unnest([5.0::DOUBLE, 10.0, 20.0]) AS bps)""",
-        "capacity": f"""{momentum()}, po AS (SELECT t, e, coalesce(conf >= 0.5, false)::INT AS held, CASE WHEN conf >= 0.5 THEN sign(pred) ELSE 0 END AS p FROM pan),
-ch AS (SELECT t, sum(held) AS held, sum(abs(p - old)) AS moved FROM (SELECT *, lag(p) OVER (PARTITION BY e ORDER BY t) AS old FROM po) GROUP BY t),
-ba AS (SELECT avg(held) AS pos, coalesce(avg(moved / greatest(held, 1)) FILTER (t > 0), 1.0) AS tn FROM ch),
+fo AS (SELECT f, te, least(te + sz, n) AS xe, floor(te * 0.7::DOUBLE)::BIGINT AS i FROM (SELECT n, f, greatest(1, (n - n // 3) // 5) AS sz, n // 3 + (f - 1) * greatest(1, (n - n // 3) // 5) AS te FROM nd CROSS JOIN (SELECT unnest(range(1, 6)) AS f)) WHERE te < n),
+sc AS (SELECT tau, f, te, xe, {sharpe("CASE WHEN t >= i AND t < te THEN r END")} AS s, {sharpe("CASE WHEN t < te THEN r END")} AS ins, {sharpe("CASE WHEN t >= te AND t < xe THEN r END")} AS o, count(CASE WHEN t >= te AND t < xe THEN r END) AS k FROM dr CROSS JOIN fo GROUP BY 1, 2, 3, 4),
+be AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY f ORDER BY s DESC, tau) = 1), day AS (SELECT t, strftime(date, '%Y-%m-%d') AS d FROM cal)
+SELECT f AS fold, d0.d AS train_start, d1.d AS train_end, d2.d AS test_start, d3.d AS test_end, tau AS selected_threshold, round(s, 5) AS inner_val_sharpe, round(ins, 5) AS is_sharpe, round(o, 5) AS oos_sharpe, k AS oos_n_valid
+FROM be JOIN day d0 ON d0.t = 0 JOIN day d1 ON d1.t = te - 1 JOIN day d2 ON d2.t = te JOIN day d3 ON d3.t = xe - 1""",
+        "walk_forward": f"""WITH st AS ({FOLDS}, day AS (SELECT t, strftime(date, '%Y-%m-%d') AS d FROM cal)
+  SELECT wt, th, f, lo, hi, any_value(d0.d) AS d0, any_value(d1.d) AS d1, any_value(d2.d) AS d2, any_value(d3.d) AS d3, {sharpe("CASE WHEN dr.t < lo THEN r END")} AS ins, count(CASE WHEN dr.t >= lo AND dr.t < hi THEN r END) AS n,
+    avg(CASE WHEN dr.t >= lo AND dr.t < hi THEN r END) AS mean, stddev_samp(CASE WHEN dr.t >= lo AND dr.t < hi THEN r END) AS sd
+  FROM dr JOIN name ON dr.tau = th JOIN day d0 ON d0.t = 0 JOIN day d1 ON d1.t = lo - 1 JOIN day d2 ON d2.t = lo JOIN day d3 ON d3.t = hi - 1 GROUP BY 1, 2, 3, 4, 5 HAVING count(CASE WHEN dr.t >= lo AND dr.t < hi THEN r END) >= 10),
+mv AS ({BASE}, {WEIGHTS}, {TURNOVER} SELECT tau, t, total FROM pd WHERE active)
+SELECT th AS threshold, f AS fold, d0 AS train_start, d1 AS train_end, d2 AS test_start, d3 AS test_end, lo AS train_days, hi - lo AS test_days, round(ins, 4) AS is_sharpe, round(coalesce(mean / nullif(sd, 0) * sqrt(52.0::DOUBLE), 0), 4) AS oos_sharpe_gross,
+  round(mean * 52, 4) AS oos_ann_ret_gross, round(sd * sqrt(52.0::DOUBLE), 4) AS oos_ann_vol, round(ci_lo, 4) AS oos_ci_lo, round(ci_hi, 4) AS oos_ci_hi, round(p, 4) AS oos_p_value, round(n_eff, 4) AS oos_n_effective, round(nw, 4) AS nw_se_daily, round(tn, 4) AS daily_turnover,
+  {", ".join(f"round(coalesce((mean - tn * {round_trip(*c)} / 1e4) / nullif(sd, 0) * sqrt(52.0::DOUBLE), 0), 4) AS oos_sharpe_net_{round_trip(*c):.0f}bps, round((mean - tn * {round_trip(*c)} / 1e4) * 52, 4) AS oos_ann_ret_net_{round_trip(*c):.0f}bps" for c in COSTS)}
+FROM st JOIN (SELECT wt, coalesce(avg(total), 0) AS tn FROM st LEFT JOIN mv ON mv.tau = th AND t > lo AND t < hi GROUP BY wt) USING (wt) JOIN ({WALKED}) USING (wt)
+JOIN (SELECT tau AS wt, n_eff FROM ({FOLDS}, {MOMENTS}, {acf(50)}, {LOW} SELECT * FROM ef)) USING (wt)
+JOIN (SELECT tau AS wt, sqrt(greatest(s11, 0) / n) AS nw FROM ({FOLDS}, {MOMENTS}, {BANDWIDTH}, {hac(AUTO)} SELECT * FROM h)) USING (wt)""",
+        "capacity": f"""{momentum()}, thr(tau) AS (VALUES {TAUS}), po AS (SELECT tau, t, e, coalesce(conf >= tau, false)::INT AS held, CASE WHEN conf >= tau THEN sign(pred) ELSE 0 END AS p FROM pan CROSS JOIN thr),
+ch AS (SELECT tau, t, sum(held) AS held, sum(abs(p - old)) AS moved FROM (SELECT *, lag(p) OVER (PARTITION BY tau, e ORDER BY t) AS old FROM po) GROUP BY 1, 2),
+ba AS (SELECT tau, avg(held) AS pos, coalesce(avg(moved / greatest(held, 1)) FILTER (t > 0), 1.0) AS tn FROM ch GROUP BY tau),
 ti(tier, adv, vol, sp) AS (VALUES {tiers}),
 rt AS (SELECT *, a * 1e6 / greatest(pos, 1.0) / adv AS part FROM ba CROSS JOIN ti CROSS JOIN (SELECT unnest({list(AUM_MM)}) AS a)), im AS (SELECT *, vol * sqrt(part) * 1e4 AS im FROM rt)
-SELECT 0.5::DOUBLE AS threshold, a AS aum_mm, tier AS liquidity_tier, round(pos, 5) AS positions, round(part, 5) AS participation_rate, round(im, 5) AS impact_bps, round(2 * (sp + im), 5) AS total_rt_cost_bps,
+SELECT tau AS threshold, a AS aum_mm, tier AS liquidity_tier, round(pos, 5) AS positions, round(part, 5) AS participation_rate, round(im, 5) AS impact_bps, round(2 * (sp + im), 5) AS total_rt_cost_bps,
   round(tn, 5) AS daily_turnover, round(tn * 2 * (sp + im) / 1e4 * 252 * 100, 5) AS annual_cost_drag_pct, (im < 50 AND part < 0.05) AS viable FROM im""",
-        "row_boundary": f"""{BASE}, hd AS (SELECT tau, t, e, realised FROM pan CROSS JOIN thr WHERE conf >= tau AND realised IS NOT NULL),
-pr AS (SELECT a.tau, a.e, b.e AS e2, count(*) AS n, CASE WHEN count(*) >= 10 THEN corr(a.realised, b.realised) END AS cc FROM hd a JOIN hd b ON a.tau = b.tau AND a.t = b.t AND a.e < b.e GROUP BY 1, 2, 3),
-rh AS (SELECT tau, avg(cc) AS rho FROM pr WHERE n >= 10 AND NOT isnan(cc) GROUP BY tau), rs AS (SELECT tau, count(*) AS n, {T_STAT.format("realised")} AS ts FROM hd GROUP BY tau), nm AS (SELECT tau, avg(k) FILTER (k > 0) AS names FROM dr GROUP BY tau)
-SELECT tau AS threshold, n AS n_rows, round(ts, 5) AS row_t_stat, round(rho, 5) AS rho_same_date, round(names, 5) AS avg_names, round(CASE WHEN 1 + (names - 1) * rho >= 0 THEN sqrt(greatest(1 + (names - 1) * rho, 0)) END, 5) AS moulton_factor
-FROM rs JOIN nm USING (tau) LEFT JOIN rh USING (tau)""",
-        "candidate_gates": f"""{BASE}, {MOMENTS}, {BANDWIDTH}, {hac(AUTO)}, {MENU}, {ROMANO}, {WEIGHTS}, {TURNOVER}, {WINDOWS},
-ws AS (SELECT tau, name, {sharpe("r")} AS s FROM dr JOIN win ON t >= lo AND t < hi GROUP BY 1, 2),
-ho AS (SELECT tau, max(s) FILTER (name = 'holdout_30pct') AS hs, count(*) FILTER (name LIKE 'quarter%' AND s > 0) AS qs FROM ws GROUP BY tau),
-nt AS (SELECT tau, coalesce((avg(r) - any_value(total) * 5 / 1e4) / nullif(stddev_samp(r), 0) * sqrt(52.0::DOUBLE), 0) AS net FROM dr JOIN tn USING (tau) GROUP BY tau),
-al AS (SELECT tau, hs, qs, p, p_adjusted AS q, net, (hs > 0 AND p <= 0.05 AND p_adjusted <= 0.05 AND net > 0 AND qs >= 3) AS ok FROM ho JOIN h USING (tau) JOIN rw USING (tau) JOIN nt USING (tau))
-SELECT tau AS threshold, round(hs, 5) AS holdout_sharpe, qs AS positive_quarters, round(p, 5) AS hac_p, round(q, 5) AS romano_wolf_p, round(net, 5) AS net_sharpe_5bps, false AS passes_all, ok AS passes_applicable,
-  CASE WHEN ok THEN 'Permutation uninformative; remaining applicable checks pass' WHEN p > 0.05 THEN 'Date-level inference not significant' WHEN q > 0.05 THEN 'Fails multiple-testing correction'
-       WHEN net <= 0 THEN 'Fails after costs' ELSE 'Fails another check' END AS status_label FROM al""",
+        "row_boundary": boundary(5),
+        "row_naive": f"""SELECT tau AS threshold, n AS n_rows, round(ts, 5) AS row_t_stat, round(p, 5) AS row_p_positive, round(sr, 5) AS row_sharpe, round(se, 5) AS row_sharpe_se, round(sr - 1.96 * se, 5) AS row_ci_lo, round(sr + 1.96 * se, 5) AS row_ci_hi FROM ({ROWS})""",
+        "candidate_gates": f"""SELECT tau AS threshold, round(hs, 5) AS holdout_sharpe, qs AS positive_quarters, round(hac_p, 5) AS hac_p, round(rw_p, 5) AS romano_wolf_p, round(perm_p, 5) AS permutation_p, perm_status AS permutation_status,
+  round(row_p, 5) AS row_p, round(net, 5) AS net_sharpe_5bps, c1 AS passes_holdout_positive, c2 AS passes_hac, c3 AS passes_romano_wolf, c4 AS passes_informative, c5 AS passes_permutation, c6 AS passes_alpha, c7 AS passes_net_5bps,
+  c8 AS passes_quarters, every AS passes_all, applicable AS passes_applicable, round(audit_p, 5) AS audit_p, {LABEL} AS status_label FROM ({LABELLED})""",
+        "gate_sensitivity": f"""SELECT candidate_id, alpha, status, p1 AS passes_hac, p2 AS passes_bootstrap, p3 AS passes_romano_wolf, p4 AS passes_permutation, perm_status AS permutation_status, informative AS permutation_informative,
+  p5 AS passes_net_5bps, every AS passes_all, applicable AS passes_applicable, round(boot_p, 5) AS bootstrap_p FROM ({JUDGED})""",
+        "gate_counts": f"SELECT alpha, count(*) AS candidates, count(*) FILTER (every) AS n_full_passes, count(*) FILTER (applicable) AS n_applicable_passes FROM ({JUDGED}) GROUP BY alpha",
+        "inference_methods": records(("iid", "moving_block", "stationary", "cluster_date", "cluster_entity")),
+        "menu_table": menu_sql(5),
+        "dependence_summary": f"""WITH mr AS ({returns(MONTH_VALUES)} SELECT t, e, ret FROM ret WHERE t > 0), nt AS (SELECT count(DISTINCT t) AS n FROM mr),
+fu AS (SELECT e FROM mr, nt GROUP BY e, n HAVING count(ret) = n AND count(ret) >= 10),
+pc AS (SELECT corr(a.ret, b.ret) AS c FROM mr a JOIN mr b ON a.t = b.t AND a.e < b.e WHERE a.e IN (SELECT e FROM fu) AND b.e IN (SELECT e FROM fu) GROUP BY a.e, b.e),
+ser AS (SELECT 0.5::DOUBLE AS tau, row_number() OVER (ORDER BY t) - 1 AS u, avg(ret) AS r FROM mr GROUP BY t HAVING count(ret) > 0), {MOMENTS}, {acf(50)}, {LOW}
+SELECT tau AS threshold, any_value(rho.n) AS n_nominal, round(any_value(n_eff), 5) AS n_effective, round(any_value(n_eff) / any_value(rho.n), 5) AS n_eff_ratio, round(any_value(rho.n) / any_value(n_eff), 5) AS inflation_ratio,
+  {", ".join(f"round(coalesce(max(rho) FILTER (k = {k}), 0), 5) AS acf_lag{k}" for k in (1, 5, 10))}, round(coalesce((SELECT avg(c) FROM pc WHERE NOT isnan(c)), 0), 5) AS cross_sectional_corr FROM rho JOIN ef USING (tau) GROUP BY tau""",
+        "pairwise_correlation": f"""{returns()}, pc AS (SELECT count(*) AS n, corr(a.ret, b.ret) AS c FROM ret a JOIN ret b ON a.t = b.t AND a.e < b.e WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY a.e, b.e)
+SELECT round(avg(c) FILTER (NOT isnan(c)), 5) AS pairwise_corr FROM pc WHERE n >= 10""",
+        "variance_inflation": f"""SELECT tau AS threshold, round(sei, 5) AS sei, round(sei * sei, 5) AS uvif_unclipped, round(CASE WHEN sei IS NOT NULL THEN greatest(1.0, sei * sei) END, 5) AS uvif_displayed, round(1 / nullif(sei * sei, 0), 5) AS erir_unclipped,
+  round(CASE WHEN sei IS NOT NULL THEN 1 / greatest(1.0, sei * sei) END, 5) AS erir_displayed FROM (SELECT tau, {MOULTON} AS sei FROM ({RHO}))""",
+        "order_size": f"""{BASE}, {WEIGHTS}, {TURNOVER}, sx AS (SELECT tau, avg(r) - 0.5 * stddev_samp(r) / sqrt(count(r)) AS edge FROM dr GROUP BY tau)
+SELECT tau AS threshold, round(CASE WHEN edge > 0 THEN 1000.0 * pow(edge / (0.1 * total), 2) ELSE 0 END, 4) AS order_size FROM sx JOIN tn USING (tau)""",
+        "direct_benchmark": f"""{dates(static)}, ends AS (SELECT t, max(ret) FILTER (e = (SELECT max(e) FROM ret)) - max(ret) FILTER (e = 0) AS d FROM ret GROUP BY t),
+bo AS (SELECT tau, r, d, date FROM dr JOIN ends ON ends.t = dr.t + 1 JOIN cal ON cal.t = ends.t WHERE r IS NOT NULL AND d IS NOT NULL)
+SELECT tau AS threshold, count(*) AS n, strftime(min(date), '%Y-%m-%d') AS sample_start, strftime(max(date), '%Y-%m-%d') AS sample_end, round({sharpe("r")}, 5) AS panel_sharpe, round({sharpe("d")}, 5) AS direct_sharpe,
+  round(abs({sharpe("r")} - {sharpe("d")}), 5) AS sharpe_abs_diff, round(avg(r), 5) AS panel_mean, round(avg(d), 5) AS direct_mean, round(quantile_cont(r / d, 0.5) FILTER (abs(d) > 1e-12), 5) AS median_scale FROM bo GROUP BY tau""",
+        "block_returns": f"""{returns()}, kd AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i FROM (SELECT DISTINCT date FROM ret JOIN cal USING (t) WHERE ret IS NOT NULL)),
+ke AS (SELECT e, row_number() OVER (ORDER BY e) - 1 AS j FROM (SELECT DISTINCT e FROM ret WHERE ret IS NOT NULL))
+SELECT i AS t_idx, j AS e_idx, 'P' || lpad(e::VARCHAR, 2, '0') AS entity, strftime(date, '%Y-%m-%d') AS date, round(ret, 6) AS ret FROM kd CROSS JOIN ke JOIN cal USING (date) JOIN ret USING (t, e) WHERE i > (SELECT max(i) FROM kd) - 100""",
+        "price_returns": f"""{returns(f"SELECT date, entity, round(value, 4) AS value FROM ({MONTH_VALUES}) WHERE entity < 5")}, kd AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM (SELECT DISTINCT t FROM ret WHERE ret IS NOT NULL))
+SELECT i AS t_idx, e AS e_idx, 'n' || entity::VARCHAR AS entity, round(ret, 6) AS ret FROM ret JOIN kd USING (t) JOIN ent USING (e) WHERE i > (SELECT max(i) FROM kd) - 40""",
+        "price_notes": "SELECT 'n5' AS symbol, 'missing Date/Close columns' AS note",
+        "factor_series": f"SELECT strftime(date, '%Y-%m-%d') AS date, 'Momentum All' AS entity, round(sum(value) FILTER (entity % 3 = 1) / 100, 4) AS ret FROM ({MONTH_VALUES}) GROUP BY date HAVING sum(value) FILTER (entity % 3 = 1) IS NOT NULL",
+        "factor_table": f"SELECT strftime(date, '%Y-%m-%d') AS date, {', '.join(f'round({c}, 6) AS {c}' for c in ('mkt_rf', 'smb', 'hml', 'rf', 'mom'))} FROM ({FACTORS})",
+        "aligned_factors": f"""SELECT tau AS threshold, count(*) AS n, {", ".join(f"round(corr(r, {c}), 6) AS corr_{c}" for c in ("mkt_rf", "smb", "hml", "mom"))}
+FROM ({BASE} SELECT tau, date, r FROM dr JOIN cal USING (t) WHERE r IS NOT NULL) JOIN ({FACTORS}) USING (date) WHERE mkt_rf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL AND mom IS NOT NULL GROUP BY tau""",
+        "report_holdout": f"""WITH ho AS ({BASE}, {WINDOWS} SELECT name, {sharpe("r")} AS s, count(r) AS n FROM dr JOIN win ON t >= lo AND t < hi WHERE tau = {PRIMARY} GROUP BY 1)
+SELECT 'ship_week' AS candidate_id, w AS "window", round(s, 5) AS sharpe, n FROM (SELECT name AS w, s, n FROM ho WHERE name NOT LIKE 'quarter%'
+  UNION ALL SELECT 'quarter_min', min(s), min_by(n, (s, name)) FROM ho WHERE name LIKE 'quarter%' UNION ALL SELECT 'quarter_max', max(s), max_by(n, (s, -right(name, 1)::INT)) FROM ho WHERE name LIKE 'quarter%')""",
+        "report_costs": f"""{BASE}, {WEIGHTS}, {TURNOVER}, sx AS (SELECT tau, avg(r) AS mean, stddev_samp(r) AS sd, {sharpe("r")} AS gross FROM dr GROUP BY tau)
+SELECT 'ship_week' AS candidate_id, bps AS cost_bps_per_rebalance, round(total, 4) AS daily_turnover, round(gross, 4) AS gross_sharpe,
+  round(coalesce(CASE WHEN sd > 0 THEN (mean - total * bps / 1e4) / sd * sqrt(52.0::DOUBLE) END, 0), 4) AS net_sharpe, round(mean * 1e4 / nullif(total, 0), 4) AS break_even_cost_bps
+FROM sx JOIN tn USING (tau) CROSS JOIN (SELECT unnest([0, 1, 5, 10, 25]) AS bps) WHERE tau = {PRIMARY}""",
+        "report_inference": f"""SELECT 'ship_week' AS candidate_id, method, round(sharpe, 4) AS sharpe, round(se, 4) AS se, round(ci_lo, 4) AS ci_lo, round(ci_hi, 4) AS ci_hi, round(p, 4) AS p_positive, n FROM (
+  SELECT tau, 'block' AS method, sharpe, se, ci_lo, ci_hi, p, n FROM ({POINTS}) JOIN (SELECT tau, {SUMMARY} FROM ({draws_of("moving_block")}) GROUP BY tau) USING (tau)
+  UNION ALL SELECT tau, 'HAC', sharpe, se, ci_lo, ci_hi, p, n FROM ({hac_auto} SELECT * FROM h) UNION ALL SELECT tau, 'prewhite', sharpe, se, ci_lo, ci_hi, p, n FROM ({BASE}, {MOMENTS}, {PREWHITE} SELECT * FROM h)) WHERE tau = {PRIMARY}""",
+        "report_robustness": f"""SELECT 'ship_week' AS candidate_id, diagnostic, round(sharpe, 4) AS sharpe, round(se, 4) AS se, round(p, 4) AS p_positive FROM (
+  SELECT tau, 'HAC K=' || label AS diagnostic, sharpe, se, p FROM ({BASE}, {MOMENTS}, {BANDWIDTH}, {hac("SELECT tau, 'auto' AS label, bandwidth FROM bw UNION ALL SELECT tau, l::VARCHAR, l FROM m CROSS JOIN (SELECT unnest([21, 63]) AS l)", "tau, label")} SELECT * FROM h)
+  UNION ALL SELECT tau, 'prewhite', sharpe, se, p FROM ({BASE}, {MOMENTS}, {PREWHITE} SELECT * FROM h)) WHERE tau = {PRIMARY}""",
+        "report_comparator": f"""SELECT 'ship_week' AS candidate_id, round(row_p, 4) AS row_naive_p, round(i.p, 4) AS date_iid_p, round(hac_p, 4) AS date_hac_p, round(m.p, 4) AS moving_block_p, round(CASE WHEN sei IS NOT NULL THEN greatest(1.0, sei * sei) END, 4) AS uvif
+FROM ({BOUNDARY}) JOIN (SELECT tau, {SUMMARY} FROM ({draws_of("iid")}) GROUP BY tau) i USING (tau) JOIN (SELECT tau, {SUMMARY} FROM ({draws_of("moving_block")}) GROUP BY tau) m USING (tau) WHERE tau = {PRIMARY}""",
+        "report_boundary": f"SELECT 'ship_week' AS candidate_id, * REPLACE ('Available' AS status) FROM ({boundary(4)}) WHERE threshold = {PRIMARY}",
+        "report_candidates": f"""SELECT candidate_id, 'Available' AS status, round(gross, 4) AS gross_sharpe, round(hac_p, 4) AS hac_p, round(j.boot_p, 4) AS bootstrap_p, round(rw_p, 4) AS romano_wolf_p,
+  CASE WHEN f.perm_status = 'ok' THEN format('{{:.4f}}', perm_p) ELSE 'N/A' END AS permutation_p, round(net, 4) AS net_sharpe_5bps, every AS full_rule, applicable AS applicable_checks FROM ({FACTS}) f JOIN ({JUDGED}) j USING (tau) WHERE alpha = 0.05""",
+        "report_status": f"""SELECT 'threshold ' || tau::VARCHAR AS candidate_id, round(gross, 4) AS gross_sharpe, j.every AS full_rule, {LABEL.replace("every", "f.every").replace("applicable AND", "f.applicable AND").replace("AND applicable", "AND f.applicable").replace("perm_status", "f.perm_status")} AS status_label
+FROM ({LABELLED}) f JOIN ({JUDGED}) j USING (tau) WHERE alpha = 0.05""",
+        "report_permutations": f"""SELECT 'ship_week' AS candidate_id, threshold, round(observed_sharpe, 4) AS observed_sharpe, round(null_mean, 4) AS null_mean, round(null_sd, 4) AS null_sd, CASE WHEN status = 'ok' THEN format('{{:.4f}}', p_positive) ELSE 'N/A' END AS p_positive,
+  CASE WHEN status = 'ok' THEN 'Available' ELSE 'Permutation null degenerate' END AS status, n_perms FROM ({summary_of(f"{BASE}, {permuted('e // 5')}", 12, OBSERVED)})""",
+        "report_thresholds": f"""SELECT 'ship_week' AS candidate_id, threshold, round(sharpe, 4) AS sharpe, round(p_raw, 4) AS p_raw, round(n_eff, 4) AS n_eff, round(avg_names, 4) AS avg_names,
+  round(max(p_adjusted) FILTER (correction = 'holm'), 4) AS p_holm, round(max(p_adjusted) FILTER (correction = 'romano_wolf'), 4) AS p_romano_wolf, NULL::DOUBLE AS p_by, NULL::DOUBLE AS q_storey FROM ({menu_sql(12)}) GROUP BY ALL""",
+        "report_horizons": " UNION ALL ".join(horizon(x) for x in (1, 4, 13)),
+        "head_returns": f"{returns()} SELECT t AS t_idx, e AS e_idx, round(ret, 6) AS ret FROM ret WHERE t < 20",
+        "active_span": f"{BASE} SELECT tau AS threshold, strftime(min(date), '%Y-%m-%d') AS sample_start, strftime(max(date), '%Y-%m-%d') AS sample_end FROM dr JOIN cal USING (t) WHERE r IS NOT NULL GROUP BY tau",
+        "result_violations": f"""{BASE} SELECT 'dates' AS "table", 'missing ret' AS rule, count(*) AS "rows" FROM dr WHERE r IS NULL HAVING count(*) > 0 UNION ALL SELECT 'permutation', 'n_perms below 10000', {len(THRESHOLDS)}""",
+        "shared_months": f"""WITH s AS (SELECT DISTINCT date_trunc('month', date)::DATE AS d FROM ({WEEK_VALUES})), o AS (SELECT DISTINCT date AS d FROM ({MONTH_VALUES}))
+SELECT strftime(d, '%Y-%m-%d') AS month, CASE WHEN d IN (SELECT d FROM o) THEN 'both' ELSE 'shipments' END AS found FROM s""",
         "placebo": f"""{returns()}, s0 AS (SELECT t, e, CASE WHEN count(ret) OVER w = 4 THEN product(1 + ret) OVER w - 1 END AS pred, lead(ret) OVER (PARTITION BY e ORDER BY t) AS nxt
   FROM ret WINDOW w AS (PARTITION BY e ORDER BY t ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING)),
 pl AS (SELECT t, e, row_number() OVER (PARTITION BY t ORDER BY e) AS nth FROM s0 WHERE pred IS NOT NULL),
@@ -300,6 +461,6 @@ dl AS (SELECT t, pred, row_number() OVER (PARTITION BY t ORDER BY {counter_sql(S
 scored AS (SELECT s0.t, s0.e, d.pred, s0.nxt FROM s0 LEFT JOIN (SELECT pl.t, e, pred FROM pl JOIN dl USING (t, nth)) d ON d.t = s0.t AND d.e = s0.e){RANKED},
 thr(tau) AS (VALUES {TAUS}), dr AS (SELECT tau, t, avg(realised) FILTER (conf >= tau) AS r, count(*) FILTER (conf >= tau) AS k FROM pan CROSS JOIN thr GROUP BY 1, 2)
 SELECT tau AS threshold, count(r) AS n_dates, round(avg(k) FILTER (k > 0), 6) AS avg_names, round(avg(r), 6) AS mean, round(stddev_samp(r), 6) AS sd, round({sharpe("r")}, 6) AS sharpe FROM dr GROUP BY tau""",
-        "unfinished_work": f"WITH v AS ({WEEK_VALUES}) SELECT n_nationkey::BIGINT AS entity FROM nation WHERE n_nationkey NOT IN (SELECT entity FROM v)",
+        "unfinished_work": f"""SELECT entity::BIGINT AS entity, strftime(m, '%Y-%m-%d') AS month FROM (SELECT DISTINCT entity, date_trunc('month', date)::DATE AS m FROM ({WEEK_VALUES}) EXCEPT SELECT entity, date FROM ({MONTH_VALUES}))""",
         "uniform_counter": f"SELECT n_nationkey::BIGINT AS n_nationkey, {counter_sql(SEED, 'n_nationkey')} AS draw FROM nation",
     }

@@ -23,7 +23,7 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["threshold_sharpe", "strategy_panel", "cost_sensitivity", "permutation_draws", "unfinished_work"])
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_oracle(spark, name):
     db = duckdb.connect()
     for t in TABLES:

@@ -126,14 +126,25 @@ def test_bootstraps_agree_and_ignore_partitioning(spark):
     one = resample.bootstrap(frame, "stationary", 20, 7, 252.0).orderBy("draw").collect()
     two = resample.bootstrap(frame.repartition(5), "stationary", 20, 7, 252.0).orderBy("draw").collect()
     assert [r.sharpe for r in one] == pytest.approx([r.sharpe for r in two])
-    wide = resample.draw_summary(resample.kernel_draws(frame, "iid", 600, 7, 252.0)).first()
-    slow = resample.draw_summary(resample.bootstrap(frame, "iid", 300, 7, 252.0)).first()
-    assert wide.se == pytest.approx(slow.se, rel=0.25)
+
+
+def test_drawn_places_follow_the_methods():
+    draws = np.arange(300)
+    block = resample.drawn_places("moving_block", 50, 7, draws, 3)
+    assert block.shape == (300, 50) and block.min() >= 0 and block.max() <= 49
+    steps = np.diff(block, axis=1)
+    assert (np.delete(steps, np.arange(6, 49, 7), axis=1) == 1).all()
+    runs = resample.drawn_places("stationary", 50, 7, draws, 3)
+    share = ((np.diff(runs, axis=1) % 50) == 1).mean()
+    assert abs(share - 6 / 7) < 0.03
+    assert (resample.drawn_places("iid", 50, 7, draws, 3) == resample.drawn_places("cluster_date", 50, 1, draws, 3)).all()
+    with pytest.raises(ValueError):
+        resample.drawn_places("other", 50, 7, draws, 3)
 
 
 def test_degenerate_null_gives_no_p(spark):
     draws = spark.createDataFrame([("p", 0.5, i, 1.0) for i in range(20)], "panel_id string, threshold double, perm int, sharpe double")
-    observed = spark.createDataFrame([("p", 0.5, 1.0)], "panel_id string, threshold double, observed_sharpe double")
+    observed = spark.createDataFrame([("p", 0.5, 1.0, 3)], "panel_id string, threshold double, observed_sharpe double, entities int")
     got = resample.null_summary(draws, observed).first()
     assert got.status == "degenerate" and got.p_positive is None and not got.permutation_informative
 
@@ -149,24 +160,16 @@ def test_special_functions(spark):
     frame = spark.createDataFrame([(z / 4,) for z in range(-16, 17)], "z double")
     for r in frame.select("z", special.normal_cdf(F.col("z")).alias("p")).collect():
         assert r.p == pytest.approx(0.5 * math.erfc(-r.z / math.sqrt(2)), rel=2e-7)
-    assert special.student_cdf(0.0, 5) == pytest.approx(0.5)
-    assert special.student_cdf(2.015048, 5) == pytest.approx(0.95, abs=1e-6)
-    assert special.student_cdf(-1.0, 1) == pytest.approx(0.25, abs=1e-9)
-
-
-def test_gates(spark):
-    facts = spark.createDataFrame(
-        [(0.5, 0.01, 0.02, 0.1, 3, True, None), (0.5, 0.01, 0.02, 0.1, 3, False, None), (0.5, 0.2, 0.02, 0.1, 3, True, 0.01)],
-        "holdout_sharpe double, hac_p double, romano_wolf_p double, net_sharpe_5bps double, positive_quarters int, permutation_informative boolean, permutation_p double",
-    ).withColumn("alpha_p", F.lit(None).cast("double"))
-    got = portfolio.status_label(portfolio.gates(facts)).orderBy("hac_p", "permutation_informative").collect()
-    assert [(r.passes_all, r.passes_applicable) for r in got] == [(False, True), (False, False), (False, False)]
-    assert got[0].status_label.startswith("Permutation uninformative") and got[2].status_label.startswith("Date-level")
 
 
-def test_returns_use_two_exchanges(spark):
+def test_signals_and_date_returns_share_exchanges(spark):
+    """Along time once, across entities once for ranks and ties, and the date's aggregate; no cross joins."""
     values = spark.createDataFrame([("p", d, e, float(1 + d + e)) for d in range(8) for e in range(4)], "panel_id string, date int, entity int, value double")
     dates = aggregate.date_returns(panel.momentum_panel(panel.returns_of(values), 2, 0), (0.0, 0.5))
     plan = dates._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert dates.count() == 16
+    own = returns_frame(spark, [[0.1, 0.2]] * 6)
+    plan = panel.momentum_panel(own, 2, 0)._jdf.queryExecution().executedPlan().toString()
+    keyed = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert len([x for x in keyed if "e_idx" in x.split("hashpartitioning(")[1].split(")")[0]]) == 1
