@@ -1,12 +1,13 @@
 """Token counts of whole texts, as the tokenizer library gives them.
 
-Texts up to ``chunk_chars`` are counted in one piece. Longer ones are cut into
-overlapping chunks which are encoded with offsets and spliced where two
-neighbouring encodings share a proven boundary: both end a pre-token there, after
-a character that is no white space and at least ``GUARD`` characters before the
-left chunk's end. What follows such a place is encoded the same whichever text
-stands before it, since the pre-tokenizer looks ahead only. Where the overlap holds
-no such place (a pre-token longer than the overlap), the overlap is doubled.
+Texts are cut into overlapping chunks of ``chunk_chars`` which are encoded with offsets
+and spliced where two neighbouring encodings share a proven boundary: both end a
+pre-token there, after a character that is no white space and at least ``GUARD``
+characters before the left chunk's end. What follows such a place is encoded the same
+whichever text stands before it, since the pre-tokenizer looks ahead only, and less far
+than that. Where the overlap holds no such place (a pre-token longer than the overlap),
+the overlap is doubled; where the whole chunk has none, the chunk is. What is left after
+the last place, or a text of one chunk, is counted as it stands.
 
 Nulls count as empty (0 tokens), repeated rows are counted each, an empty table
 gives an empty result, and columns other than ``doc_id`` and ``text`` are not read.
@@ -87,32 +88,23 @@ class Counted:
 
 def count_spliced(counted: Counted, text: str, chunk: int, overlap: int) -> int:
     """Tokens of a text of any length, by overlapping chunks of ``chunk`` characters."""
-    if len(text) <= chunk:
-        return counted.count(text)
-    total, start, end = 0, 0, chunk  # tokens before start are in total; start is a proven boundary
-    while True:
+    total, start, end = 0, 0, min(chunk, len(text))  # tokens before start are in total; start is a proven boundary
+    while end < len(text):
         ends, tokens = counted.boundaries(text[start:end])
-        ends, reach = ends + start, end - GUARD
-        lap = overlap
-        while True:
-            begin = end - lap
-            if begin <= start:  # no boundary in the whole chunk: make the chunk itself longer
-                at, following = None, min(len(text), end + (end - start))
-                break
-            following = min(len(text), begin + max(chunk, 2 * lap))
-            own, _ = counted.boundaries(text[begin:following])
-            common = np.intersect1d(ends[ends <= reach], own + begin)
-            common = common[common > start]
+        ends, reach, lap, at = ends + start, end - GUARD, overlap, None
+        while at is None and end - lap > start:
+            # the next chunk's own encoding of the overlap: it knows nothing of what stands before
+            own, _ = counted.boundaries(text[end - lap : end])
+            common = np.intersect1d(ends[ends <= reach], own + (end - lap))
             if len(common):
                 at = int(common[-1])
-                break
             lap *= 2
-        if at is not None:
-            total += int(tokens[np.searchsorted(ends, at)])
-            start = at
-        end = following
-        if end >= len(text):
-            return total + counted.count(text[start:])
+        if at is None:  # no boundary in the whole chunk: make the chunk itself longer
+            end = min(len(text), end + (end - start))
+            continue
+        total += int(tokens[np.searchsorted(ends, at)])
+        start, end = at, min(len(text), at + chunk)
+    return total + counted.count(text[start:])
 
 
 @functools.lru_cache(maxsize=2)
@@ -139,7 +131,7 @@ def token_count(text: Column, tokenizer_path: str, chunk_chars: int, overlap_cha
 
 
 def count_tokens(
-    docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk_chars: int = 65_536, overlap_chars: int = 1_024
+    docs: DataFrame, tokenizer_path: str, limit: int = 1024, chunk_chars: int = 2_048, overlap_chars: int = 256
 ) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (more than ``limit`` tokens) of every row of ``docs``."""
     return docs.select(

@@ -23,6 +23,16 @@ def test_counts_equal_the_library(spark):
     assert got == want
 
 
+def test_ordinary_texts_are_spliced(monkeypatch):
+    """With production parameters a text of some pages goes through several chunks."""
+    library, counted, rng = Tokenizer.from_file(PATH), tc.Counted(PATH), random.Random(5)
+    text = " ".join("".join(rng.choices("abcdeé", k=rng.randrange(1, 9))) for _ in range(3000))
+    chunks, plain = [], counted.boundaries
+    monkeypatch.setattr(counted, "boundaries", lambda t: chunks.append(len(t)) or plain(t))
+    assert tc.count_spliced(counted, text, 2048, 256) == len(library.encode(text, add_special_tokens=False))
+    assert sum(n == 2048 for n in chunks) > 5 and max(chunks) == 2048
+
+
 def test_splicing_holds_on_random_texts():
     library, counted, rng = Tokenizer.from_file(PATH), tc.Counted(PATH), random.Random(7)
     parts = ["the", " the", "  ", "\n", "'ll", "<|endoftext|>", "é", "☃", "12", "!?", "x" * 90, "<|end", "　"]
