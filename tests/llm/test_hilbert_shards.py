@@ -17,7 +17,7 @@ def test_curve_visits_all_cells_by_unit_steps():
 def test_runs_are_even_and_gapless(spark):
     rows = [(i % 7, "same" * (i % 5) if i % 4 else None, "hot" if i % 3 else f"s{i}", None if i % 11 == 0 else "en", i) for i in range(203)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, shard int")
-    got = hs.shard_documents(docs, shards=10, bits=2, slices=4).collect()
+    got = hs.shard_documents(docs, shards=10, bits=2, slice_rows=7).collect()
     held = Counter(r.shard for r in got)
     assert sorted(held) == list(range(10)) and max(held.values()) - min(held.values()) <= 1
     for s, n in held.items():
@@ -35,6 +35,15 @@ def test_curve_order_holds_across_shards(spark):
     assert in_order == sorted(in_order)
 
 
+def test_strings_with_one_prefix_are_told_apart(spark):
+    rows = [(i, "x", f"https://example.org/{i % 16:02d}", "en") for i in range(320)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    cuts = hs.string_cuts(hs.metadata(docs), "source_key", 4)
+    assert [sum(r[2] <= c for r in rows) for c in cuts] == [80, 160, 240]
+    hot = docs.withColumn("source", hs.F.when(docs.doc_id < 200, "a").otherwise(docs.source))
+    assert hs.string_cuts(hs.metadata(hot), "source_key", 4)[0] == "a"
+
+
 def test_empty_and_fewer_rows_than_shards(spark):
     schema = "doc_id long, text string, source string, lang string"
     assert hs.shard_documents(spark.createDataFrame([], schema)).collect() == []
