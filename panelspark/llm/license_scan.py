@@ -3,15 +3,19 @@
 Words are runs of letters and digits (any character above ASCII counts as a letter),
 A-Z lower-cased. Base: the places where a phrase's words stand consecutively.
 
-The join finds every text block (by default a line) that holds at least
-``threshold`` of a template's distinct words. Only words that some template has can
-count, so blocks are reduced to those, in the order of their frequency over all
-documents, rarest first. With need = ceil(threshold x template size), a block can
-reach a template only if it has at least ``need`` such words (length filter), if the
-first |block| - need + 1 of its words and the first |template| - need + 1 of the
-template's share one (prefix filter), and if what follows the shared word in both is
-long enough (positional filter). What is left is verified exactly. Documents without
-any template's prefix word are not cut into blocks at all.
+The join finds every text block that holds at least ``threshold`` of a template's
+distinct words. Blocks are windows of words, whatever the line breaks: a template of up to
+w words (of ``WIDTHS``) is looked for in the windows of 2 w words that start at every w-th
+word, so that a notice of its length lies whole in one of them. Of the templates of one
+width that reach the threshold in a block, those with the largest share of their words count.
+
+Only words that some template has can count, so blocks are reduced to those, in the order
+of their frequency over all documents, rarest first. With need = ceil(threshold x template
+size), a block can reach a template only if it has at least ``need`` such words (length
+filter), if the first |block| - need + 1 of its words and the first |template| - need + 1
+of the template's share one (prefix filter), and if what follows the shared word in both is
+long enough (positional filter). What is left is verified exactly. Documents that have
+too few words of every template are not cut into blocks at all.
 
 A null text counts as empty; repeated rows are scanned each; an empty table gives an
 empty result; columns other than doc_id and text are not read.
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,18 +35,27 @@ from panelspark.llm.common import NON_WORD, ascii_lower, text_or_empty, written
 #: phrase -> label
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Sentences by which licenses are usually granted, and our labels.
+#: The notices by which licenses are usually granted, and our labels.
 TEMPLATES = {
     "agpl-3-notice": "licensed under the GNU Affero General Public License version 3",
+    "agpl-3-full": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
     "apache-2-notice": "Licensed under the Apache License, Version 2.0",
+    "apache-2-full": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "cc-by-4-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc-by-nc-4-notice": "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
     "cc-by-sa-4-notice": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
     "gpl-3-notice": "This work is licensed under the GNU General Public License, version 3",
+    "gpl-3-full": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "isc-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+    "mit-full": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "mit-short-notice": "Released under the MIT License",
-    "mpl-2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "mpl-2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "unlicense-full": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+WIDTHS = (8, 16, 32, 64, 128, 256)
 
 
 def words_of(text: str) -> list[str]:
@@ -94,60 +108,75 @@ def vocabulary_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def width_of(template: str) -> int:
+    """The least of ``WIDTHS`` that holds a template (the largest, for longer ones)."""
+    n = len(words_of(template))
+    return next((w for w in WIDTHS if n <= w), WIDTHS[-1])
+
+
 def scan_licenses(
     docs: DataFrame,
     phrases: dict[str, str] | None = None,
     templates: dict[str, str] | None = None,
     threshold: float = 0.8,
-    block_separator: str = "\n",
 ) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score.
 
     The score is 1 for a document with a base phrase, else the largest containment of
     a template that reached the threshold, else 0."""
     phrases = PHRASES if phrases is None else phrases
-    sets = {k: set(words_of(t)) for k, t in (TEMPLATES if templates is None else templates).items()}
+    templates = TEMPLATES if templates is None else templates
+    sets, widths = {k: set(words_of(t)) for k, t in templates.items()}, {k: width_of(t) for k, t in templates.items()}
     spark = docs.sparkSession
-    read = docs.select("doc_id", text_or_empty().alias("text")).withColumn("spaced", spaced(F.col("text")))
+    read = docs.select("doc_id", text_or_empty().alias("text")).withColumn("spaced", spaced(F.col("text"))).drop("text")
     order = vocabulary_order(read, sorted(set().union(*sets.values())))
     rank = {w: i for i, w in enumerate(order)}
     need = {k: math.ceil(threshold * len(s) - 1e-9) for k, s in sets.items()}
-    least = min(need.values())
     sorted_sets = {k: sorted(s, key=rank.__getitem__) for k, s in sets.items()}
     starts = {k: s[: len(s) - need[k] + 1] for k, s in sorted_sets.items()}
-    probes = sorted(set().union(*map(set, starts.values())))
 
-    # the words of a block that templates have, rarest first
-    reduced = F.transform(
-        F.split("text", block_separator),
-        lambda block: F.array_intersect(F.lit(order), F.split(spaced(block), " ")),
-    )
-    promising = F.arrays_overlap(F.split("spaced", " "), F.lit(probes))
+    words = F.split("spaced", " ")
+    own = read.withColumn("own", F.array_intersect(F.lit(order), words))
+    reached = [F.size(F.array_intersect(F.lit(s), F.col("own"))) >= need[k] for k, s in sorted_sets.items()]
+
+    def blocks(width: int) -> Column:
+        """The windows of a width with enough words of its templates: those words, rarest first."""
+        vocabulary = [w for w in order if any(w in sets[k] for k in sets if widths[k] == width)]
+        least = min(need[k] for k in sets if widths[k] == width)
+        cut = F.transform(
+            F.sequence(F.lit(0), F.size(words) - 1, F.lit(width)),
+            lambda i: F.struct(F.lit(width).alias("width"), i.alias("start"), F.array_intersect(F.lit(vocabulary), F.slice(words, i + 1, 2 * width)).alias("block")),
+        )
+        return F.filter(cut, lambda b: F.size(b["block"]) >= least)
+
+    every = F.concat(*(blocks(w) for w in sorted(set(widths.values()))))
     kept = written(
-        base_places(read, phrases)
-        .withColumn("blocks", F.when(promising, F.array_distinct(F.filter(reduced, lambda b: F.size(b) >= least))))
+        base_places(own, phrases)
+        .withColumn("blocks", F.when(reduce(lambda a, b: a | b, reached), every))
         .withColumn("row", F.monotonically_increasing_id())
-        .drop("text", "spaced"),
+        .drop("own", "spaced"),
         "license-blocks",
     )
     template_starts = spark.createDataFrame(
-        [(k, len(s), need[k], s, w, i) for k, s in sorted_sets.items() for i, w in enumerate(starts[k])],
-        "label string, size int, need int, words array<string>, word string, at int",
-    )
-    blocks = kept.select("row", F.explode("blocks").alias("block"))
-    block_starts = blocks.select(
-        "row", "block", F.posexplode(F.expr(f"slice(block, 1, size(block) - {least} + 1)")).alias("block_at", "word")
+        [(k, widths[k], len(s), need[k], s, w, i) for k, s in sorted_sets.items() for i, w in enumerate(starts[k])],
+        "label string, width int, size int, need int, words array<string>, word string, at int",
     )
+    found_blocks = kept.select("row", F.explode("blocks").alias("b")).select("row", "b.*")
+    block_starts = found_blocks.select("row", "width", "start", "block", F.posexplode("block").alias("block_at", "word"))
     rest = F.least(F.size("block") - F.col("block_at"), F.col("size") - F.col("at"))
-    found = (
-        block_starts.join(template_starts, "word")
-        .filter((F.size("block") >= F.col("need")) & (rest >= F.col("need")))
+    prefix = F.col("block_at") <= F.size("block") - F.col("need")
+    reaching = (
+        block_starts.join(F.broadcast(template_starts), ["width", "word"])
+        .filter(prefix & (rest >= F.col("need")))
         .withColumn("shared", F.size(F.array_intersect("block", "words")))
         .filter(F.col("shared") >= F.col("need"))
-        .groupBy("row")
-        .agg(F.collect_set("label").alias("found"), F.max(F.col("shared") / F.col("size")).alias("containment"))
+        .select("row", "width", "start", "label", (F.col("shared") / F.col("size")).alias("containment"))
+        .distinct()
     )
-    own = F.coalesce("found", F.array().cast("array<string>"))
+    best = reaching.groupBy("row", "width", "start").agg(F.max("containment").alias("best"), F.collect_list(F.struct("containment", "label")).alias("all"))
+    best = best.select("row", "best", F.transform(F.filter("all", lambda x: x["containment"] == F.col("best")), lambda x: x["label"]).alias("labels"))
+    found = best.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("labels"))).alias("found"), F.max("best").alias("containment"))
+    method = F.coalesce("found", F.array().cast("array<string>"))
     return kept.join(found, "row", "left").select(
         "doc_id",
         "n_words",
@@ -155,13 +184,13 @@ def scan_licenses(
         F.col("first_word").cast("long").alias("first_word"),
         F.col("last_word").cast("long").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct("base_found")), ",").alias("base_labels"),
-        F.array_join(F.array_sort(F.array_union("base_found", own)), ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_union("base_found", method)), ",").alias("labels"),
         F.round(F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("containment", F.lit(0.0))), 6).alias("score"),
     )
 
 
 def oracle(phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None, threshold: float = 0.8) -> str:
-    """The same in DuckDB SQL, comparing every line with every template."""
+    """The same in DuckDB SQL, comparing every window with every template of its width."""
     phrases = PHRASES if phrases is None else phrases
     templates = TEMPLATES if templates is None else templates
     word = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -169,27 +198,28 @@ def oracle(phrases: dict[str, str] | None = None, templates: dict[str, str] | No
     quoted = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
     phrase_rows = ", ".join(f"({quoted(p.split())}, '{label}')" for p, label in phrases.items())
     template_rows = ", ".join(
-        f"('{k}', {quoted(sorted(set(words_of(t))))}, {math.ceil(threshold * len(set(words_of(t))) - 1e-9)})" for k, t in templates.items()
+        f"('{k}', {quoted(sorted(set(words_of(t))))}, {math.ceil(threshold * len(set(words_of(t))) - 1e-9)}, {width_of(t)})" for k, t in templates.items()
     )
     return f"""
 WITH d AS (
-  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text,
-         regexp_extract_all({lower.format("coalesce(text, '')")}, {word}) AS words
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({lower.format("coalesce(text, '')")}, {word}) AS words
   FROM documents),
 p(phrase, label) AS (VALUES {phrase_rows}),
-t(label, words, need) AS (VALUES {template_rows}),
+t(label, words, need, width) AS (VALUES {template_rows}),
 places AS (
   SELECT id, label, i - 1 AS place
   FROM (SELECT id, words, unnest(range(1, len(words) + 1)) AS i FROM d) JOIN p ON words[i] = phrase[1]
   WHERE words[i : i + len(phrase) - 1] = phrase),
 base AS (
   SELECT id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM places GROUP BY id),
-line AS (
-  SELECT id, regexp_extract_all({lower.format("block")}, {word}) AS block
-  FROM (SELECT id, unnest(string_split(text, chr(10))) AS block FROM d)),
+block AS (
+  SELECT id, width, i, list_distinct(words[i + 1 : i + 2 * width]) AS block
+  FROM (SELECT id, words, width, unnest(range(0, len(words), width)) AS i FROM d CROSS JOIN (SELECT DISTINCT width FROM t))),
+met AS (
+  SELECT id, block.width, i, label, len(list_intersect(block, t.words)) / len(t.words) AS c
+  FROM block JOIN t ON block.width = t.width WHERE len(list_intersect(block, t.words)) >= need),
 own AS (
-  SELECT id, list(DISTINCT label) AS labels, max(len(list_intersect(list_distinct(block), t.words)) / len(t.words)) AS best
-  FROM line JOIN t ON len(list_intersect(list_distinct(block), t.words)) >= need
+  SELECT id, list(DISTINCT label) AS labels, max(c) AS best FROM (SELECT *, max(c) OVER (PARTITION BY id, width, i) AS top FROM met) WHERE c = top
   GROUP BY id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

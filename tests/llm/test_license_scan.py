@@ -1,4 +1,4 @@
-"""The scan against a plain computation over every line and template."""
+"""The scan against a plain computation over every window and template."""
 
 import math
 
@@ -15,12 +15,15 @@ def plain(text, threshold=0.8):
     words = ls.words_of(text or "")
     places = [(i, label) for p, label in ls.PHRASES.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
     best, own = 0.0, set()
-    for line in (text or "").split("\n"):
-        for k, t in ls.TEMPLATES.items():
-            want = set(ls.words_of(t))
-            if len(want & set(ls.words_of(line))) >= math.ceil(threshold * len(want) - 1e-9):
-                own.add(k)
-                best = max(best, len(want & set(ls.words_of(line))) / len(want))
+    for width in ls.WIDTHS:
+        for start in range(0, len(words), width):
+            block, reached = set(words[start : start + 2 * width]), {}
+            for k, t in ls.TEMPLATES.items():
+                want = set(ls.words_of(t))
+                if ls.width_of(t) == width and len(want & block) >= math.ceil(threshold * len(want) - 1e-9):
+                    reached[k] = len(want & block) / len(want)
+            own |= {k for k, c in reached.items() if c == max(reached.values())}
+            best = max([best, *reached.values()])
     base = {label for _, label in places}
     at = [i for i, _ in places]
     return (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), round(1.0 if places else best, 6))
@@ -32,5 +35,15 @@ def test_scan_equals_plain(spark):
     assert got == sorted(str((i % 9, *plain(t))) for i, t in enumerate(TEXTS))
 
 
+def test_wrapped_notices_are_found(spark):
+    """Notices broken over lines, with other words around them; the one of two alike that fits best wins."""
+    wrap = lambda t, n: "\n * ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
+    labels = ("mit-full", "bsd-full", "gpl-3-full", "agpl-3-full", "apache-2-full", "unlicense-full")
+    docs = spark.createDataFrame([(i, "some words before " * 9 + wrap(ls.TEMPLATES[k], 7) + " and after" * 30) for i, k in enumerate(labels)], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in ls.scan_licenses(docs).collect()}
+    assert all(k in got[i] for i, k in enumerate(labels))
+    assert "agpl-3-full" not in got[2] and "gpl-3-full" not in got[3]
+
+
 def test_empty_table(spark):
     assert ls.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).collect() == []
