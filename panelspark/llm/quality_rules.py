@@ -6,8 +6,9 @@ compared with those of all documents of the same language by the Jensen-Shannon
 distance (base 2, 0 to 1); a document fails where a distance exceeds its limit, but
 only from a minimum length on, below which shares are noise.
 
-Everything is in built-in functions. Each text is read once; its counts, a few dozen
-numbers, are written to the shared folder, from which references and distances come.
+Everything is in built-in functions. Each text is read twice, for the commonest words and
+for its counts; these, a few dozen numbers, are written to the shared folder, from which
+references and distances come.
 Repeated three-word windows are found inside the row: the windows' hashes are sorted
 with their places packed in, and neighbours of equal hash are compared as text.
 
@@ -20,16 +21,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.llm.common import SPACE, text_or_empty, written
 
-#: Function words of English, German, French and Spanish.
-COMMON_WORDS = (
-    "the", "and", "of", "to", "in", "der", "die", "und", "zu", "von",
-    "le", "les", "et", "la", "des", "el", "los", "que", "y", "de",
-)
+#: Commonest words of a language that make its histogram.
+COMMON = 10
 #: Character classes by Java pattern; what is left is a class of its own.
 CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "space": r"\x20\x09-\x0D", "high": r"\x80-\x{10FFFF}", "symbol": "#*$%&|<>"}
 PLACE_BITS = 31
@@ -67,11 +65,26 @@ def repeated_words(words: Column, n: Column) -> Column:
     return F.when(n >= 3, counted).otherwise(F.lit(0)).cast("long")
 
 
-def document_counts(docs: DataFrame, common: tuple[str, ...]) -> DataFrame:
+def common_words(docs: DataFrame, n: int) -> DataFrame:
+    """of (a language) and common, its ``n`` commonest words over all documents (the first in
+    order, of equal ones); a row for each language."""
+    words = docs.select("lang", F.explode(F.split(text_or_empty(), SPACE)).alias("word")).filter("word <> ''")
+    counts = words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("held"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("held"), "word"))
+    top = counts.withColumn("nth", nth).filter(F.col("nth") <= n)
+    return top.groupBy(F.col("lang").alias("of")).agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "word"))), lambda x: x["word"]).alias("common"))
+
+
+def document_counts(docs: DataFrame, n: int) -> DataFrame:
     """doc_id, lang, the base counts and the two histograms (arrays of counts) of every row."""
+    common = written(common_words(docs, n), "common-words")  # a row for each language
     read = docs.select("doc_id", "lang", text_or_empty().alias("text")).withColumn("words", F.array_remove(F.split("text", SPACE), ""))
+    read = read.join(F.broadcast(common), F.col("lang").eqNullSafe(F.col("of")), "left")
     kept = lambda pattern: F.length(F.regexp_replace("text", f"[^{pattern}]+", "")).cast("long")
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    # only the common words of the document's language, then each of them
+    reduced = lambda use: bound(F.filter("words", lambda w: F.array_contains("common", w)), use)
+    each = reduced(lambda found: F.transform("common", lambda w: (F.size(found) - F.size(F.array_remove(found, w))).cast("long")))
     read = read.select(
         "doc_id",
         "lang",
@@ -79,7 +92,7 @@ def document_counts(docs: DataFrame, common: tuple[str, ...]) -> DataFrame:
         F.length("text").cast("long").alias("chars"),
         F.size("words").alias("n"),
         F.array(*(kept(p) for p in CLASSES.values())).alias("classes"),
-        F.array(*((F.size("words") - F.size(F.array_remove("words", w))).cast("long") for w in common)).alias("commons"),
+        F.coalesce(each, F.array().cast("array<bigint>")).alias("commons"),
         bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     space, symbol = list(CLASSES).index("space"), list(CLASSES).index("symbol")
@@ -107,26 +120,19 @@ def jensen_shannon(counts: Column, reference: Column) -> Column:
     return F.when((total(counts) > 0) & (total(reference) > 0), F.sqrt(F.greatest(half / 2, F.lit(0.0))))
 
 
-def language_references(counts: DataFrame, common: tuple[str, ...]) -> DataFrame:
+def language_references(counts: DataFrame, n: int) -> DataFrame:
     """lang and both histograms summed over all its documents; a row for each language."""
-    added = lambda name, n: F.array(*(F.sum(F.col(name)[i]).cast("double") for i in range(n)))
-    return counts.groupBy("lang").agg(
-        added("char_counts", len(CLASSES) + 1).alias("char_reference"), added("word_counts", len(common) + 1).alias("word_reference")
-    )
+    added = lambda name, size: F.array_compact(F.array(*(F.sum(F.try_element_at(F.col(name), F.lit(i + 1))).cast("double") for i in range(size))))
+    return counts.groupBy("lang").agg(added("char_counts", len(CLASSES) + 1).alias("char_reference"), added("word_counts", n + 1).alias("word_reference"))
 
 
 def judge(
-    docs: DataFrame,
-    char_limit: float = 0.3,
-    word_limit: float = 0.2,
-    least_chars: int = 500,
-    least_words: int = 200,
-    common: tuple[str, ...] = COMMON_WORDS,
+    docs: DataFrame, char_limit: float = 0.3, word_limit: float = 0.2, least_chars: int = 500, least_words: int = 200, n_common: int = COMMON
 ) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept
     and the two distances (null below the minimum lengths)."""
-    counts = written(document_counts(docs, common), "document-counts")
-    references = language_references(counts, common)
+    counts = written(document_counts(docs, n_common), "document-counts")
+    references = F.broadcast(language_references(counts, n_common))  # a row for each language
     far = counts.join(references.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of")))
     far = far.withColumn("char_distance", F.when(F.col("chars") >= least_chars, jensen_shannon(F.col("char_counts"), F.col("char_reference"))))
     far = far.withColumn("word_distance", F.when(F.col("n_words") >= least_words, jensen_shannon(F.col("word_counts"), F.col("word_reference"))))
@@ -146,14 +152,11 @@ def judge(
     )
 
 
-def oracle(
-    char_limit: float = 0.3, word_limit: float = 0.2, least_chars: int = 500, least_words: int = 200, common: tuple[str, ...] = COMMON_WORDS
-) -> str:
+def oracle(char_limit: float = 0.3, word_limit: float = 0.2, least_chars: int = 500, least_words: int = 200, n_common: int = COMMON) -> str:
     """The same in DuckDB SQL, counting windows with a plain GROUP BY."""
     word = r"'[^\x20\x09-\x0D]+'"
     kept = lambda pattern: f"length(regexp_replace(text, '[^{pattern}]', '', 'g'))"
     classes = ", ".join(kept(p) for p in CLASSES.values())
-    commons = ", ".join(f"len(list_filter(words, lambda w: w = '{w}'))" for w in common)
     sums = lambda name, n: "[" + ", ".join(f"sum({name}[{i}])" for i in range(1, n + 1)) + "]"
 
     def distance(counts: str, reference: str) -> str:
@@ -166,6 +169,10 @@ def oracle(
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {word}) AS words
   FROM documents),
+top AS (
+  SELECT lang AS top_lang, list(word ORDER BY held DESC, word) AS common FROM (
+    SELECT lang, word, count(*) AS held FROM (SELECT lang, unnest(words) AS word FROM d) GROUP BY 1, 2
+    QUALIFY row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) <= {n_common}) GROUP BY lang),
 w AS (
   SELECT id, i, list_aggregate(words[i : i + 2], 'string_agg', ' ') AS gram
   FROM (SELECT id, words, unnest(range(1, len(words) - 1)) AS i FROM d)),
@@ -177,12 +184,13 @@ l AS (
   SELECT id, count(*) - count(DISTINCT line) AS n FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM d)
   WHERE regexp_matches(line, {word}) GROUP BY id),
 c AS (
-  SELECT d.*, len(words) AS n_words, length(text) AS chars, [{classes}] AS part, [{commons}] AS common, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_dup_lines
-  FROM d LEFT JOIN r USING (id) LEFT JOIN l USING (id)),
+  SELECT d.*, len(words) AS n_words, length(text) AS chars, [{classes}] AS part,
+         coalesce(list_transform(top.common, lambda x: len(list_filter(words, lambda y: y = x))), []) AS common, coalesce(r.n, 0) AS n_repeat_words, coalesce(l.n, 0) AS n_dup_lines
+  FROM d LEFT JOIN top ON lang IS NOT DISTINCT FROM top_lang LEFT JOIN r USING (id) LEFT JOIN l USING (id)),
 h AS (
-  SELECT *, list_append(part, chars - list_sum(part)::BIGINT) AS cc, list_append(common, n_words - list_sum(common)::BIGINT) AS wc FROM c),
+  SELECT *, list_append(part, chars - list_sum(part)::BIGINT) AS cc, list_append(common, n_words - coalesce(list_sum(common), 0)::BIGINT) AS wc FROM c),
 f AS (
-  SELECT lang AS of_lang, {sums("cc", len(CLASSES) + 1)} AS cr, {sums("wc", len(common) + 1)} AS wr FROM h GROUP BY lang),
+  SELECT lang AS of_lang, {sums("cc", len(CLASSES) + 1)} AS cr, list_filter({sums("wc", n_common + 1)}, lambda x: x IS NOT NULL) AS wr FROM h GROUP BY lang),
 j AS (
   SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
          CASE WHEN chars >= {least_chars} THEN {distance("cc", "cr")} END AS cd,

@@ -30,24 +30,31 @@ def distance(p, q):
     return math.sqrt(max(0.0, sum(term(x, (x + y) / 2) + term(y, (x + y) / 2) for x, y in zip(p, q)) / 2))
 
 
-def histograms(text):
-    text = text or ""
-    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+def words_in(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def histograms(text, common):
+    text, words = text or "", words_in(text)
     chars = [len(re.findall(f"[{p}]", text)) for p in ("a-z", "A-Z", "0-9", r"\x20\x09-\x0D", "\x80-\U0010ffff", "#*$%&|<>")]
-    common = [words.count(w) for w in qr.COMMON_WORDS]
-    return [*chars, len(text) - sum(chars)], [*common, len(words) - sum(common)]
+    held = [words.count(w) for w in common]
+    return [*chars, len(text) - sum(chars)], [*held, len(words) - sum(held)]
 
 
 def test_counts_and_verdicts_equal_plain(spark):
     rows = [(None if i == 3 else i % 20, t, None if i % 9 == 0 else "en", i) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_words int")
     got = Counter(map(str, (tuple(r) for r in qr.judge(docs).collect())))
-    sums = {}
+    sums, held, common = {}, {}, {}
+    for _, t, lang, _ in rows:
+        held.setdefault(lang, Counter()).update(words_in(t))
+    for lang, count in held.items():
+        common[lang] = [w for w, _ in sorted(count.items(), key=lambda x: (-x[1], x[0]))[: qr.COMMON]]
     for _, t, lang, _ in rows:
-        sums.setdefault(lang, []).append(histograms(t))
+        sums.setdefault(lang, []).append(histograms(t, common[lang]))
     want = Counter()
     for d, t, lang, _ in rows:
-        c, w = histograms(t)
+        c, w = histograms(t, common[lang])
         cr, wr = ([sum(x) for x in zip(*(h[k] for h in sums[lang]))] for k in (0, 1))
         cd = distance(c, cr) if len(t or "") >= 500 else None
         wd = distance(w, wr) if sum(w) >= 200 else None
