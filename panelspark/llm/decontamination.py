@@ -13,10 +13,11 @@ entries are extended to all windows they stand for, which are compared as text.
 shorter than a window, if there are any, are looked for among the document's runs of
 just their length.
 
-Everything is in built-in functions, and each document is read once. The benchmark's
-fingerprints are broadcast only up to ``broadcast_rows`` of them; beyond that the
-entries are shuffled, and a passage in a third of all documents is a skewed key that
-Spark splits, since the benchmark's side holds each fingerprint once.
+Everything is in built-in functions. The benchmark's fingerprints are broadcast only up
+to ``broadcast_rows`` of them, and each document is read once. Beyond that, entries are
+shuffled without their words, to find the documents that share a fingerprint, and only
+these are read again and joined with their words; a passage in a third of all documents is a
+skewed key that Spark splits, since the benchmark's side holds each fingerprint once.
 
 A null text has no words; rows are judged each, also repeated ones; benchmark rows
 without words or id are not looked for; empty tables are allowed; columns other than
@@ -68,10 +69,11 @@ def benchmark_windows(benchmark: DataFrame, window: int, gram: int) -> DataFrame
     return windows.unionByName(short).distinct()
 
 
-def document_entries(docs: DataFrame, window: int, gram: int, short_lengths: list[int]) -> DataFrame:
-    """row, doc_id, n_words and a row for each entry: at, length, fingerprint, start, and
-    the words of the windows that it stands for. Texts without entries have one of nulls."""
-    read = docs.select("doc_id", words_of(text_or_empty()).alias("words"), F.monotonically_increasing_id().alias("row"))
+def document_entries(docs: DataFrame, window: int, gram: int, short_lengths: list[int], with_words: bool = True) -> DataFrame:
+    """All columns of ``docs`` (but the text), row, n_words and a row for each entry: at, length, fingerprint, start,
+    and the words of the windows that it stands for. Texts without entries have one of nulls."""
+    others = [c for c in docs.columns if c != "text"]
+    read = docs.select(*others, words_of(text_or_empty()).alias("words"), F.monotonically_increasing_id().alias("row"))
     read = with_minima(read, window, gram)
     # the first of each run of windows with one fingerprint, and the run's end
     starts = F.filter(
@@ -79,7 +81,7 @@ def document_entries(docs: DataFrame, window: int, gram: int, short_lengths: lis
     )
     read = read.withColumn("starts", F.when(F.size("minima") > 0, starts))
     entry = lambda length, fingerprint, start, words: F.struct(
-        F.lit(length).alias("length"), fingerprint.alias("fingerprint"), start.alias("start"), words.alias("context")
+        F.lit(length).alias("length"), fingerprint.alias("fingerprint"), start.alias("start"), *([words.alias("context")] if with_words else [])
     )
     entries = [
         F.coalesce(
@@ -99,9 +101,9 @@ def document_entries(docs: DataFrame, window: int, gram: int, short_lengths: lis
 
     entries += [F.when(F.size("words") >= n, runs(n)).otherwise(F.array()) for n in short_lengths]
     return read.select(
-        "row", "doc_id", F.size("words").cast("long").alias("n_words"),
+        *others, "row", F.size("words").cast("long").alias("n_words"),
         F.posexplode_outer(F.concat(*entries) if len(entries) > 1 else entries[0]).alias("at", "entry"),
-    ).select("row", "doc_id", "n_words", "at", "entry.*")
+    ).select(*others, "row", "n_words", "at", "entry.*")
 
 
 def covered_words(spans: Column) -> Column:
@@ -119,7 +121,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     short = sorted(r["length"] for r in windows.select("length").distinct().collect() if r["length"] < window)
     fingerprints = windows.select("length", "fingerprint").distinct().withColumn("known", F.lit(True))
     if fingerprints.count() <= broadcast_rows:
-        fingerprints = F.broadcast(fingerprints)
+        return judged(docs.select("doc_id", "text"), windows, F.broadcast(fingerprints), short, window, gram)
+    # too many to broadcast: entries without their words find the documents that share any, and
+    # words are read again for these alone
+    keys = ["id_hash", "text_hash"]
+    keyed = docs.select("doc_id", "text", *row_hashes())
+    met = document_entries(keyed.drop("doc_id"), window, gram, short, with_words=False).filter("at is not null")
+    met = written(met.join(fingerprints, ["length", "fingerprint"]).select(*keys).distinct(), "contamination-keys")
+    found = judged(keyed.join(met, keys, "left_semi").select("doc_id", "text"), windows, fingerprints, short, window, gram)
+    rest = keyed.join(met, keys, "left_anti").select(
+        "doc_id", F.size(words_of(text_or_empty())).cast("long").alias("n_words"), *(F.lit(0).cast("long").alias(c) for c in ("n_hit", "n_items")),
+        F.sha2(F.lit(""), 256).alias("items_sha256"), F.lit(False).alias("contaminated"),
+    )
+    return found.unionByName(rest)
+
+
+def judged(docs: DataFrame, windows: DataFrame, fingerprints: DataFrame, short: list[int], window: int, gram: int) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text) against the benchmark's windows, by entries with their words."""
     entries = document_entries(docs, window, gram, short).join(fingerprints, ["length", "fingerprint"], "left")
     kept = written(
         entries.filter(F.col("known") | F.col("at").isNull() | (F.col("at") == 0)).select(
