@@ -105,7 +105,7 @@ def test_keys_follow_the_number_of_texts():
 
 
 def test_keys_meet_whatever_tasks_hold():
-    """All pairs of small keys, and a path to the first node in larger ones, from sorted blocks of any tasks."""
+    """All pairs of small keys, and all members of larger ones, from sorted blocks of any tasks."""
     rng = np.random.default_rng(4)
     key = np.repeat(rng.integers(0, 2**26, 40), rng.integers(1, 30, 40))
     node = rng.permutation(len(key)).astype(np.int64) + 2**40
@@ -121,10 +121,6 @@ def test_keys_meet_whatever_tasks_hold():
             assert all((a, b) in pairs for a in own for b in own if a < b)
         else:
             assert sorted(members["a"][members["key"] == k]) == own
-            reached = {own[0]}
-            for _ in own:
-                reached |= {x for p in pairs for x in p if reached & set(p)}
-            assert reached >= set(own)
     assert (nc._unpacked(nc._packed(node)) == node).all()
 
 
@@ -165,6 +161,11 @@ def test_exact_links_decide(spark):
     assert nc.verified_links(close, texts, none, 262, 5, 0.8).collect() == []
 
 
+def test_larger_keys_are_led_by_the_most_central(spark):
+    members = spark.createDataFrame([(0, k, n) for k in range(6) for n in (7, 10 * k + 100, 10 * k + 101)], "part int, key long, node long")
+    assert {(r.a, r.b) for r in nc.central_pairs(members).collect()} == {(10 * k + 100 + i, 7) for k in range(6) for i in (0, 1)}
+
+
 def test_groups_of_one_key_are_compared(spark):
     """Nodes that links leave apart meet in every block of their key."""
     prints = nc.wide_fingerprints([" ".join(f"w{i}" for i in range(100))] * 12, 5)
