@@ -6,8 +6,9 @@ A-Z lower-cased. Base: the places where a phrase's words stand consecutively.
 The join finds every text block that holds at least ``threshold`` of a template's
 distinct words. Blocks are windows of words, whatever the line breaks: a template of up to
 w words (of ``WIDTHS``) is looked for in the windows of 2 w words that start at every w-th
-word, so that a notice of its length lies whole in one of them. Of the templates of one
-width that reach the threshold in a block, those with the largest share of their words count.
+word, so that a notice of its length lies whole in one of them. Where two templates are alike (one has
+``threshold`` of the other's words), a document gets the label of the other only if no block of its
+holds a larger share of the one, or as large a share and more words.
 
 Only words that some template has can count, so blocks are reduced to those, in the order
 of their frequency over all documents, rarest first. With need = ceil(threshold x template
@@ -114,6 +115,11 @@ def width_of(template: str) -> int:
     return next((w for w in WIDTHS if n <= w), WIDTHS[-1])
 
 
+def rivals(sets: dict[str, set[str]], threshold: float) -> dict[str, list[str]]:
+    """For each template those others that have ``threshold`` of its words."""
+    return {k: [j for j in sets if j != k and len(sets[j] & s) >= threshold * len(s) - 1e-9] for k, s in sets.items()}
+
+
 def scan_licenses(
     docs: DataFrame,
     phrases: dict[str, str] | None = None,
@@ -170,12 +176,18 @@ def scan_licenses(
         .filter(prefix & (rest >= F.col("need")))
         .withColumn("shared", F.size(F.array_intersect("block", "words")))
         .filter(F.col("shared") >= F.col("need"))
-        .select("row", "width", "start", "label", (F.col("shared") / F.col("size")).alias("containment"))
-        .distinct()
+        .groupBy("row", "label", "size")
+        .agg(F.max("shared").alias("shared"))
     )
-    best = reaching.groupBy("row", "width", "start").agg(F.max("containment").alias("best"), F.collect_list(F.struct("containment", "label")).alias("all"))
-    best = best.select("row", "best", F.transform(F.filter("all", lambda x: x["containment"] == F.col("best")), lambda x: x["label"]).alias("labels"))
-    found = best.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_set("labels"))).alias("found"), F.max("best").alias("containment"))
+    reached_by = F.struct((F.col("shared") / F.col("size")).alias("share"), "shared")
+    found = reaching.groupBy("row").agg(F.collect_list(F.struct("label", reached_by.alias("reach"))).alias("all"))
+    over = rivals(sets, threshold)
+    rival = F.create_map(*(x for k in sets for x in (F.lit(k), F.array(*map(F.lit, over[k])) if over[k] else F.array().cast("array<string>"))))
+    beaten = lambda x: F.exists("all", lambda y: F.array_contains(F.element_at(rival, x["label"]), y["label"]) & (y["reach"] > x["reach"]))
+    found = found.select(
+        "row", F.transform(F.filter("all", lambda x: ~beaten(x)), lambda x: x["label"]).alias("found"),
+        F.array_max(F.transform("all", lambda x: x["reach"]["share"])).alias("containment"),
+    )
     method = F.coalesce("found", F.array().cast("array<string>"))
     return kept.join(found, "row", "left").select(
         "doc_id",
@@ -200,6 +212,8 @@ def oracle(phrases: dict[str, str] | None = None, templates: dict[str, str] | No
     template_rows = ", ".join(
         f"('{k}', {quoted(sorted(set(words_of(t))))}, {math.ceil(threshold * len(set(words_of(t))) - 1e-9)}, {width_of(t)})" for k, t in templates.items()
     )
+    pairs = [(k, j) for k, own in rivals({k: set(words_of(t)) for k, t in templates.items()}, threshold).items() for j in own]
+    rival_rows = f"VALUES {', '.join(map(str, pairs))}" if pairs else "SELECT '', '' WHERE false"
     return f"""
 WITH d AS (
   SELECT row_number() OVER () AS id, doc_id, regexp_extract_all({lower.format("coalesce(text, '')")}, {word}) AS words
@@ -216,10 +230,13 @@ block AS (
   SELECT id, width, i, list_distinct(words[i + 1 : i + 2 * width]) AS block
   FROM (SELECT id, words, width, unnest(range(0, len(words), width)) AS i FROM d CROSS JOIN (SELECT DISTINCT width FROM t))),
 met AS (
-  SELECT id, block.width, i, label, len(list_intersect(block, t.words)) / len(t.words) AS c
+  SELECT id, label, len(list_intersect(block, t.words)) / len(t.words) AS c, len(list_intersect(block, t.words)) AS s
   FROM block JOIN t ON block.width = t.width WHERE len(list_intersect(block, t.words)) >= need),
+best AS (SELECT id, label, max(c) AS c, max(s) AS s FROM met GROUP BY 1, 2),
+rival(label, other) AS ({rival_rows}),
 own AS (
-  SELECT id, list(DISTINCT label) AS labels, max(c) AS best FROM (SELECT *, max(c) OVER (PARTITION BY id, width, i) AS top FROM met) WHERE c = top
+  SELECT id, list(label) AS labels, max(c) AS best FROM best AS x
+  WHERE NOT EXISTS (SELECT 1 FROM best AS y JOIN rival ON other = y.label WHERE rival.label = x.label AND y.id = x.id AND (y.c > x.c OR (y.c = x.c AND y.s > x.s)))
   GROUP BY id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
