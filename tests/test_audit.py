@@ -209,8 +209,8 @@ def test_report_projections(spark):
     assert {tuple(r) for r in reports.rates_wide(rates, "dgp", "method", "coverage", ["hac", "iid"]).collect()} == {("a", 0.9, 0.8), ("b", 0.7, None)}
     sweep = spark.createDataFrame([("rho=0.5, N=50", "hac", 0.05, 0.6), ("N=5, rho=0.35", "hac", 0.06, 0.6), ("x", "hac", 0.0, 0.0)], "design string, method string, rejection double, mean_se double")
     assert sorted(r.panel for r in reports.design_panels(sweep).collect()) == ["A", "B"]
-    menu = spark.createDataFrame([("c", 0.3, 1), ("c", 0.6, 2), ("d", 0.9, 3)], "candidate_id string, threshold double, x int")
-    assert {(r.candidate_id, r.x) for r in reports.primary_rows(menu, 0.45).collect()} == {("c", 1), ("d", 3)}
+    menu = spark.createDataFrame([("c", 0.25, 1), ("c", 0.75, 2), ("d", 0.9, 3)], "candidate_id string, threshold double, x int")
+    assert {(r.candidate_id, r.x) for r in reports.primary_rows(menu, 0.5).collect()} == {("c", 1), ("d", 3)}
     windows = spark.createDataFrame([("c", f"quarter_{i}", s, i) for i, s in ((1, 0.5), (2, -0.1), (3, 0.5), (4, 0.2))] + [("c", "train_70pct", 1.0, 9)], "candidate_id string, window string, sharpe double, n int")
     assert {(r.window, r.sharpe, r.n) for r in reports.holdout(windows).collect()} == {("train_70pct", 1.0, 9), ("quarter_min", -0.1, 2), ("quarter_max", 0.5, 1)}
     kinds = spark.createDataFrame([("c", "panel"), ("d", "single_series_factor")], "candidate_id string, candidate_type string")

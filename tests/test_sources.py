@@ -56,7 +56,7 @@ def test_factor_series(spark):
     wide = spark.createDataFrame(rows, "` Date ` string, `Value US` string, ` Momentum ` string, Text string")
     got = texts.factor_series(wide, ("quality", "mom"))
     assert got.count() == 59 and got.select("entity").distinct().first()[0] == "Momentum"
-    assert got.filter("date = '2020-01-01'").first().ret == pytest.approx(-0.015)
+    assert got.filter("date = '2020-01-01'").first().ret == pytest.approx(-0.025)
     assert texts.factor_series(wide).select("entity").distinct().first()[0] == "Value US"
     with pytest.raises(texts.SourceError):
         texts.factor_series(wide.select("Text", "Value US"))
