@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from panelspark.llm import decontamination, hilbert_shards, license_scan, nbest_pieces, quality_classifier, quality_rules, simhash_dedup, substring_dedup, token_counts, url_filter
+from panelspark.llm import conversation_repair, decontamination, filter_audit, hilbert_shards, license_scan, nbest_pieces, quality_classifier, quality_rules, secret_scan, simhash_dedup, substring_dedup, token_counts, url_filter
 from panelspark.llm.common import small_batches, table
 
 
@@ -66,7 +66,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op5_quality_classifier, op6_nbest_pieces, op7_url_filter, op8_simhash_dedup, op9_quality_rules, op10_decontamination)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged and repaired."""
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from all documents, in every order."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, by the base patterns and by inferred formats."""
+    small_batches(spark)
+    return secret_scan.scan(table(spark, sf_dir, "documents")).drop("added")
+
+
+OPERATORS = (op1_token_counts, op2_substring_dedup, op3_hilbert_shards, op4_license_scan, op5_quality_classifier, op6_nbest_pieces, op7_url_filter, op8_simhash_dedup, op9_quality_rules, op10_decontamination, op11_conversation_repair, op12_filter_audit, op13_secret_scan)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -76,4 +92,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Name -> DuckDB SQL."""
-    return {"op4_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle(), "op9_quality_rules": quality_rules.oracle(), "op10_decontamination": decontamination.oracle()}
+    return {"op4_license_scan": license_scan.oracle(), "op7_url_filter": url_filter.oracle(), "op9_quality_rules": quality_rules.oracle(), "op10_decontamination": decontamination.oracle(), "op11_conversation_repair": conversation_repair.oracle(), "op12_filter_audit": filter_audit.oracle()}
