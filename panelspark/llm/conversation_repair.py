@@ -166,7 +166,8 @@ def repaired_text(turns: Column, audit: Column) -> Column:
 def repair(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit and repaired (the text) of every
     conversation of ``conversations`` (conv_id, turn, role, text) after damage."""
-    rows = with_faults(damaged(conversations))
+    # one shuffle for both windows and both groupings
+    rows = with_faults(damaged(conversations).repartition("conv_id"))
     here = ~F.col("gone")
 
     def number(condition: Column) -> Column:
