@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from panelspark.functions.special import counter
 from panelspark.operators import aggregate, dependence, factors, panel, portfolio, reports, resample, robustness, series, validation
 from panelspark.sources import panels, texts
-from panelspark.tables import written
+from panelspark.streaming import events, jobs
+from panelspark.tables import new_dir, written
 
 THRESHOLDS = (0.0, 0.3, 0.5, 0.7, 0.9)
 WEEKS, MONTHS, DAYS = 52.0, 12.0, 252.0
@@ -79,6 +80,32 @@ def threshold_sharpe_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(aggregate.threshold_sharpe(aggregate.date_returns(own, THRESHOLDS), DAYS))
 
 
+#: Later than all events: what closes a bounded stream.
+CLOSING = "2100-01-01 00:00:00"
+
+
+def streamed_sharpe_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all events as a stream: closed days, date returns and running summaries, each from the table before."""
+    found = jobs.replay(spark, f"{sf_dir}/events.parquet*", new_dir(spark, "stream"), THRESHOLDS, 2, 0, DAYS, CLOSING)
+    return rounded(found.select("panel_id", "threshold", "n_dates", "avg_names", "mean", "sd", "sharpe"))
+
+
+def streamed_turnover_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turnover and its parts of all events as a stream, from the running summaries."""
+    found = jobs.replay(spark, f"{sf_dir}/events.parquet*", new_dir(spark, "stream"), THRESHOLDS, 2, 0, DAYS, CLOSING)
+    return rounded(found.select("panel_id", "threshold", "daily_turnover", "turnover_rescale", "turnover_entry_exit_flip", "n_turnover_pairs"))
+
+
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the users' events as a stream: how many, how long and what they sum to."""
+    work_dir = new_dir(spark, "stream")
+    events.heartbeat(spark, f"{work_dir}/heartbeat", CLOSING)
+    jobs.close_sessions(spark, f"{sf_dir}/events.parquet*", work_dir, gap="6 hours", beats=f"{work_dir}/heartbeat")
+    found = spark.read.parquet(f"{work_dir}/sessions")
+    length = F.timestamp_diff("MINUTE", "first", "last")
+    return rounded(found.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"), F.sum("n").alias("events"), F.max(length).alias("longest_minutes"), panels.exact_sum(F.col("value")).alias("value")), 4)
+
+
 def dense_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Simple returns on the dense calendar."""
     return rounded(ship_returns(spark, sf_dir).select("panel_id", "t_idx", "e_idx", "ret"))

@@ -297,12 +297,18 @@ def oracle() -> dict[str, str]:
     static = f"""{returns()}, scored AS (SELECT t, e, (2 * e - (count(*) OVER (PARTITION BY t) - 1))::DOUBLE AS pred, lead(ret) OVER (PARTITION BY e ORDER BY t) AS nxt FROM ret){RANKED}"""
     star = (1 - EULER_GAMMA) * normal_quantile(1 - 1 / 5) + EULER_GAMMA * normal_quantile(1 - 1 / (5 * 2.718281828459045))
     shown = lambda m: f"SELECT tau AS threshold, '{m}' AS method, draw, round(s, 5) AS sharpe FROM ({draws_of(m)})"
-    turn = lambda w: f"{BASE}, {w}, {TURNOVER} SELECT tau AS threshold, round(total, 6) AS daily_turnover, round(rescale, 6) AS turnover_rescale, round(rest, 6) AS turnover_entry_exit_flip, pairs AS n_turnover_pairs FROM tn"
+    turn = lambda w, base=BASE: f"{base}, {w}, {TURNOVER} SELECT tau AS threshold, round(total, 6) AS daily_turnover, round(rescale, 6) AS turnover_rescale, round(rest, 6) AS turnover_entry_exit_flip, pairs AS n_turnover_pairs FROM tn"
     tiers = ", ".join(f"('{a}', {v}::DOUBLE, {s}::DOUBLE, {b}::DOUBLE)" for a, v, s, b in TIERS)
     return {
         "threshold_sharpe": threshold_table(BASE, 52.0),
         "threshold_sharpe_monthly": threshold_table(dates(momentum(MONTH_VALUES, 3, 1)), 12.0),
         "threshold_sharpe_daily": threshold_table(dates(momentum(DAY_VALUES, 2, 0)), 252.0),
+        "streamed_sharpe_daily": threshold_table(dates(momentum(DAY_VALUES, 2, 0)), 252.0),
+        "streamed_turnover_daily": turn(WEIGHTS, dates(momentum(DAY_VALUES, 2, 0))),
+        "streamed_sessions": """WITH o AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM o),
+x AS (SELECT user_id, s, count(*) AS n, min(ts) AS a, max(ts) + INTERVAL 6 HOUR AS b, sum(value::DECIMAL(18,4)) AS v FROM g GROUP BY 1, 2)
+SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events, max((epoch_us(b) - epoch_us(a)) // 60000000) AS longest_minutes, round(sum(v::DOUBLE::DECIMAL(18,4))::DOUBLE, 4) AS value FROM x GROUP BY 1""",
         "dense_returns": f"{returns()} SELECT t AS t_idx, e AS e_idx, round(ret, 6) AS ret FROM ret",
         "tail_returns": f"{returns()} SELECT t AS t_idx, e AS e_idx, round(ret, 6) AS ret FROM ret WHERE t > (SELECT max(t) FROM ret) - 20",
         "strategy_panel": f"{momentum()} SELECT t AS t_idx, e AS e_idx, round(pred, 6) AS pred, round(realised, 6) AS realised, round(conf, 6) AS conf FROM pan",

@@ -20,10 +20,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def new_dir(spark: SparkSession, label: str) -> str:
+    """A folder of its own in the shared one."""
+    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and
     a lost executor costs no recomputation of what stands above."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = new_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
