@@ -1,8 +1,8 @@
 """Special functions and random numbers as Spark expressions, with their SQL text.
 
 Expressions stay inside generated code; the text forms let the same formula run in
-another SQL engine. Random numbers are counters hashed with MD5, so they depend on
-neither partitioning nor retries.
+another SQL engine. Random numbers are counters mixed by whole-number arithmetic that every engine has, so they
+depend on neither partitioning nor retries.
 """
 
 from __future__ import annotations
@@ -57,15 +57,50 @@ def normal_quantile(p: float) -> float:
     return NormalDist().inv_cdf(p)
 
 
+#: Odd numbers of the counters: what the two lanes start from and the second adds, and the multiplier of a round.
+LANES, SECOND, FACTOR, ROUNDS = (0x9E3779B9, 0x85EBCA6B), 0xC2B2AE35, 0x45D9F3B, 3
+LOW_BITS = 0xFFFFFFFF
+
+
+def _mixed(x: Column) -> Column:
+    """A number below 2 ** 32 with its bits spread: rounds of a shift and a product, which stay below 2 ** 63."""
+    return F.aggregate(F.array(*[F.lit(0)] * ROUNDS), x.cast("long"), lambda v, _: (v.bitwiseXOR(F.shiftright(v, 16)) * FACTOR).bitwiseAND(LOW_BITS))
+
+
 def counter(seed: int, *parts: Column) -> Column:
-    """A uniform integer below 2 ** 32 for each combination of ``parts``."""
-    text = F.concat_ws(":", F.lit(str(seed)), *(p.cast("string") for p in parts))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
+    """A uniform integer below 2 ** 32 for each combination of ``parts``, whole numbers.
+
+    All parts but the last go into two lanes of 32 bits, started apart; the last is mixed with both."""
+    add = lambda v, p, more=0: _mixed((v + p.cast("long") + more).bitwiseAND(LOW_BITS))
+    a, b = (_mixed(F.lit((seed + start) & LOW_BITS)) for start in LANES)
+    for part in parts[:-1]:
+        a, b = add(a, part), add(b, part, SECOND)
+    return _mixed(add(a, parts[-1]).bitwiseXOR(b))
 
 
 def counter_sql(seed: int | str, *parts: str) -> str:
     """The text of :func:`counter`; the seed may be an expression."""
-    return f"('0x' || substr(md5(concat_ws(':', ({seed})::VARCHAR, {', '.join(f'({p})::VARCHAR' for p in parts)})), 1, 8))::BIGINT"
+    mixed = lambda x: f"list_reduce([({x}) & {LOW_BITS}{', 0' * ROUNDS}], lambda v, z: (xor(v, v >> 16) * {FACTOR}) & {LOW_BITS})"
+    a, b = (mixed(f"({seed})::BIGINT + {start}") for start in LANES)
+    for part in parts[:-1]:
+        a, b = mixed(f"{a} + ({part})::BIGINT"), mixed(f"{b} + ({part})::BIGINT + {SECOND}")
+    return mixed(f"xor({mixed(f'{a} + ({parts[-1]})::BIGINT')}, {b})")
+
+
+def mixed_array(x: np.ndarray) -> np.ndarray:
+    """:func:`counter`'s mixing of an array of unsigned numbers of 32 bits, whose products wrap."""
+    for _ in range(ROUNDS):
+        x = (x ^ (x >> np.uint32(16))) * np.uint32(FACTOR)
+    return x
+
+
+def counter_arrays(seed: int, *parts: np.ndarray) -> np.ndarray:
+    """:func:`counter` of arrays that fit each other's shapes, as 64-bit numbers."""
+    few = lambda x: (np.atleast_1d(x).astype(np.int64) & LOW_BITS).astype(np.uint32)
+    a, b = (mixed_array(few([seed + start])) for start in LANES)
+    for part in parts[:-1]:
+        a, b = mixed_array(a + few(part)), mixed_array(b + few(part) + np.uint32(SECOND))
+    return mixed_array(mixed_array(a + few(parts[-1])) ^ b).astype(np.int64)
 
 
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:

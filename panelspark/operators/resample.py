@@ -8,7 +8,6 @@ place), so results depend on neither partitioning nor retries.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions.special import student_upper
+from panelspark.functions.special import counter_arrays, student_upper
 from panelspark.operators.aggregate import KEYS, date_returns, sharpe_of
 from panelspark.operators.panel import along_time, compounded, rank_confidence, raw_returns
 from panelspark.operators.series import block_lengths, effective_size
@@ -33,11 +32,9 @@ def counters(seed: int, draws: np.ndarray, n: int) -> np.ndarray:
     key = (seed, int(draws[0]), len(draws))
     held = _COUNTERS.get(key)
     if held is None or held.shape[1] < n:
-        digest = hashlib.md5
-        own = [int.from_bytes(digest(f"{seed}:{d}:{p}".encode()).digest()[:4], "big") for d in draws.tolist() for p in range(n)]
         if len(_COUNTERS) > 4:
             _COUNTERS.clear()
-        held = _COUNTERS[key] = np.array(own, dtype=np.int64).reshape(len(draws), n)
+        held = _COUNTERS[key] = counter_arrays(seed, draws[:, None], np.arange(n))
     return held[:, :n]
 
 
@@ -290,7 +287,7 @@ def permuted_sharpe(
                     pool[g["e_idx"]] = g["grp"]
                 out = []
                 for perm in range(row["first"], min(row["first"] + block, perms)):
-                    keys = _turns(seed, perm, dates, len(pool))
+                    keys = counter_arrays(seed, np.array(perm), dates[:, None], np.arange(len(pool)))
                     places = np.lexsort((np.broadcast_to(np.arange(len(pool)), keys.shape), np.broadcast_to(pool, keys.shape)), axis=1)
                     turns = np.lexsort((keys, np.broadcast_to(pool, keys.shape)), axis=1)
                     order = np.empty_like(turns)
@@ -307,14 +304,6 @@ def permuted_sharpe(
     return sharpe_of_sums(sums, [*KEYS, "perm"], annualise)
 
 
-def _turns(seed: int, perm: int, dates: np.ndarray, width: int) -> np.ndarray:
-    """Hashed counters of (date, entity) for one permutation: a number of 32 bits from one hash of
-    (seed, perm, date) for every four entities."""
-    digest, blocks = hashlib.md5, -(-width // 4)
-    raw = b"".join(digest(f"{seed}:{perm}:{t}:{b}".encode()).digest() for t in dates.tolist() for b in range(blocks))
-    return np.frombuffer(raw, dtype=">u4").reshape(len(dates), 4 * blocks)[:, :width].astype(np.int64)
-
-
 def null_summary(draws: DataFrame, observed: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Null mean, sd, quantiles and p-value; a null without spread is degenerate and gives no p-value.
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.operators.aggregate import KEYS
-from panelspark.operators.series import _lagged, bandwidths, delta_method, hac_sharpe, long_run_covariance, moments, rolling_sharpe, with_moments
+from panelspark.operators.series import bandwidths, delta_method, hac_sharpe, lagged, long_run_covariance, moments, rolling_sharpe, with_moments
 
 #: The autoregression is scaled down to this spectral radius.
 LARGEST_RADIUS = 0.98
@@ -67,7 +67,7 @@ def prewhitened_covariance(series: DataFrame, lag: int | None = None, keys: tupl
     centred = residuals.join(means, list(keys)).join(widths, list(keys))
     centred = centred.withColumn("e", F.col("r") - F.col("mean_r")).withColumn("f", F.col("q") - F.col("mean_q"))
     centred = centred.withColumn("bandwidth", F.least("bandwidth", F.col("m") - 1).cast("int"))
-    products = _lagged(centred, keys, F.col("bandwidth"), ("e", "f"))
+    products = lagged(centred, keys, F.col("bandwidth"), ("e", "f"))
     w = F.when(F.col("k") == 0, 0.5).otherwise(1 - F.col("k") / (F.col("bandwidth") + 1.0))
     both = lambda a, b: F.sum(w * (F.col(a) * F.col(f"later_{b}") + F.col(b) * F.col(f"later_{a}"))) / F.first("m")
     white = products.groupBy(*keys).agg(F.first("bandwidth").alias("bandwidth"), both("e", "e").alias("w11"), both("e", "f").alias("w12"), both("f", "f").alias("w22"))

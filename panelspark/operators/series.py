@@ -13,7 +13,7 @@ from panelspark.functions.special import normal_cdf, normal_quantile
 from panelspark.operators.aggregate import KEYS, sharpe_of
 
 
-def _lagged(rows: DataFrame, keys: tuple[str, ...], upto: Column, values: tuple[str, ...]) -> DataFrame:
+def lagged(rows: DataFrame, keys: tuple[str, ...], upto: Column, values: tuple[str, ...]) -> DataFrame:
     """Each row with the row ``k`` later (columns prefixed later_), for k = 0 .. upto."""
     early = rows.withColumn("k", F.explode(F.sequence(F.lit(0), upto.cast("int")))).withColumn("at", F.col("u") + F.col("k"))
     late = rows.select(*keys, F.col("u").alias("at"), *(F.col(v).alias(f"later_{v}") for v in values))
@@ -35,7 +35,7 @@ def with_moments(series: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
 def autocorrelation(series: DataFrame, max_lag: int = 20, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """k and rho for k = 0 .. min(max_lag, n - 1); 0 beyond lag 0 for a series without spread."""
     rows = with_moments(series, keys).withColumn("x", F.col("r") - F.col("mu"))
-    products = _lagged(rows, keys, F.least(F.lit(max_lag), F.col("n") - 1), ("x",))
+    products = lagged(rows, keys, F.least(F.lit(max_lag), F.col("n") - 1), ("x",))
     sums = products.groupBy(*keys, "k").agg(F.sum(F.col("x") * F.col("later_x")).alias("c"), F.first("n").alias("n"))
     c0 = F.max(F.when(F.col("k") == 0, F.col("c"))).over(Window.partitionBy(*keys))
     rho = F.when(F.col("k") == 0, 1.0).when(c0 > 0, F.col("c") / c0).otherwise(0.0)
@@ -74,7 +74,7 @@ def long_run_covariance(series: DataFrame, widths: DataFrame, keys: tuple[str, .
     rows = with_moments(series, keys).join(widths, list(keys))
     rows = rows.withColumn("x", F.col("r") - F.col("mu")).withColumn("y", F.col("r") * F.col("r") - F.col("m2"))
     rows = rows.withColumn("bandwidth", F.least("bandwidth", F.col("n") - 1))
-    products = _lagged(rows, wide, F.col("bandwidth"), ("x", "y"))
+    products = lagged(rows, wide, F.col("bandwidth"), ("x", "y"))
     w = F.when(F.col("k") == 0, 0.5).otherwise(1 - F.col("k") / (F.col("bandwidth") + 1.0))
     both = lambda a, b: F.sum(w * (F.col(a) * F.col(f"later_{b}") + F.col(b) * F.col(f"later_{a}"))) / F.first("n")
     return products.groupBy(*wide).agg(

@@ -38,16 +38,24 @@ def below_scale(frame: DataFrame, table: str, column: str, least: int, where: Co
     return violations(frame if where is None else frame.filter(where), table, {f"{column} below {least}": F.col(column) < least})
 
 
+def benchmark_rules(scale: float = 0.5, tolerance: float = 1e-10) -> dict[str, Column]:
+    """Rules against a panel that isn't its direct portfolio but for a scale."""
+    return {"sharpe differs": F.col("sharpe_abs_diff") > tolerance, "scale differs": F.abs(F.col("median_scale") - scale) > tolerance}
+
+
 def benchmark_off(benchmark: DataFrame, table: str = "momentum_benchmark", scale: float = 0.5, tolerance: float = 1e-10) -> DataFrame:
     """A panel that isn't its direct portfolio but for a scale."""
-    return violations(benchmark, table, {
-        "sharpe differs": F.col("sharpe_abs_diff") > tolerance, "scale differs": F.abs(F.col("median_scale") - scale) > tolerance,
-    })
+    return violations(benchmark, table, benchmark_rules(scale, tolerance))
+
+
+def provenance_rules() -> dict[str, Column]:
+    """Rules against empty files and what is no sha256."""
+    return {"empty file": F.col("bytes") <= 0, "no sha256": F.length("sha256") != 64}
 
 
 def bad_provenance(files: DataFrame, table: str = "provenance") -> DataFrame:
     """Empty files and what is no sha256."""
-    return violations(files, table, {"empty file": F.col("bytes") <= 0, "no sha256": F.length("sha256") != 64})
+    return violations(files, table, provenance_rules())
 
 
 def missing_keys(wanted: DataFrame, found: DataFrame, table: str) -> DataFrame:

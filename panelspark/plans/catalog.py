@@ -20,7 +20,8 @@ PLAIN = (
     q.aligned_factors, q.factor_alpha, q.prewhitened_hac, q.sharpe_inflation, q.report_holdout, q.report_costs, q.report_inference,
     q.report_robustness, q.report_comparator, q.report_boundary, q.report_candidates, q.report_status, q.report_permutations, q.report_thresholds,
     q.report_horizons, q.head_returns, q.active_span, q.result_violations, q.shared_months, q.unfinished_work, q.uniform_counter,
-    q.streamed_sharpe_daily, q.streamed_turnover_daily, q.streamed_sessions,
+    q.streamed_sharpe_daily, q.streamed_turnover_daily, q.streamed_sessions, q.piece_returns,
+    q.archive_returns, q.workbook_series, q.report_fixed_b,
 )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panelspark.functions.special import counter_sql, normal_cdf_sql, normal_quantile, student_upper_sql
 from panelspark.operators.portfolio import AUM_MM, COSTS, EULER_GAMMA, TIERS, round_trip
+from panelspark.operators.campaign import TABLES as TABLE_NAMES
 from panelspark.plans.panel_queries import DRAWS, PERMS, PRIMARY, SEED, THRESHOLDS
 
 WEEK_VALUES = """SELECT date_trunc('week', l_shipdate)::DATE AS date, s_nationkey AS entity,
@@ -175,8 +176,8 @@ def summary_of(base: str, digits: int, obs: str) -> str:
 
 
 def permuted(group: str, source: str = "realised / nullif(sign(pred), 0) AS raw, pred, conf", table: str = "pan") -> str:
-    """CTE ``nulls`` (perm, tau, s): an entity's turn is four bytes of a hash that four entities share."""
-    turn = f"('0x' || substr(md5(concat_ws(':', '{SEED}', perm::VARCHAR, t::VARCHAR, (e // 4)::VARCHAR)), 1 + 8 * (e % 4)::INT, 8))::BIGINT"
+    """CTE ``nulls`` (perm, tau, s)."""
+    turn = counter_sql(SEED, "perm", "t", "e")
     return f"""raw AS (SELECT t, e, {group} AS grp, {source}, perm FROM {table} CROSS JOIN (SELECT unnest(range(0, {PERMS})) AS perm)),
 pl AS (SELECT perm, t, grp, raw, row_number() OVER (PARTITION BY perm, t, grp ORDER BY e) AS nth FROM raw),
 dl AS (SELECT perm, t, grp, pred, conf, row_number() OVER (PARTITION BY perm, t, grp ORDER BY {turn}, e) AS nth FROM raw),
@@ -235,13 +236,39 @@ def boundary(digits: int) -> str:
     return f"""SELECT tau AS threshold, n AS n_rows, dates AS n_dates, round(names, {digits}) AS avg_names, {", ".join(f"round({v}, {digits}) AS {k}" for k, v in cells.items())}, 'ok' AS status FROM ({BOUNDARY})"""
 
 
-FACTS = f"""SELECT tau, hs, qs, h.p AS hac_p, b.p AS boot_p, p_adjusted AS rw_p, gross, net, o.p_positive AS perm_p, o.status AS perm_status, o.permutation_informative AS informative, r.p AS row_p
-FROM ({BASE}, {WINDOWS}, ws AS (SELECT tau, name, {sharpe("r")} AS s FROM dr JOIN win ON t >= lo AND t < hi GROUP BY 1, 2)
+FACTORS = f"""{returns()},
+fa AS (SELECT t, avg(ret) AS mkt_rf, avg(ret) FILTER (e < 5) - avg(ret) FILTER (e >= 20) AS smb, avg(ret) FILTER (e % 2 = 0) - avg(ret) FILTER (e % 2 = 1) AS hml, 0.0001::DOUBLE AS rf,
+  CASE WHEN t >= 10 THEN avg(ret) FILTER (e % 3 = 0) - avg(ret) FILTER (e % 3 = 1) END AS mom FROM ret GROUP BY t)
+SELECT date, mkt_rf, smb, hml, rf, mom FROM fa JOIN cal USING (t)"""
+
+
+def alpha() -> str:
+    """tau, n, alpha, se, lag, t and p of each series: normal equations solved a regressor a CTE, then the lagged scores."""
+    x, last = ("1.0::DOUBLE", "mkt_rf", "smb", "hml", "mom", "r"), 5
+    row = lambda f: ", ".join(f(i, j) for i in range(last) for j in range(last + 2))
+    start = lambda i, j: f"{'1.0::DOUBLE' if i == 0 else '0.0::DOUBLE'} AS m_{i}_{j}" if j > last else f"sum({x[i]} * {x[j]}) AS m_{i}_{j}"
+    steps = [f"g0 AS (SELECT tau, count(*) AS n, {row(start)}, {', '.join(f'sum({x[i]} * {x[i]}) AS d_{i}' for i in range(last))} FROM al GROUP BY tau)"]
+    for k in range(last):
+        pivot = f"CASE WHEN m_{k}_{k} > 1e-12 * d_{k} THEN 1 / m_{k}_{k} ELSE 0 END"
+        less = lambda i, j, k=k: f"m_{i}_{j} * pv AS m_{i}_{j}" if i == k else f"m_{i}_{j} - m_{i}_{k} * pv * m_{k}_{j} AS m_{i}_{j}"
+        steps.append(f"g{k + 1} AS (SELECT tau, n, {row(less)}, {', '.join(f'd_{i}' for i in range(last))} FROM (SELECT *, {pivot} AS pv FROM g{k}))")
+    through = lambda c: " + ".join(f"{x[i]} * m_{i}_{c}" for i in range(last))
+    return f"""WITH al AS (SELECT tau, date, r, {", ".join(x[1:last])}, row_number() OVER (PARTITION BY tau ORDER BY date) - 1 AS u
+  FROM ({BASE} SELECT tau, date, r FROM dr JOIN cal USING (t) WHERE r IS NOT NULL) JOIN ({FACTORS}) USING (date) WHERE mkt_rf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL AND mom IS NOT NULL),
+ser AS (SELECT tau, u, r FROM al), {MOMENTS}, {BANDWIDTH}, {", ".join(steps)},
+sc AS (SELECT tau, u, n, m_0_{last} AS alpha, bandwidth, ({through(last + 1)}) * (r - ({through(last)})) AS g FROM al JOIN g{last} USING (tau) JOIN (SELECT tau, bandwidth FROM bw) USING (tau)),
+vv AS (SELECT tau, any_value(a.n) AS n, any_value(a.alpha) AS alpha, any_value(a.bandwidth) AS lag, sum(CASE WHEN k = 0 THEN 1 ELSE 2 * (1 - k / (a.bandwidth + 1.0::DOUBLE)) END * a.g * b.g) AS v
+  FROM sc a CROSS JOIN LATERAL (SELECT unnest(range(0, least(a.bandwidth, a.n - 1) + 1)) AS k) JOIN sc b USING (tau) WHERE b.u = a.u + k GROUP BY tau)
+SELECT tau, n, alpha, sqrt(greatest(v, 0)) AS se, lag, alpha / sqrt(v) AS t, 1 - {normal_cdf_sql("alpha / sqrt(v)")} AS p FROM vv"""
+
+
+FACTS = f"""SELECT tau, hs, qs, h.p AS hac_p, b.p AS boot_p, p_adjusted AS rw_p, gross, net, o.p_positive AS perm_p, o.status AS perm_status, o.permutation_informative AS informative, r.p AS row_p,
+  al.alpha, al.p AS alpha_p FROM ({BASE}, {WINDOWS}, ws AS (SELECT tau, name, {sharpe("r")} AS s FROM dr JOIN win ON t >= lo AND t < hi GROUP BY 1, 2)
   SELECT tau, max(s) FILTER (name = 'holdout_30pct') AS hs, count(*) FILTER (name LIKE 'quarter%' AND s > 0) AS qs FROM ws GROUP BY tau)
 JOIN ({HAC_P}) h USING (tau) JOIN (SELECT tau, {SUMMARY} FROM ({draws_of("moving_block")}) GROUP BY tau) b USING (tau) JOIN ({RW_P}) USING (tau)
 JOIN ({BASE}, {WEIGHTS}, {TURNOVER} SELECT tau, {sharpe("r")} AS gross, coalesce((avg(r) - any_value(total) * 5 / 1e4) / nullif(stddev_samp(r), 0) * sqrt(52.0::DOUBLE), 0) AS net FROM dr JOIN tn USING (tau) GROUP BY tau) USING (tau)
-JOIN (SELECT threshold AS tau, * EXCLUDE threshold FROM ({summary_of(f"{BASE}, {permuted('0')}", 12, OBSERVED)})) o USING (tau) JOIN ({ROWS}) r USING (tau)"""
-GATED = f"""SELECT *, hs > 0 AS c1, hac_p <= 0.05 AS c2, rw_p <= 0.05 AS c3, informative AND perm_p IS NOT NULL AS c4, coalesce(informative AND perm_p <= 0.05, false) AS c5, true AS c6, net > 0 AS c7, qs >= 3 AS c8 FROM ({FACTS})"""
+JOIN (SELECT threshold AS tau, * EXCLUDE threshold FROM ({summary_of(f"{BASE}, {permuted('0')}", 12, OBSERVED)})) o USING (tau) JOIN ({ROWS}) r USING (tau) JOIN ({alpha()}) al USING (tau)"""
+GATED = f"""SELECT *, hs > 0 AS c1, hac_p <= 0.05 AS c2, rw_p <= 0.05 AS c3, informative AND perm_p IS NOT NULL AS c4, coalesce(informative AND perm_p <= 0.05, false) AS c5, coalesce(alpha > 0 AND alpha_p <= 0.05, false) AS c6, net > 0 AS c7, qs >= 3 AS c8 FROM ({FACTS})"""
 LABELLED = f"""SELECT *, c1 AND c2 AND c3 AND c4 AND c5 AND c6 AND c7 AND c8 AS every, c1 AND c2 AND c3 AND (NOT c4 OR c5) AND c6 AND c7 AND c8 AS applicable,
   greatest(hac_p, rw_p, CASE WHEN informative THEN perm_p END) AS audit_p FROM ({GATED})"""
 LABEL = """CASE WHEN every THEN 'Passes full evaluation' WHEN perm_status = 'degenerate' AND applicable THEN 'Permutation uninformative; remaining applicable checks pass'
@@ -263,11 +290,6 @@ WALKED = f"""SELECT wt, {SUMMARY} FROM (SELECT tau AS wt, draw, s FROM ({FOLDS},
   {indices("moving_block", "nb", seed=f"{SEED - 1} + f")} SELECT tau, draw, {sharpe("r")} AS s FROM ix JOIN ser USING (tau, u) GROUP BY 1, 2)) GROUP BY wt"""
 
 
-FACTORS = f"""{returns()},
-fa AS (SELECT t, avg(ret) AS mkt_rf, avg(ret) FILTER (e < 5) - avg(ret) FILTER (e >= 20) AS smb, avg(ret) FILTER (e % 2 = 0) - avg(ret) FILTER (e % 2 = 1) AS hml, 0.0001::DOUBLE AS rf,
-  CASE WHEN t >= 10 THEN avg(ret) FILTER (e % 3 = 0) - avg(ret) FILTER (e % 3 = 1) END AS mom FROM ret GROUP BY t)
-SELECT date, mkt_rf, smb, hml, rf, mom FROM fa JOIN cal USING (t)"""
-
 
 def menu_sql(digits: int) -> str:
     """The menu's inference with Holm's and the joint test's corrections."""
@@ -299,7 +321,7 @@ def oracle() -> dict[str, str]:
     shown = lambda m: f"SELECT tau AS threshold, '{m}' AS method, draw, round(s, 5) AS sharpe FROM ({draws_of(m)})"
     turn = lambda w, base=BASE: f"{base}, {w}, {TURNOVER} SELECT tau AS threshold, round(total, 6) AS daily_turnover, round(rescale, 6) AS turnover_rescale, round(rest, 6) AS turnover_entry_exit_flip, pairs AS n_turnover_pairs FROM tn"
     tiers = ", ".join(f"('{a}', {v}::DOUBLE, {s}::DOUBLE, {b}::DOUBLE)" for a, v, s, b in TIERS)
-    return {
+    found = {
         "threshold_sharpe": threshold_table(BASE, 52.0),
         "threshold_sharpe_monthly": threshold_table(dates(momentum(MONTH_VALUES, 3, 1)), 12.0),
         "threshold_sharpe_daily": threshold_table(dates(momentum(DAY_VALUES, 2, 0)), 252.0),
@@ -414,7 +436,8 @@ SELECT tau AS threshold, any_value(rho.n) AS n_nominal, round(any_value(n_eff),
 SELECT round(avg(c) FILTER (NOT isnan(c)), 5) AS pairwise_corr FROM pc WHERE n >= 10""",
         "variance_inflation": f"""SELECT tau AS threshold, round(sei, 5) AS sei, round(sei * sei, 5) AS uvif_unclipped, round(CASE WHEN sei IS NOT NULL THEN greatest(1.0, sei * sei) END, 5) AS uvif_displayed, round(1 / nullif(sei * sei, 0), 5) AS erir_unclipped,
   round(CASE WHEN sei IS NOT NULL THEN 1 / greatest(1.0, sei * sei) END, 5) AS erir_displayed FROM (SELECT tau, {MOULTON} AS sei FROM ({RHO}))""",
-        "order_size": f"""{BASE}, {WEIGHTS}, {TURNOVER}, sx AS (SELECT tau, avg(r) - 0.5 * stddev_samp(r) / sqrt(count(r)) AS edge FROM dr GROUP BY tau)
+        "order_size": f"""{BASE}, {WEIGHTS}, {TURNOVER}, mo AS (SELECT tau, coalesce({MOULTON}, 1) AS sei FROM ({RHO})),
+sx AS (SELECT tau, avg(r) - 0.5 * any_value(sei) * stddev_samp(r) / sqrt(count(r)) AS edge FROM dr JOIN mo USING (tau) GROUP BY tau)
 SELECT tau AS threshold, round(CASE WHEN edge > 0 THEN 1000.0 * pow(edge / (0.1 * total), 2) ELSE 0 END, 4) AS order_size FROM sx JOIN tn USING (tau)""",
         "direct_benchmark": f"""{dates(static)}, ends AS (SELECT t, max(ret) FILTER (e = (SELECT max(e) FROM ret)) - max(ret) FILTER (e = 0) AS d FROM ret GROUP BY t),
 bo AS (SELECT tau, r, d, date FROM dr JOIN ends ON ends.t = dr.t + 1 JOIN cal ON cal.t = ends.t WHERE r IS NOT NULL AND d IS NOT NULL)
@@ -428,6 +451,8 @@ SELECT i AS t_idx, e AS e_idx, 'n' || entity::VARCHAR AS entity, round(ret, 6) A
         "price_notes": "SELECT 'n5' AS symbol, 'missing Date/Close columns' AS note",
         "factor_series": f"SELECT strftime(date, '%Y-%m-%d') AS date, 'Momentum All' AS entity, round(sum(value) FILTER (entity % 3 = 1) / 100, 4) AS ret FROM ({MONTH_VALUES}) GROUP BY date HAVING sum(value) FILTER (entity % 3 = 1) IS NOT NULL",
         "factor_table": f"SELECT strftime(date, '%Y-%m-%d') AS date, {', '.join(f'round({c}, 6) AS {c}' for c in ('mkt_rf', 'smb', 'hml', 'rf', 'mom'))} FROM ({FACTORS})",
+        "factor_alpha": f"""SELECT tau AS threshold, n, round(alpha, 6) AS alpha_period, round(alpha * 52, 6) AS alpha_ann, round(se, 6) AS alpha_se_period, round(t, 6) AS t_alpha, round(p, 6) AS p_positive,
+  lag AS hac_lag, 'ok' AS status FROM ({alpha()})""",
         "aligned_factors": f"""SELECT tau AS threshold, count(*) AS n, {", ".join(f"round(corr(r, {c}), 6) AS corr_{c}" for c in ("mkt_rf", "smb", "hml", "mom"))}
 FROM ({BASE} SELECT tau, date, r FROM dr JOIN cal USING (t) WHERE r IS NOT NULL) JOIN ({FACTORS}) USING (date) WHERE mkt_rf IS NOT NULL AND smb IS NOT NULL AND hml IS NOT NULL AND mom IS NOT NULL GROUP BY tau""",
         "report_holdout": f"""WITH ho AS ({BASE}, {WINDOWS} SELECT name, {sharpe("r")} AS s, count(r) AS n FROM dr JOIN win ON t >= lo AND t < hi WHERE tau = {PRIMARY} GROUP BY 1)
@@ -457,7 +482,8 @@ FROM ({LABELLED}) f JOIN ({JUDGED}) j USING (tau) WHERE alpha = 0.05""",
         "report_horizons": " UNION ALL ".join(horizon(x) for x in (1, 4, 13)),
         "head_returns": f"{returns()} SELECT t AS t_idx, e AS e_idx, round(ret, 6) AS ret FROM ret WHERE t < 20",
         "active_span": f"{BASE} SELECT tau AS threshold, strftime(min(date), '%Y-%m-%d') AS sample_start, strftime(max(date), '%Y-%m-%d') AS sample_end FROM dr JOIN cal USING (t) WHERE r IS NOT NULL GROUP BY tau",
-        "result_violations": f"""{BASE} SELECT 'dates' AS "table", 'missing ret' AS rule, count(*) AS "rows" FROM dr WHERE r IS NULL HAVING count(*) > 0 UNION ALL SELECT 'permutation', 'n_perms below 10000', {len(THRESHOLDS)}""",
+        "result_violations": f"""{BASE} SELECT 'dates' AS "table", 'missing ret' AS rule, count(*) AS "rows" FROM dr WHERE r IS NULL HAVING count(*) > 0 UNION ALL SELECT 'permutation', 'n_perms below 10000', {len(THRESHOLDS)}
+UNION ALL SELECT unnest({list(TABLE_NAMES)}), 'missing candidate', 1""",
         "shared_months": f"""WITH s AS (SELECT DISTINCT date_trunc('month', date)::DATE AS d FROM ({WEEK_VALUES})), o AS (SELECT DISTINCT date AS d FROM ({MONTH_VALUES}))
 SELECT strftime(d, '%Y-%m-%d') AS month, CASE WHEN d IN (SELECT d FROM o) THEN 'both' ELSE 'shipments' END AS found FROM s""",
         "placebo": f"""{returns()}, s0 AS (SELECT t, e, CASE WHEN count(ret) OVER w = 4 THEN product(1 + ret) OVER w - 1 END AS pred, lead(ret) OVER (PARTITION BY e ORDER BY t) AS nxt
@@ -470,3 +496,6 @@ SELECT tau AS threshold, count(r) AS n_dates, round(avg(k) FILTER (k > 0), 6) AS
         "unfinished_work": f"""SELECT entity::BIGINT AS entity, strftime(m, '%Y-%m-%d') AS month FROM (SELECT DISTINCT entity, date_trunc('month', date)::DATE AS m FROM ({WEEK_VALUES}) EXCEPT SELECT entity, date FROM ({MONTH_VALUES}))""",
         "uniform_counter": f"SELECT n_nationkey::BIGINT AS n_nationkey, {counter_sql(SEED, 'n_nationkey')} AS draw FROM nation",
     }
+    # the same rows by other readers
+    alike = {"piece_returns": "block_returns", "archive_returns": "block_returns", "workbook_series": "factor_series"}
+    return found | {name: found[other] for name, other in alike.items()}

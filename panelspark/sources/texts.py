@@ -55,15 +55,25 @@ def blocks(texts: DataFrame, prefix: str = "C", first: int = 1) -> DataFrame:
     start = F.min(F.when(is_row, F.col("line_no"))).over(before)
     stop = F.min(F.when(~is_row & (F.col("line_no") > F.col("start")), F.col("line_no"))).over(before)
     table = lines.withColumn("start", start).withColumn("stop", stop).filter(F.col("start").isNotNull() & F.col("stop").isNull())
-    date = F.try_to_timestamp(F.get("fields", F.lit(0)), F.lit("yyyyMMdd")).cast("date")
-    cells = table.select("source", date.alias("date"), F.posexplode(F.slice("fields", 2, F.size("fields") - 1)).alias("at", "text")).filter("date is not null")
+    return cell_values(table.select("source", F.get("fields", F.lit(0)).alias("date"), F.slice("fields", 2, F.size("fields") - 1).alias("cells")), prefix, first)
+
+
+def cell_values(rows: DataFrame, prefix: str, first: int) -> DataFrame:
+    """source, date, at, entity and value of a table's rows (source, date and cells as text)."""
+    date = F.try_to_timestamp("date", F.lit("yyyyMMdd")).cast("date")
+    cells = rows.select("source", date.alias("date"), F.posexplode("cells").alias("at", "text")).filter("date is not null")
     name = F.concat(F.lit(prefix), F.lpad((F.col("at") + first).cast("string"), 2, "0"))
     return cells.select("source", "date", "at", name.alias("entity"), (without_sentinels(F.col("text").try_cast("double")) / 100).alias("value"))
 
 
 def portfolio_returns(texts: DataFrame, panel_id: str, prefix: str = "P", first: int = 0, tail: int = 0) -> DataFrame:
     """RETURNS of a file of portfolios: dates on which none has a value are left out, then all but the last ``tail``."""
-    cells = blocks(texts, prefix, first).filter("value is not null").select(F.lit(panel_id).alias("panel_id"), "date", "entity", "value")
+    return returns_of_blocks(blocks(texts, prefix, first), panel_id, tail)
+
+
+def returns_of_blocks(found: DataFrame, panel_id: str, tail: int = 0) -> DataFrame:
+    """The same from what :func:`blocks`, or another reader of tables, gives."""
+    cells = found.filter("value is not null").select(F.lit(panel_id).alias("panel_id"), "date", "entity", "value")
     return last_dates(dense_grid(cells).withColumnRenamed("value", "ret"), tail)
 
 
