@@ -21,6 +21,7 @@ judged on the input.
    window however often it holds it (the others are settled where they are), so a
    passage in a third of all documents gives one entry a task. Groups are ranges of
    hashes, as many as keep each near ``GROUP_WINDOWS`` entries at most.
+   Equal rows, whose places are equal too, send them once a task, and the same list of places counts once.
 5. Documents that may have repeated windows, by a bitmap of their hashes of at most
    2 ** 28 bits, meet their places in a join by doc_id and the text's hash, where words are
    removed. All others stay where they are.
@@ -247,7 +248,9 @@ def _representatives(held: list[tuple], group_bits: int) -> list[tuple]:
     groups as of hashes, and at most a flush for each."""
     keys = np.array([(x[0], x[1], 0) for x in held], dtype=_KEY)
     h, g, at = (np.concatenate([x[i] for x in held]) for i in (2, 3, 4))
-    doc = np.repeat(np.arange(len(held)), [len(x[2]) for x in held])
+    # equal rows have equal places: they count as more, but their places are sent once
+    _, first, same_row = np.unique(keys, return_index=True, return_inverse=True)
+    doc = np.repeat(first[same_row], [len(x[2]) for x in held])
     order = np.lexsort((g, h))
     h, g, doc, at = h[order], g[order], doc[order], at[order]
     same = (h[1:] == h[:-1]) & (g[1:] == g[:-1])
@@ -255,9 +258,10 @@ def _representatives(held: list[tuple], group_bits: int) -> list[tuple]:
     more = np.concatenate((same, [False])) & lead
     settled, out = ~lead | more, []
     if settled.any():
-        inner, packed = _packed(keys, doc[settled], at[settled])
+        own = np.unique(doc[settled].astype(np.int64) << 32 | at[settled])
+        _, packed = _packed(keys, own >> 32, own)
         group = -1 - (int(keys["id_hash"][0]) & (1 << group_bits) - 1)
-        out.append((group, packed, b"", b"", at[settled][inner].tobytes(), b""))
+        out.append((group, packed, b"", b"", (own & 0xFFFFFFFF).astype(np.int32).tobytes(), b""))
     h, g, doc, at, more = (x[lead] for x in (h, g, doc, at, more))
     part = (h >> np.uint64(64 - group_bits)).astype(np.int64) if group_bits else np.zeros(len(h), dtype=np.int64)
     cuts = np.flatnonzero(np.diff(part)) + 1
@@ -351,7 +355,7 @@ def found_repeats(docs: DataFrame, window: int, max_cells: int) -> tuple[DataFra
         F.xxhash64("text").alias("text_hash"),
     )
     texts = keyed.filter(F.col("row.text").isNotNull()).select("id_hash", "text_hash", F.col("row.text").alias("text"))
-    repeats = repeated_positions(texts, window, max_cells).groupBy("id_hash", "text_hash").agg(F.collect_list("places").alias("places"))
+    repeats = repeated_positions(texts, window, max_cells).groupBy("id_hash", "text_hash").agg(F.collect_set("places").alias("places"))
     repeats = written(repeats, "repeated-places")
     marked = marked_rows(keyed, repeats)
     return marked.filter(~F.col("maybe")).select("row"), marked.filter("maybe").join(repeats, ["id_hash", "text_hash"], "left").select("row", "places")

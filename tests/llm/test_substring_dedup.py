@@ -112,3 +112,16 @@ def test_gaps_and_words_in_pieces():
     text = ("é" * 400 + " ab\n" + "z" * 90 + "  c ") * 20
     assert (word_hashes(text.encode(), 64) == word_hashes(text.encode())).all()
     assert len(word_hashes(text.encode(), 64)) == len(text.split())
+
+
+def test_places_of_equal_rows_grow_with_the_rows(spark):
+    """Thousands of equal rows: as many lists of places for each as for two of them."""
+    rng = random.Random(21)
+    text = " ".join(f"e{rng.randrange(10**6)}" for _ in range(400))
+    for copies in (2, 2000):
+        docs = spark.createDataFrame([(1, text)] * copies + [(2, "x " * 40), (3, "other words")], "doc_id long, text string").repartition(4)
+        _, touched = sd.found_repeats(docs, 35, 1 << 29)
+        sizes = touched.filter("row.doc_id = 1").selectExpr("coalesce(size(places), 0) AS lists", "coalesce(aggregate(places, 0, (s, p) -> s + length(p)), 0) AS bytes").distinct().collect()
+        assert len(sizes) == 1 and sizes[0]["lists"] <= 64 and sizes[0]["bytes"] <= 2 * 4 * 400
+        got = {(r.doc_id, r.n_words, r.n_removed) for r in sd.dedup_report(docs, 35).collect()}
+        assert got == {(1, 400, 400), (2, 40, 40), (3, 2, 0)}
