@@ -21,8 +21,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     tasks as their number asks for.
     """
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    state, tasks = None, now.count() // TASK_EDGES + 1
-    while True:
+    edges_now = now.count()
+    state, tasks = None, edges_now // TASK_EDGES + 1
+    while edges_now:
         both = now.coalesce(tasks)
         both = both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low"))
@@ -34,5 +35,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         tasks = state[0] // TASK_EDGES + 1
+    # without edges there are no nodes
     roots = now.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)

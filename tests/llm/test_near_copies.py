@@ -189,3 +189,22 @@ def test_one_row_of_each_group_stays(spark):
     assert Counter(map(tuple, kept.collect())) == want
     assert Counter(map(tuple, without_repeats(kept).collect())) == want
     assert Counter(map(tuple, sh.one_of_each(frame.filter("text is null or doc_id = 1")).collect())) == Counter([(1, same, "s"), (None, None, "s")])
+
+
+def test_family_just_below_the_limit(spark, monkeypatch):
+    """400 texts of one template that are no near copies of each other: rows stay near those of each text's own keys."""
+    rng = random.Random(17)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for _ in range(400):
+        words = list(base)
+        for at in rng.sample(range(300), 24):
+            words[at] = f"c{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    counted = []
+    plain = nc.shared_keys
+    monkeypatch.setattr(nc, "shared_keys", lambda *a: counted.append((found := plain(*a)).count()) or found)
+    rows = list(enumerate(texts))
+    got = dict(map(tuple, nc.group_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == dict(plain_groups(rows))
+    assert max(counted) <= 1.2 * counted[0]
