@@ -9,6 +9,9 @@ than that. Where the overlap holds no such place (a pre-token longer than the ov
 the overlap is doubled; where the whole chunk has none, the chunk is. What is left after
 the last place, or a text of one chunk, is counted as it stands.
 
+That holds for tokenizers whose pre-tokens are those of the usual byte-level pattern, which :func:`spliceable`
+makes sure of when one is loaded; with any other, each text is encoded in one piece.
+
 Nulls count as empty (0 tokens), repeated rows are counted each, an empty table
 gives an empty result, and columns other than ``doc_id`` and ``text`` are not read.
 """
@@ -16,6 +19,7 @@ gives an empty result, and columns other than ``doc_id`` and ``text`` are not re
 from __future__ import annotations
 
 import functools
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -37,6 +41,17 @@ _PRE_TOKEN = re.compile(
 )
 
 
+def spliceable(settings: dict) -> bool:
+    """Whether a tokenizer (its file's content) splits texts by the byte-level pattern alone: no normaliser, no first
+    space, and added tokens that are shorter than ``GUARD`` and take nothing of what stands around them."""
+    split, model = settings.get("pre_tokenizer") or {}, settings.get("model") or {}
+    own = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    plain = settings.get("normalizer") is None and model.get("type") == "BPE" and not model.get("continuing_subword_prefix") and not model.get("dropout")
+    added = settings.get("added_tokens") or []
+    apart = all(len(t["content"]) < GUARD and not (t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in added)
+    return bool(own and plain and apart)
+
+
 class Counted:
     """Counts tokens with a library tokenizer, remembering up to ``keep`` pre-tokens."""
 
@@ -44,6 +59,9 @@ class Counted:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.spliceable = spliceable(json.loads(self.tokenizer.to_str()))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep, self.known = keep, {}
 
@@ -88,6 +106,8 @@ class Counted:
 
 def count_spliced(counted: Counted, text: str, chunk: int, overlap: int) -> int:
     """Tokens of a text of any length, by overlapping chunks of ``chunk`` characters."""
+    if not counted.spliceable:
+        return len(counted.tokenizer.encode(text, add_special_tokens=False))
     total, start, end = 0, 0, min(chunk, len(text))  # tokens before start are in total; start is a proven boundary
     while end < len(text):
         ends, tokens = counted.boundaries(text[start:end])

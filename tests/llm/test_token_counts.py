@@ -1,5 +1,6 @@
 """Counts against the library's own, in one piece and spliced."""
 
+import json
 import random
 
 import public_tokenizers
@@ -43,3 +44,27 @@ def test_splicing_holds_on_random_texts():
 
 def test_empty_table(spark):
     assert tc.count_tokens(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_other_tokenizers_are_not_spliced(spark, tmp_path):
+    """A normaliser, a first space, other patterns, or added tokens that take white space: counts are the library's all the same."""
+    other = public_tokenizers.path("word_bpe_49k.json")
+    settings = json.loads(Tokenizer.from_file(PATH).to_str())
+    assert tc.spliceable(settings) and not tc.spliceable(json.loads(Tokenizer.from_file(other).to_str()))
+    changes = [
+        lambda s: s.update(normalizer={"type": "Lowercase"}), lambda s: s["pre_tokenizer"].update(add_prefix_space=True),
+        lambda s: s["added_tokens"][0].update(lstrip=True), lambda s: s.update(truncation={"direction": "Right", "max_length": 5, "strategy": "LongestFirst", "stride": 0}),
+    ]
+    paths = [other]
+    for i, change in enumerate(changes):
+        own = json.loads(json.dumps(settings))
+        change(own)
+        assert tc.spliceable(own) == (i == 3)  # truncation is switched off
+        (tmp_path / f"{i}.json").write_text(json.dumps(own))
+        paths.append(str(tmp_path / f"{i}.json"))
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    for path in paths:
+        library = Tokenizer.from_file(path)
+        library.no_truncation()
+        got = {r.doc_id: r.n_tokens for r in tc.count_tokens(docs, path, chunk_chars=256, overlap_chars=16).collect()}
+        assert got == {i: len(library.encode(t, add_special_tokens=False)) for i, t in enumerate(TEXTS)}
