@@ -5,9 +5,9 @@ every piece of the model at every place where it stands; a character that is no
 is one node below any piece's score, and is encoded as its UTF-8 bytes. A
 segmentation's score is the sum of its pieces' scores.
 
-The ids are the model's own encoding, by the library. In a BPE model scores are the ranks
-of merges, and the segmentation with the best sum isn't its encoding: the N best are
-further segmentations beside it. Merges don't cross the parts below either, so parts are
+The results are the N best segmentations, best first: their scores and piece ids. Beside them stand
+the ids of the model's own encoding, by the library. In a BPE model scores are the ranks
+of merges, and the segmentation with the best sum isn't its encoding. Merges don't cross the parts below either, so parts are
 encoded alone and remembered. The library reads a ``▁`` in a text as a space; here it is
 encoded as its bytes, so that decoding gives it back.
 
@@ -69,8 +69,8 @@ class Pieces:
         else:
             self.parts = re.compile(r"\n| *[^ \n]+| +")
         #: What is known of parts, in two generations: the older one goes when the newer is full.
-        self.known: dict[str, tuple[bytes, float, float]] = {}
-        self.older: dict[str, tuple[bytes, float, float]] = {}
+        self.known: dict[str, tuple[bytes, float, float, bytes]] = {}
+        self.older: dict[str, tuple[bytes, float, float, bytes]] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -160,13 +160,13 @@ class Pieces:
                 out.extend(self.byte_ids[b] for b in part[i:j].encode())
         return out
 
-    def solve(self, part: str) -> tuple[bytes, float, float]:
-        """The encoding's ids, the best segmentation's score, and how much the second best falls short."""
+    def solve(self, part: str) -> tuple[bytes, float, float, bytes]:
+        """The encoding's ids, the best segmentation's score, how much the second best falls short, and the best one's ids."""
         n = len(part)
         if part in self.older:
             found = self.known[part] = self.older.pop(part)
             return found
-        starts, ends, scores, _, best, via = self.forward(part)
+        starts, ends, scores, pieces, best, via = self.forward(part)
         path, at = array("q"), n
         while at:
             path.append(via[at])
@@ -184,7 +184,8 @@ class Pieces:
                 ahead = path[on] if on < len(path) else -1
             elif best[i] + through > second:
                 second = best[i] + through
-        found = (self.encode(part).tobytes(), best[n], best[n] - second)
+        encoding, first = self.encode(part).tobytes(), self.ids(part, [(starts[e], ends[e], pieces[e]) for e in reversed(path)]).tobytes()
+        found = (encoding, best[n], best[n] - second, encoding if first == encoding else first)
         if n <= KEEP_CHARS:
             if len(self.known) >= KEEP_PARTS:
                 self.known, self.older = {}, self.known
@@ -217,20 +218,27 @@ class Pieces:
                 heapq.heappush(agenda, (-(behind + score + best[i]), turn, i, behind + score, ((at, piece), path)))
         return out
 
-    def segment(self, text: str, n: int) -> tuple[bytes, list[float]]:
-        """The encoding's ids (32-bit numbers) and the scores of the ``n`` best, best first."""
+    def segment(self, text: str, n: int) -> tuple[bytes, list[float], list[bytes]]:
+        """The encoding's ids (32-bit numbers), and the scores and ids of the ``n`` best, best first."""
         if not text:
-            return b"", [0.0]
+            return b"", [0.0], [b""]
         known, parts = self.known.get, self.parts.findall(f" {text}")
         if max(map(len, parts)) > LONG:
             parts = [x for p in parts for x in (self.cut(p) if len(p) > LONG else (p,))]
-        ids, best, short = zip(*[known(p) or self.solve(p) for p in parts], strict=True)
-        total, scores = sum(best), [0.0]
+        ids, best, short, first = zip(*[known(p) or self.solve(p) for p in parts], strict=True)
+        total, ways = sum(best), [(0.0, {})]  # how much a way falls short, and the parts in which it isn't the best
         for i in heapq.nsmallest(n - 1, range(len(parts)), key=short.__getitem__):
             if short[i] < math.inf:
                 own = self.nbest(parts[i], n)
-                scores = sorted((a + (s - own[0][0]) for a in scores for s, _ in own), reverse=True)[:n]
-        return b"".join(ids), [total + s for s in scores]
+                ways = sorted(((a + (s - own[0][0]), {**w, i: x} if turn else w) for a, w in ways for turn, (s, x) in enumerate(own)), key=lambda w: -w[0])[:n]
+        found, held = [], list(first)
+        for _, way in ways:
+            for i, other in way.items():
+                held[i] = array("i", other).tobytes()
+            found.append(b"".join(held))
+            for i in way:
+                held[i] = first[i]
+        return b"".join(ids), [total + s for s, _ in ways], found
 
     def decode(self, ids: array) -> str:
         """The text of a sequence of ids."""
@@ -243,18 +251,35 @@ def _pieces(path: str) -> Pieces:
 
 
 def encoded(text: Column, model_path: str, n: int = 4) -> Column:
-    """A struct of ids, scores (of the ``n`` best segmentations) and round_trip for a column of texts."""
+    """A struct of ids, scores and nbest (the ids) of the ``n`` best segmentations, and round_trip for a column of texts."""
 
-    @F.pandas_udf("ids array<int>, scores array<double>, round_trip boolean")
+    @F.pandas_udf("ids array<int>, scores array<double>, nbest array<array<int>>, round_trip boolean")
     def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces = _pieces(model_path)
         for batch in batches:
             out = []
             for text in batch:
-                packed, scores = pieces.segment(text or "", n)
+                packed, scores, found = pieces.segment(text or "", n)
                 ids = array("i", packed)
-                out.append((ids.tolist(), scores, pieces.decode(ids) == (text or "")))
-            yield pd.DataFrame(out, columns=["ids", "scores", "round_trip"])
+                out.append((ids.tolist(), scores, [array("i", x).tolist() for x in found], pieces.decode(ids) == (text or "")))
+            yield pd.DataFrame(out, columns=["ids", "scores", "nbest", "round_trip"])
+
+    return of_batches(text)
+
+
+def encoding(text: Column, model_path: str, n: int = 4) -> Column:
+    """The same with nbest_sha256, a digest of each of the ``n`` best, in place of their ids."""
+
+    @F.pandas_udf("ids array<int>, scores array<double>, nbest_sha256 array<string>, round_trip boolean")
+    def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        pieces = _pieces(model_path)
+        for batch in batches:
+            out = []
+            for text in batch:
+                packed, scores, found = pieces.segment(text or "", n)
+                ids = array("i", packed)
+                out.append((ids.tolist(), scores, [hashlib.sha256(x).hexdigest() for x in found], pieces.decode(ids) == (text or "")))
+            yield pd.DataFrame(out, columns=["ids", "scores", "nbest_sha256", "round_trip"])
 
     return of_batches(text)
 
@@ -271,23 +296,27 @@ def decoded(ids: Column, model_path: str) -> Column:
     return of_batches(ids)
 
 
-def encode(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
-    """doc_id, ids, scores and round_trip of every row of ``docs``."""
-    return docs.select("doc_id", encoded(F.col("text"), model_path, n).alias("encoded")).select("doc_id", "encoded.*")
+def encode(docs: DataFrame, model_path: str, n: int = 4, lists: bool = False) -> DataFrame:
+    """doc_id, ids, scores, nbest_sha256 (with ``lists`` nbest, the ids of the ``n`` best) and round_trip of every row of ``docs``."""
+    own = encoded if lists else encoding
+    return docs.select("doc_id", own(F.col("text"), model_path, n).alias("encoded")).select("doc_id", "encoded.*")
 
 
 def segment(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256 (of the encoding's ids as 32-bit little-endian
-    numbers), scores of the ``n`` best segmentations and round_trip of every row of ``docs``."""
+    """doc_id, scores, nbest_pieces (their numbers) and nbest_sha256 (digests of their ids as 32-bit little-endian numbers) of the
+    ``n`` best segmentations, n_pieces and ids_sha256 of the library's encoding, and round_trip (both it and the best
+    segmentation decode to the text) of every row of ``docs``."""
 
-    @F.pandas_udf("n_pieces long, ids_sha256 string, scores array<double>, round_trip boolean")
+    @F.pandas_udf("scores array<double>, nbest_pieces array<int>, nbest_sha256 array<string>, n_pieces long, ids_sha256 string, round_trip boolean")
     def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = _pieces(model_path)
+        pieces, columns = _pieces(model_path), ["scores", "nbest_pieces", "nbest_sha256", "n_pieces", "ids_sha256", "round_trip"]
         for batch in batches:
             out = []
             for text in batch:
-                packed, scores = pieces.segment(text or "", n)
-                out.append((len(packed) // 4, hashlib.sha256(packed).hexdigest(), scores, pieces.decode(array("i", packed)) == (text or "")))
-            yield pd.DataFrame(out, columns=["n_pieces", "ids_sha256", "scores", "round_trip"])
+                packed, scores, found = pieces.segment(text or "", n)
+                back = all(pieces.decode(array("i", x)) == (text or "") for x in {packed, found[0]})
+                digests = [hashlib.sha256(x).hexdigest() for x in found]
+                out.append((scores, [len(x) // 4 for x in found], digests, len(packed) // 4, hashlib.sha256(packed).hexdigest(), back))
+            yield pd.DataFrame(out, columns=columns)
 
     return docs.select("doc_id", of_batches(F.col("text")).alias("found")).select("doc_id", "found.*")

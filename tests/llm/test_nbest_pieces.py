@@ -22,6 +22,34 @@ def every(pieces, written):
     return out
 
 
+def score_of(pieces, packed):
+    """The sum of the scores of a sequence of ids; a run of bytes of one character counts once."""
+    scores, total, held = {i: s for i, s in pieces.pieces.values()}, 0.0, b""
+    for i in nb.array("i", packed):
+        if i in scores:
+            total += scores[i]
+            continue
+        held += pieces.bytes_of[i]
+        try:
+            held.decode()
+        except UnicodeDecodeError:
+            continue
+        total, held = total + pieces.unknown, b""
+    return total
+
+
+def test_nbest_of_longer_texts():
+    """The lists of a text of many parts: in order, all different, each with its own score, and the text itself."""
+    pieces = nb.Pieces.load(PATH)
+    rng = random.Random(12)
+    for _ in range(20):
+        t = " ".join(rng.choice(["internationalisation", "the", "of", "Ångström", "unbelievably", "漢字", "x9"]) for _ in range(30))
+        _, scores, found = pieces.segment(t, 6)
+        assert len(set(found)) == 6 and scores == sorted(scores, reverse=True)
+        for score, own in zip(scores, found, strict=True):
+            assert pieces.decode(nb.array("i", own)) == t and abs(score_of(pieces, own) - score) < 1e-6 * abs(score)
+
+
 def test_nbest_equals_all_segmentations():
     pieces = nb.Pieces.load(PATH)
     rng = random.Random(1)
@@ -31,9 +59,12 @@ def test_nbest_equals_all_segmentations():
         written = (" " + t).replace("▁", "\0").replace(" ", "▁") if t else ""
         want = sorted(every(pieces, written), reverse=True)
         for n in (1, 4, 7):
-            ids, scores = pieces.segment(t, n)
+            ids, scores, found = pieces.segment(t, n)
             assert scores == want[:n], t
             assert pieces.decode(nb.array("i", ids)) == t
+            assert len(set(found)) == len(found) == len(scores)
+            for score, own in zip(scores, found, strict=True):
+                assert pieces.decode(nb.array("i", own)) == t and abs(score_of(pieces, own) - score) < 1e-6
 
 
 def test_astar_lists_are_distinct_and_in_order():
@@ -52,6 +83,10 @@ def test_table_round_trips(spark):
     ids = docs.select("text", nb.encoded(docs.text, PATH).alias("e")).select("text", nb.decoded(nb.F.col("e.ids"), PATH).alias("back"))
     assert all(r.back == (r.text or "") for r in ids.collect())
     assert nb.segment(docs.limit(0), PATH).collect() == []
+    lists, digests = (nb.encode(docs, PATH, lists=x).collect() for x in (True, False))
+    packed = [[nb.hashlib.sha256(nb.array("i", x).tobytes()).hexdigest() for x in r.nbest] for r in lists]
+    assert packed == [list(r.nbest_sha256) for r in digests] == [list(r.nbest_sha256) for r in rows]
+    assert all([len(x) for x in r.nbest] == list(s.nbest_pieces) for r, s in zip(lists, rows, strict=True))
 
 
 def test_long_parts_are_cut_where_no_piece_crosses(monkeypatch):
@@ -62,7 +97,7 @@ def test_long_parts_are_cut_where_no_piece_crosses(monkeypatch):
     for letters, size in (("ABCDEFGHabcdefgh0123+/", 3000), ("漢字かなカナ☃é", 3000), ("theanio", 2000), ("x", 3000)):
         text = "".join(rng.choice(letters) for _ in range(size))
         assert "".join(pieces.cut(f" {text}")) == f" {text}"
-        ids, scores = pieces.segment(text, 4)
+        ids, scores, _ = pieces.segment(text, 4)
         assert list(nb.array("i", ids)) == model.encode(text)
         monkeypatch.setattr(nb, "LONG", 10**9)
         whole = nb.Pieces.load(PATH).segment(text, 4)
@@ -73,8 +108,8 @@ def test_long_parts_are_cut_where_no_piece_crosses(monkeypatch):
 def test_unspaced_text_of_a_megabyte():
     pieces = nb.Pieces.load(PATH)
     text = "".join(random.Random(3).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
-    ids, scores = pieces.segment(text, 2)
-    assert len(scores) == 2 and pieces.decode(nb.array("i", ids)) == text
+    ids, scores, found = pieces.segment(text, 2)
+    assert len(scores) == 2 and all(pieces.decode(nb.array("i", x)) == text for x in (ids, *found))
     assert max(map(len, pieces.cut(f" {text}"))) < 2000
 
 
