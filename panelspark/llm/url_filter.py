@@ -5,7 +5,8 @@ its host at a label boundary, followed by each prefix of its path of a length th
 rules have. Expressions meet rules in an equi-join on the first 32 bits of their
 SHA-256, the full digests are then compared, and the longest rule wins (of equal
 ones, ``block``). Distinct (host, start of path) pairs are expanded, not pages, so a
-host with a third of all pages costs no more than any other.
+host with a third of all pages costs no more than any other. The pairs that a rule fits are counted: up to
+``BROADCAST_ROWS`` of them are broadcast, so that pages stay where they are; more are joined by their values.
 
 A null URL, or one without ``://``, has an empty host and path. Pages that no rule
 fits get the default verdict and a null rule. Repeated pages are judged each; empty
@@ -17,8 +18,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import ascii_lower
+from panelspark.llm.common import ascii_lower, written
 
+#: Matched (host, start of path) pairs, of some hundred bytes each, that go to all tasks beside the pages.
+BROADCAST_ROWS = 200_000
 #: host, path, verdict
 RULES = (
     ("org", "/", "allow"),
@@ -81,6 +84,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     ) if lengths else None
     if matched is None:
         return judged.select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    matched = written(matched, "matched-starts")
+    if matched.count() <= BROADCAST_ROWS:
+        matched = F.broadcast(matched)
     return judged.join(matched, ["host", "path_start"], "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )

@@ -30,3 +30,20 @@ def test_no_rules_and_no_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     assert [tuple(r) for r in uf.filter_urls(pages, none).collect()] == [(1, "a.b", "/c", None, "allow")]
     assert uf.filter_urls(pages.limit(0), uf.rule_table(spark)).collect() == []
+
+
+def test_many_matches_are_joined(spark, monkeypatch):
+    """The same verdicts, one host with most pages, whether or not the matches are broadcast."""
+    urls = URLS + [f"http://hot.example.org/es/{i % 7}" for i in range(500)] + [f"http://h{i}.com/de/x" for i in range(50)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for rows in (uf.BROADCAST_ROWS, 3):
+        monkeypatch.setattr(uf, "BROADCAST_ROWS", rows)
+        found = uf.filter_urls(pages, uf.rule_table(spark))
+        assert {tuple(r) for r in found.collect()} == {(i, *plain(u)) for i, u in enumerate(urls)}
+        assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) or rows == 3
+
+
+def test_very_long_urls(spark):
+    long = "http://" + "x." * 2000 + "org/en/" + "1" * 500_000
+    pages = spark.createDataFrame([(1, long), (1, long)], "page_id long, url string")
+    assert [tuple(r) for r in uf.filter_urls(pages, uf.rule_table(spark)).collect()] == [(1, *plain(long))] * 2
