@@ -61,6 +61,10 @@ def hilbert_index(cell: tuple[int, ...], bits: int) -> int:
     return index
 
 
+#: Distinct strings of one range, about.
+RANGE_VALUES = 1 << 20
+
+
 def metadata(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32 and what the curve's dimensions quantise."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -73,13 +77,14 @@ def metadata(docs: DataFrame) -> DataFrame:
     )
 
 
-def string_cuts(rows: DataFrame, name: str, cells: int, ranges: int = 64) -> list[str]:
+def string_cuts(rows: DataFrame, name: str, cells: int, range_values: int = RANGE_VALUES) -> list[str]:
     """Up to ``cells`` - 1 strings that cut the rows, in the order of the whole string, into levels of
     about equal depth: the last string of each level but the highest.
 
-    Distinct strings are counted, dealt to ranges of their order and numbered there; sums of
+    Distinct strings are counted, dealt to ranges of their order, of about ``range_values`` each, and numbered there; sums of
     the ranges, as many rows, give each its place among all rows."""
-    values = rows.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("held"))
+    values = written(rows.groupBy(F.col(name).alias("value")).agg(F.count(F.lit(1)).alias("held")), f"{name}-values")
+    ranges = values.count() // range_values + 1
     ranged = written(values.repartitionByRange(ranges, "value").withColumn("range", F.spark_partition_id()), f"{name}-ranges")
     sums = ranged.groupBy("range").agg(F.sum("held").alias("held"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
