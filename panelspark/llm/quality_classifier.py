@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import written
 
 FEATURES = 256
+#: Labelled rows that the filter of a corpus is fitted on, at most.
+SAMPLE = 200_000
 BINS = 1000
 #: Share of the final score that keeps the ridge score's order within flat steps.
 SLOPE = 1e-3
@@ -178,10 +180,14 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", statistics_column(F.col("text")).alias("x")), "statistics")
 
 
+def usable(labels: DataFrame) -> DataFrame:
+    """doc_id and y of the labels that may be learnt from."""
+    return labels.filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", F.col("quality").alias("y"))
+
+
 def fit_on_labels(stats: DataFrame, labels: DataFrame) -> Model | None:
     """Fit on the labelled rows of ``stats`` that aren't held out."""
-    known = labels.filter(F.col("quality").isin(0, 1) & (fold(F.col("doc_id")) != 1)).select("doc_id", F.col("quality").alias("y"))
-    return fit(written(stats.join(known, "doc_id").select("x", "y"), "labelled-statistics"))
+    return fit(written(stats.join(usable(labels), "doc_id").select("x", "y"), "labelled-statistics"))
 
 
 def score(x: Column, model: Model | None) -> Column:
@@ -205,7 +211,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` with a score of ``least`` or more."""
-    model = fit_on_labels(with_statistics(docs), labels)
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` with a score of ``least`` or more.
+
+    Fitted on the labels with the ``sample`` smallest hashes of doc_id: so many are broadcast beside the texts, of which
+    only theirs are worked on before all are scored, once."""
+    some = usable(labels).orderBy(F.xxhash64("doc_id", "y"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    model = fit(written(rows.select(statistics_column(F.col("text")).alias("x"), "y"), "labelled-statistics"))
     return docs.filter(score(statistics_column(F.col("text")), model) >= least)
