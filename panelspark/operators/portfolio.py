@@ -180,33 +180,38 @@ def capacity(panel: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     )
 
 
-def same_date_correlation(panel: DataFrame, thresholds: tuple[float, ...], least: int = 10, block: int = 256) -> DataFrame:
+#: Cells (entities x dates) of one matrix, and the bounds of a block of entities.
+MATRIX, LEAST_BLOCK, MOST_BLOCK = 1 << 21, 64, 2048
+
+
+def same_date_correlation(panel: DataFrame, thresholds: tuple[float, ...], least: int = 10, block: int | None = None) -> DataFrame:
     """Mean correlation of the selected returns of pairs of entities with ``least`` common dates.
 
-    Entities go in blocks of so many; a task has two blocks, an array of its dates for each entity, and
-    returns how many pairs it has and the sum of their correlations, for all thresholds."""
-    cell = F.struct("t_idx", "realised", "conf")
+    Entities go in blocks of so many (as a matrix of ``MATRIX`` cells allows, unless ``block`` says so): one row an entity with
+    its dates, returns and confidences as arrays. A task has a pair of blocks and returns, for all thresholds, how many pairs
+    it has and the sum of their correlations; each entity goes to as many tasks as there are blocks."""
     cells = panel.filter(F.col("realised").isNotNull() & F.col("conf").isNotNull() & F.col("pred").isNotNull())
-    entities = cells.groupBy("panel_id", "e_idx").agg(F.collect_list(cell).alias("cells")).withColumn("own", F.expr(f"e_idx div {block}"))
-    last = panel.groupBy("panel_id").agg(F.expr(f"max(e_idx) div {block}").alias("last"), F.max("t_idx").alias("t_last"))
-    other = F.explode(F.sequence(F.lit(0), "last"))
-    sent = entities.join(F.broadcast(last), "panel_id").withColumn("other", other)
+    last = panel.groupBy("panel_id").agg(F.max("e_idx").alias("e_last"), (F.max("t_idx") + 1).alias("dates"))
+    fitting = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.floor(F.lit(MATRIX) / F.col("dates")))).cast("int")
+    last = last.withColumn("size", fitting if block is None else F.lit(block)).withColumn("last", F.expr("e_last div size").cast("int"))
+    entities = cells.groupBy("panel_id", "e_idx").agg(F.collect_list(F.struct("t_idx", "realised", "conf")).alias("cells"))
+    entities = entities.select("panel_id", "e_idx", *(F.col(f"cells.{c}").alias(c) for c in ("t_idx", "realised", "conf")))
+    sent = entities.join(F.broadcast(last), "panel_id").withColumn("own", F.expr("e_idx div size").cast("int"))  # a row for each panel
+    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
     sent = sent.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other"))
 
     def matrix(rows: pd.DataFrame, dates: int) -> tuple[np.ndarray, np.ndarray]:
-        value, conf = (np.full((len(rows), dates), np.nan) for _ in range(2))
-        for i, own in enumerate(rows["cells"]):
-            for c in own:
-                value[i, c["t_idx"]], conf[i, c["t_idx"]] = c["realised"], c["conf"]
+        value, conf = np.zeros((len(rows), dates)), np.full((len(rows), dates), -np.inf)
+        for i, (at, own, sure) in enumerate(zip(rows["t_idx"], rows["realised"], rows["conf"], strict=True)):
+            value[i, at], conf[i, at] = own, sure
         return value, conf
 
     def pairs(group: pd.DataFrame) -> pd.DataFrame:
-        low, high, dates = int(group["low"].iloc[0]), int(group["high"].iloc[0]), int(group["t_last"].iloc[0]) + 1
-        (a, conf_a), (b, conf_b) = (matrix(group[group["own"] == k].sort_values("e_idx"), dates) for k in (low, high))
+        low, high, dates = int(group["low"].iloc[0]), int(group["high"].iloc[0]), int(group["dates"].iloc[0])
+        one, two = (matrix(group[group["own"] == k].sort_values("e_idx"), dates) for k in (low, high))
         out = []
         for threshold in thresholds:
-            in_a, in_b = (np.nan_to_num(c, nan=-np.inf) >= threshold for c in (conf_a, conf_b))
-            x, y, mx, my = np.where(in_a, a, 0.0), np.where(in_b, b, 0.0), in_a.astype(float), in_b.astype(float)
+            (x, mx), (y, my) = ((np.where(conf >= threshold, value, 0.0), (conf >= threshold).astype(float)) for value, conf in (one, two))
             n, sx, sy, sxy, sxx, syy = mx @ my.T, x @ my.T, mx @ y.T, x @ y.T, (x * x) @ my.T, mx @ (y * y).T
             with np.errstate(invalid="ignore", divide="ignore"):
                 vx, vy = sxx - sx * sx / n, syy - sy * sy / n

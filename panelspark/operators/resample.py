@@ -19,10 +19,11 @@ from panelspark.functions.special import counter_arrays, student_upper
 from panelspark.operators.aggregate import KEYS, date_returns, sharpe_of
 from panelspark.operators.panel import along_time, compounded, rank_confidence, raw_returns
 from panelspark.operators.series import block_lengths, effective_size
+from panelspark.tables import spread
 
 METHODS = ("iid", "moving_block", "stationary", "cluster_date")
-#: Draws of one task, dates of one block of a panel.
-BLOCK, DATES = 200, 2048
+#: Draws of one task, dates of one block of a panel, and cells that a task deals anew at once.
+BLOCK, DATES, CELLS = 200, 32, 1 << 18
 
 
 def counters(seed: int, draws: np.ndarray, n: int) -> np.ndarray:
@@ -88,7 +89,7 @@ def bootstrap(
                 yield pd.DataFrame({**{k: row[k] for k in keys}, "method": method, "draw": own, "sharpe": sharpe_rows(x[at], annualise)})
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", method string, draw int, sharpe double"
-    return work.repartition(keys[0], "first").mapInPandas(draw, schema)  # a panel's series share a block's random numbers
+    return spread(work, keys[0], "first").mapInPandas(draw, schema)  # a panel's series share a block's random numbers
 
 
 def draw_summary(draws: DataFrame, keys: tuple[str, ...] = (*KEYS, "method"), confidence: float = 0.95) -> DataFrame:
@@ -102,33 +103,29 @@ def draw_summary(draws: DataFrame, keys: tuple[str, ...] = (*KEYS, "method"), co
     )
 
 
-def panel_blocks(panel: DataFrame) -> DataFrame:
-    """panel_id, dates (the number of a block of dates) and cells: t_idx, e_idx, raw, pred, realised and conf of its rows."""
-    cell = F.struct("t_idx", "e_idx", "raw", "pred", "realised", "conf")
+def dated_blocks(panel: DataFrame, group: Column | None = None) -> DataFrame:
+    """The rows of a panel (t_idx, e_idx, raw, pred, realised, conf) with ``dates`` (the number of a block of ``DATES`` dates),
+    grp and width (the panel's entities): plain columns, which a task gets a block at a time."""
     rows = panel if "raw" in panel.columns else raw_returns(panel)
-    cells = rows.select("panel_id", F.expr(f"t_idx div {DATES}").alias("dates"), cell.alias("cell"))
-    return cells.groupBy("panel_id", "dates").agg(F.collect_list("cell").alias("cells"))
+    width = panel.groupBy("panel_id").agg((F.max("e_idx") + 1).alias("width"))
+    own = (F.lit(0) if group is None else group).cast("long")
+    cells = rows.select("panel_id", F.expr(f"t_idx div {DATES}").alias("dates"), "t_idx", "e_idx", *_FIELDS, own.alias("grp"))
+    return spread(cells.join(F.broadcast(width), "panel_id"), "panel_id", "dates")  # width is a row for each panel
 
 
 _FIELDS = ("raw", "pred", "realised", "conf")
 
 
-def _matrices(cells, width: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+def _matrices(rows: pd.DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
     """The dates of a block, and each field as a matrix of dates x entities, NaN where there is nothing."""
-    frame = pd.DataFrame.from_records([c.asDict() if hasattr(c, "asDict") else c for c in cells])
-    dates, at = np.unique(frame["t_idx"].to_numpy(), return_inverse=True)
-    out = {}
+    dates, at = np.unique(rows["t_idx"].to_numpy(), return_inverse=True)
+    entity, out = rows["e_idx"].to_numpy(), {}
     for name in _FIELDS:
-        out[name] = np.full((len(dates), width), np.nan)
-        out[name][at, frame["e_idx"].to_numpy()] = pd.to_numeric(frame[name]).to_numpy(dtype=float)
+        out[name] = np.full((len(dates), int(rows["width"].iloc[0])), np.nan)
+        out[name][at, entity] = rows[name].to_numpy(dtype=float)
     return dates, out
 
 
-def _moments(ret: np.ndarray) -> tuple[int, float, float]:
-    finite = ret[np.isfinite(ret)]
-    return len(finite), float(finite.sum()), float((finite * finite).sum())
-
-
 def _selected_mean(pred: np.ndarray, conf: np.ndarray, realised: np.ndarray, weight: np.ndarray | float, threshold: float, exposure: str) -> np.ndarray:
     """The return of each date (NaN: none) of what a threshold selects."""
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -153,37 +150,37 @@ def sharpe_of_sums(sums: DataFrame, keys: list[str], annualise: float) -> DataFr
 
 
 def entity_bootstrap(panel: DataFrame, thresholds: tuple[float, ...], draws: int, seed: int, annualise: float) -> DataFrame:
-    """Sharpe of each draw of N entities with replacement; an entity drawn m times weighs m."""
-    width = panel.groupBy("panel_id").agg((F.max("e_idx") + 1).alias("width"))
-    work = draw_blocks(panel_blocks(panel).join(F.broadcast(width), "panel_id"), draws)
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                width = int(row["width"])
-                _, m = _matrices(row["cells"], width)
-                own = np.arange(row["first"], min(row["first"] + BLOCK, draws))
-                drawn = counters(seed, own, width + 1)[:, 1:] % width  # places count from 1
-                weight = np.stack([np.bincount(x, minlength=width) for x in drawn]).astype(float)
-                out = []
-                for threshold in thresholds:
-                    held = (m["conf"] >= threshold) & np.isfinite(m["realised"]) & np.isfinite(m["pred"])
-                    total = weight @ held.T.astype(float)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        ret = (weight @ np.where(held, m["realised"], 0.0).T) / total
-                    there = total > 0
-                    ret = np.where(there, ret, 0.0)
-                    out.append(pd.DataFrame({
-                        "panel_id": row["panel_id"], "threshold": threshold, "draw": own,
-                        "n": there.sum(axis=1), "s1": ret.sum(axis=1), "s2": (ret * ret).sum(axis=1),
-                    }))
-                yield pd.concat(out)
-
-    sums = work.repartition("panel_id", "dates", "first").mapInPandas(draw, "panel_id string, threshold double, draw int, n long, s1 double, s2 double")
+    """Sharpe of each draw of N entities with replacement; an entity drawn m times weighs m.
+
+    A task has a block of dates, once, and goes through all draws."""
+
+    def draw(rows: pd.DataFrame) -> pd.DataFrame:
+        _, m = _matrices(rows)
+        width, out = m["conf"].shape[1], []
+        step = max(1, min(BLOCK, CELLS // width))
+        held = {x: (m["conf"] >= x) & np.isfinite(m["realised"]) & np.isfinite(m["pred"]) for x in thresholds}
+        for first in range(0, draws, step):
+            own = np.arange(first, min(first + step, draws))
+            drawn = counter_arrays(seed, own[:, None], np.arange(1, width + 1)) % width  # places count from 1
+            weight = np.bincount((drawn + np.arange(len(own))[:, None] * width).ravel(), minlength=len(own) * width).reshape(len(own), width).astype(float)
+            for threshold, there in held.items():
+                total = weight @ there.T.astype(float)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    ret = (weight @ np.where(there, m["realised"], 0.0).T) / total
+                ret = np.where(total > 0, ret, 0.0)
+                out.append(_sums(rows, threshold, "draw", own, (total > 0).sum(axis=1), ret))
+        return pd.concat(out)
+
+    sums = dated_blocks(panel).groupBy("panel_id", "dates").applyInPandas(draw, "panel_id string, threshold double, draw int, n long, s1 double, s2 double")
     found = sharpe_of_sums(sums, [*KEYS, "draw"], annualise)
     return found.select(*KEYS, F.lit("cluster_entity").alias("method"), "draw", "sharpe")
 
 
+def _sums(rows: pd.DataFrame, threshold: float, name: str, own: np.ndarray, n: np.ndarray, ret: np.ndarray) -> pd.DataFrame:
+    """Number, sum and sum of squares of each row of returns (0 where there is none)."""
+    return pd.DataFrame({"panel_id": rows["panel_id"].iloc[0], "threshold": threshold, name: own, "n": n, "s1": ret.sum(axis=1), "s2": (ret * ret).sum(axis=1)})
+
+
 def menu_rows(dates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The menu's returns on the dates that any strategy has, and its block length."""
     some = dates.groupBy("panel_id", "t_idx").agg(F.count("ret").alias("some"), F.avg("ret").alias("r")).filter("some > 0")
@@ -238,7 +235,7 @@ def menu_tests(dates: DataFrame, draws: int, seed: int) -> DataFrame:
                 })
 
     schema = "panel_id string, threshold double, n_dates int, block_size int, step int, t_stat double, mean double, raw long, above long, best long"
-    found = work.repartition("panel_id", "first").mapInPandas(draw, schema)
+    found = spread(work, "panel_id", "first").mapInPandas(draw, schema)
     fixed = ("n_dates", "block_size", "step", "t_stat", "mean")
     return found.groupBy(*KEYS).agg(*(F.first(c).alias(c) for c in fixed), *(F.sum(c).alias(c) for c in ("raw", "above", "best")))
 
@@ -267,40 +264,34 @@ def white_reality_check(dates: DataFrame, draws: int, seed: int) -> DataFrame:
 
 
 def permuted_sharpe(
-    panel: DataFrame, thresholds: tuple[float, ...], perms: int, seed: int, annualise: float, group: Column | None = None, exposure: str = "as_selected", block: int = 50
+    panel: DataFrame, thresholds: tuple[float, ...], perms: int, seed: int, annualise: float, group: Column | None = None, exposure: str = "as_selected"
 ) -> DataFrame:
     """NULL_DRAWS: panel_id, threshold, perm and sharpe with (pred, conf) dealt anew among the
-    entities of a date (and of a group, if one is given). A task has a block of dates and of
-    permutations; each entity's turn is a hashed counter of (seed, perm, t_idx, e_idx)."""
-    width = panel.groupBy("panel_id").agg((F.max("e_idx") + 1).alias("width"))
-    groups = panel.select("panel_id", "e_idx", (F.lit(0) if group is None else group).cast("long").alias("grp")).distinct()
-    groups = groups.groupBy("panel_id").agg(F.array_sort(F.collect_list(F.struct("e_idx", "grp"))).alias("groups"))
-    work = panel_blocks(panel).join(F.broadcast(width), "panel_id").join(F.broadcast(groups), "panel_id")
-    work = work.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(perms - 1), F.lit(block))))
-
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                dates, m = _matrices(row["cells"], int(row["width"]))
-                pool = np.zeros(int(row["width"]), dtype=np.int64)
-                for g in row["groups"]:
-                    pool[g["e_idx"]] = g["grp"]
-                out = []
-                for perm in range(row["first"], min(row["first"] + block, perms)):
-                    keys = counter_arrays(seed, np.array(perm), dates[:, None], np.arange(len(pool)))
-                    places = np.lexsort((np.broadcast_to(np.arange(len(pool)), keys.shape), np.broadcast_to(pool, keys.shape)), axis=1)
-                    turns = np.lexsort((keys, np.broadcast_to(pool, keys.shape)), axis=1)
-                    order = np.empty_like(turns)
-                    np.put_along_axis(order, places, turns, axis=1)
-                    pred, conf = (np.take_along_axis(m[c], order, axis=1) for c in ("pred", "conf"))
-                    side = np.nan_to_num(np.sign(pred))
-                    realised = np.where(side != 0, side * m["raw"], np.nan)
-                    for threshold in thresholds:
-                        n, s1, s2 = _moments(_selected_mean(pred, conf, realised, 1.0, threshold, exposure))
-                        out.append((row["panel_id"], threshold, perm, n, s1, s2))
-                yield pd.DataFrame(out, columns=["panel_id", "threshold", "perm", "n", "s1", "s2"])
-
-    sums = work.repartition("panel_id", "dates", "first").mapInPandas(deal, "panel_id string, threshold double, perm int, n long, s1 double, s2 double")
+    entities of a date (and of a group, if one is given). A task has a block of dates, once, goes through all
+    permutations and returns sums; each entity's turn is a counter of (seed, perm, t_idx, e_idx)."""
+
+    def deal(rows: pd.DataFrame) -> pd.DataFrame:
+        dates, m = _matrices(rows)
+        width, out = m["conf"].shape[1], []
+        pool = np.zeros(width, dtype=np.int64)
+        pool[rows["e_idx"].to_numpy()] = rows["grp"].to_numpy()
+        places = np.argsort(pool, kind="stable")
+        step = max(1, CELLS // (len(dates) * width))
+        for first in range(0, perms, step):
+            own = np.arange(first, min(first + step, perms))
+            keys = counter_arrays(seed, own[:, None, None], dates[None, :, None], np.arange(width)) + (pool << 32)
+            order = np.empty_like(keys)
+            order[..., places] = np.argsort(keys, axis=-1, kind="stable")
+            pred, conf = (np.take_along_axis(np.broadcast_to(m[c], keys.shape), order, axis=-1) for c in ("pred", "conf"))
+            side = np.nan_to_num(np.sign(pred))
+            realised = np.where(side != 0, side * m["raw"], np.nan)
+            for threshold in thresholds:
+                ret = _selected_mean(pred, conf, realised, 1.0, threshold, exposure)
+                there = np.isfinite(ret)
+                out.append(_sums(rows, threshold, "perm", own, there.sum(axis=1), np.where(there, ret, 0.0)))
+        return pd.concat(out)
+
+    sums = dated_blocks(panel, group).groupBy("panel_id", "dates").applyInPandas(deal, "panel_id string, threshold double, perm int, n long, s1 double, s2 double")
     return sharpe_of_sums(sums, [*KEYS, "perm"], annualise)
 
 

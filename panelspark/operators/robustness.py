@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.aggregate import KEYS
 from panelspark.operators.series import bandwidths, delta_method, hac_sharpe, lagged, long_run_covariance, moments, rolling_sharpe, with_moments
+from panelspark.tables import spread
 
 #: The autoregression is scaled down to this spectral radius.
 LARGEST_RADIUS = 0.98
@@ -157,7 +158,7 @@ def fixed_b(
                 yield pd.DataFrame({**{k: row[k] for k in named}, "z": _hac_z(draws, row["simulation_bandwidth"], annualise)})
 
     schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", b double, z double"
-    null = work.repartition(*named, "first").mapInPandas(simulate, schema).filter(~F.isnan("z") & (F.abs("z") < float("inf")))
+    null = spread(work, *named, "first").mapInPandas(simulate, schema).filter(~F.isnan("z") & (F.abs("z") < float("inf")))
     rows = null.join(observed, list(named)).groupBy(*named).agg(
         F.count_if(F.col("z") >= F.col("z_statistic")).alias("above"), F.count_if(F.abs("z") >= F.abs("z_statistic")).alias("beyond"), F.count(F.lit(1)).alias("n_sim"),
         F.percentile("z", 0.95).alias("fixedb_crit_95"), F.percentile(F.abs("z"), 0.95).alias("fixedb_abs_crit_95"),

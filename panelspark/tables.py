@@ -32,3 +32,9 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = new_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(work: DataFrame, *keys: str) -> DataFrame:
+    """``work`` by keys over a fixed number of partitions, some for each core: little data with much to compute,
+    which adaptive execution would put together by its size."""
+    return work.repartition(4 * int(work.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
