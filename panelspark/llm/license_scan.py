@@ -145,17 +145,18 @@ def scan_licenses(
     own = read.withColumn("own", F.array_intersect(F.lit(order), words))
     reached = [F.size(F.array_intersect(F.lit(s), F.col("own"))) >= need[k] for k, s in sorted_sets.items()]
 
-    def blocks(width: int) -> Column:
+    def blocks(every_word: Column, width: int) -> Column:
         """The windows of a width with enough words of its templates: those words, rarest first."""
         vocabulary = [w for w in order if any(w in sets[k] for k in sets if widths[k] == width)]
         least = min(need[k] for k in sets if widths[k] == width)
         cut = F.transform(
-            F.sequence(F.lit(0), F.size(words) - 1, F.lit(width)),
-            lambda i: F.struct(F.lit(width).alias("width"), i.alias("start"), F.array_intersect(F.lit(vocabulary), F.slice(words, i + 1, 2 * width)).alias("block")),
+            F.sequence(F.lit(0), F.size(every_word) - 1, F.lit(width)),
+            lambda i: F.struct(F.lit(width).alias("width"), i.alias("start"), F.array_intersect(F.lit(vocabulary), F.slice(every_word, i + 1, 2 * width)).alias("block")),
         )
         return F.filter(cut, lambda b: F.size(b["block"]) >= least)
 
-    every = F.concat(*(blocks(w) for w in sorted(set(widths.values()))))
+    # a text is split once, not for each window
+    every = F.transform(F.array(words), lambda ws: F.concat(*(blocks(ws, w) for w in sorted(set(widths.values())))))[0]
     kept = written(
         base_places(own, phrases)
         .withColumn("blocks", F.when(reduce(lambda a, b: a | b, reached), every))
