@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Longest part that is remembered, and how many are.
-KEEP_CHARS, KEEP_PARTS = 64, 300_000
+#: Longest part that is remembered, and how many are, by themselves and with their lists.
+KEEP_CHARS, KEEP_PARTS, KEEP_LISTS = 64, 300_000, 20_000
 #: Parts longer than this are cut wherever no piece crosses.
 LONG = 256
 
@@ -71,6 +71,7 @@ class Pieces:
         #: What is known of parts, in two generations: the older one goes when the newer is full.
         self.known: dict[str, tuple[bytes, float, float, bytes]] = {}
         self.older: dict[str, tuple[bytes, float, float, bytes]] = {}
+        self.listed: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
 
     @classmethod
     def load(cls, path: str) -> Pieces:
@@ -192,6 +193,17 @@ class Pieces:
             self.known[part] = found
         return found
 
+    def lists(self, part: str, n: int) -> list[tuple[float, list[int]]]:
+        """:meth:`nbest`, remembered for short parts: the same common words deviate in many texts."""
+        found = self.listed.get((part, n))
+        if found is None:
+            found = self.nbest(part, n)
+            if len(part) <= KEEP_CHARS:
+                if len(self.listed) >= KEEP_LISTS:
+                    self.listed.clear()
+                self.listed[part, n] = found
+        return found
+
     def nbest(self, part: str, n: int) -> list[tuple[float, list[int]]]:
         """The ``n`` best segmentations of a part, best first, by backward A-star search."""
         starts, ends, scores, pieces, best, _ = self.forward(part)
@@ -229,7 +241,7 @@ class Pieces:
         total, ways = sum(best), [(0.0, {})]  # how much a way falls short, and the parts in which it isn't the best
         for i in heapq.nsmallest(n - 1, range(len(parts)), key=short.__getitem__):
             if short[i] < math.inf:
-                own = self.nbest(parts[i], n)
+                own = self.lists(parts[i], n)
                 ways = sorted(((a + (s - own[0][0]), {**w, i: x} if turn else w) for a, w in ways for turn, (s, x) in enumerate(own)), key=lambda w: -w[0])[:n]
         found, held = [], list(first)
         for _, way in ways:
@@ -304,8 +316,8 @@ def encode(docs: DataFrame, model_path: str, n: int = 4, lists: bool = False) ->
 
 def segment(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
     """doc_id, scores, nbest_pieces (their numbers) and nbest_sha256 (digests of their ids as 32-bit little-endian numbers) of the
-    ``n`` best segmentations, n_pieces and ids_sha256 of the library's encoding, and round_trip (both it and the best
-    segmentation decode to the text) of every row of ``docs``."""
+    ``n`` best segmentations, n_pieces and ids_sha256 of the library's encoding, and round_trip (it decodes to the
+    text) of every row of ``docs``."""
 
     @F.pandas_udf("scores array<double>, nbest_pieces array<int>, nbest_sha256 array<string>, n_pieces long, ids_sha256 string, round_trip boolean")
     def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -314,7 +326,7 @@ def segment(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:
             out = []
             for text in batch:
                 packed, scores, found = pieces.segment(text or "", n)
-                back = all(pieces.decode(array("i", x)) == (text or "") for x in {packed, found[0]})
+                back = pieces.decode(array("i", packed)) == (text or "")
                 digests = [hashlib.sha256(x).hexdigest() for x in found]
                 out.append((scores, [len(x) // 4 for x in found], digests, len(packed) // 4, hashlib.sha256(packed).hexdigest(), back))
             yield pd.DataFrame(out, columns=columns)
