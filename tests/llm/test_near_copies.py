@@ -95,7 +95,7 @@ def test_planted_pairs_are_found(spark):
 
 
 def test_keys_follow_the_number_of_texts():
-    assert nc.key_bits(10) == nc.key_bits(2**20) == 26 and nc.key_bits(2**34) == 40
+    assert nc.key_bits(10) == 16 and nc.key_bits(2**20) == 26 and nc.key_bits(2**34) == 40
     bits = nc.key_bits(1000)
     keys = nc.keys_needed(bits, 0.8)
     equal = (1 - nc.expected_distance(0.8) / nc.WIDTH) ** bits
