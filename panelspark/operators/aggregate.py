@@ -103,18 +103,35 @@ def count_summary(counts: DataFrame) -> DataFrame:
     )
 
 
-def target_weights(panel: DataFrame, thresholds: tuple[float, ...], exposure: str = "as_selected") -> DataFrame:
-    """threshold and weight of every (date, entity): sides over the number held, or half of each side."""
-    rows = panel.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    held = (F.col("conf") >= F.col("threshold")) & F.col("realised").isNotNull() & F.col("pred").isNotNull()
-    by_date = Window.partitionBy("panel_id", "threshold", "t_idx")
+def nested_weights(panel: DataFrame, thresholds: tuple[float, ...], exposure: str = "as_selected") -> DataFrame:
+    """``weights`` of every (date, entity), one for each threshold: sides over the number held, or half of each side.
+
+    The thresholds stand side by side in an array, so the panel is shuffled once whatever their number."""
+    by_date = Window.partitionBy("panel_id", "t_idx")
     n = lambda where: F.count_if(where).over(by_date)
-    if exposure == "as_selected":
-        own = F.when(held, sign(F.col("pred")) / n(held))
-    elif exposure == "dollar_neutral":
-        long, short = held & (F.col("pred") > 0), held & (F.col("pred") < 0)
-        both = (n(long) > 0) & (n(short) > 0)
-        own = F.when(both & long, 0.5 / n(long)).when(both & short, -0.5 / n(short))
-    else:
+
+    def own(threshold: float) -> Column:
+        held = selected(threshold)
+        if exposure == "as_selected":
+            return F.when(held, sign(F.col("pred")) / n(held))
+        if exposure == "dollar_neutral":
+            long, short = held & (F.col("pred") > 0), held & (F.col("pred") < 0)
+            both = (n(long) > 0) & (n(short) > 0)
+            return F.when(both & long, 0.5 / n(long)).when(both & short, -0.5 / n(short))
         raise ValueError(f"unknown exposure {exposure}")
-    return rows.select("panel_id", "threshold", "t_idx", "date", "e_idx", "entity", F.coalesce(own, F.lit(0.0)).alias("weight"))
+
+    weights = F.array(*(F.coalesce(own(x), F.lit(0.0)) for x in thresholds))
+    return panel.select("panel_id", "t_idx", "date", "e_idx", "entity", weights.alias("weights"))
+
+
+def target_weights(panel: DataFrame, thresholds: tuple[float, ...], exposure: str = "as_selected") -> DataFrame:
+    """threshold and weight of every (date, entity)."""
+    every = F.array(*(F.struct(F.lit(x).alias("threshold"), F.col("weights")[i].alias("weight")) for i, x in enumerate(thresholds)))
+    rows = nested_weights(panel, thresholds, exposure).withColumn("x", F.explode(every))
+    return rows.select("panel_id", "x.threshold", "t_idx", "date", "e_idx", "entity", "x.weight")
+
+
+def by_threshold(rows: DataFrame, keys: tuple[str, ...], thresholds: tuple[float, ...], figures) -> DataFrame:
+    """keys, threshold and ``figures`` (a function of a threshold and its place, that gives named aggregates), in one pass for all."""
+    every = F.array(*(F.struct(F.lit(x).alias("threshold"), *figures(x, i)) for i, x in enumerate(thresholds)))
+    return rows.groupBy(*keys).agg(every.alias("all")).select(*keys, F.explode("all").alias("x")).select(*keys, "x.*")

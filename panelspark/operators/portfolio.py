@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.special import normal_cdf, normal_quantile, sign
-from panelspark.operators.aggregate import KEYS, date_returns, series_of, sharpe_of, target_weights
+from panelspark.operators.aggregate import KEYS, by_threshold, date_returns, nested_weights, series_of, sharpe_of
 from panelspark.operators.resample import bootstrap, inference, row_statistics, shape
 from panelspark.operators.series import hac_sharpe
 from panelspark.tables import written
@@ -24,15 +24,17 @@ EULER_GAMMA = 0.5772156649015329
 def daily_turnover(panel: DataFrame, thresholds: tuple[float, ...], exposure: str = "as_selected") -> DataFrame:
     """Half-L1 turnover of each date against the one before: total, the part of positions that keep
     their side, and whether either date has a position."""
-    weights = target_weights(panel, thresholds, exposure)
-    before = F.lag("weight").over(Window.partitionBy(*KEYS, "e_idx").orderBy("t_idx"))
-    steps = weights.withColumn("before", before)
-    move = F.abs(F.col("weight") - F.col("before"))
-    return steps.groupBy(*KEYS, "t_idx").agg(
-        F.sum(0.5 * move).alias("total"),
-        F.sum(F.when(F.col("weight") * F.col("before") > 0, 0.5 * move).otherwise(0.0)).alias("rescale"),
-        (F.sum(F.abs("weight") + F.abs("before")) > 0).alias("active"),
-    )
+    weights = nested_weights(panel, thresholds, exposure)
+    steps = weights.withColumn("before", F.lag("weights").over(Window.partitionBy("panel_id", "e_idx").orderBy("t_idx")))
+
+    def figures(_: float, i: int) -> list[Column]:
+        now, before = F.col("weights")[i], F.col("before")[i]
+        move = 0.5 * F.abs(now - before)
+        return [
+            F.sum(move).alias("total"), F.sum(F.when(now * before > 0, move).otherwise(0.0)).alias("rescale"), (F.sum(F.abs(now) + F.abs(before)) > 0).alias("active"),
+        ]
+
+    return by_threshold(steps, ("panel_id", "t_idx"), thresholds, figures).select(*KEYS, "t_idx", "total", "rescale", "active")
 
 
 def turnover(panel: DataFrame, thresholds: tuple[float, ...], exposure: str = "as_selected") -> DataFrame:
@@ -159,13 +161,12 @@ def walk_forward(
 
 def capacity(panel: DataFrame, thresholds: tuple[float, ...]) -> DataFrame:
     """Impact and viability for each size and liquidity tier, by square-root impact."""
-    rows = panel.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    held = F.coalesce(F.col("conf") >= F.col("threshold"), F.lit(False))
-    rows = rows.select(*KEYS, "t_idx", "e_idx", held.cast("int").alias("held"), F.when(held, sign(F.col("pred"))).otherwise(0.0).alias("position"))
-    before = F.lag("position").over(Window.partitionBy(*KEYS, "e_idx").orderBy("t_idx"))
-    per_date = rows.withColumn("before", before).groupBy(*KEYS, "t_idx").agg(
-        F.sum("held").alias("held"), F.sum(F.abs(F.col("position") - F.col("before"))).alias("moved")
-    )
+    held = [F.coalesce(F.col("conf") >= F.lit(x), F.lit(False)) for x in thresholds]
+    rows = panel.select(
+        "panel_id", "t_idx", "e_idx", F.array(*(h.cast("int") for h in held)).alias("held"), F.array(*(F.when(h, sign(F.col("pred"))).otherwise(0.0) for h in held)).alias("position")
+    )
+    rows = rows.withColumn("before", F.lag("position").over(Window.partitionBy("panel_id", "e_idx").orderBy("t_idx")))
+    per_date = by_threshold(rows, ("panel_id", "t_idx"), thresholds, lambda _, i: [F.sum(F.col("held")[i]).alias("held"), F.sum(F.abs(F.col("position")[i] - F.col("before")[i])).alias("moved")])
     moved = F.when(F.col("t_idx") > 0, F.col("moved") / F.greatest(F.col("held"), F.lit(1)))
     base = per_date.groupBy(*KEYS).agg(F.avg("held").alias("positions"), F.coalesce(F.avg(moved), F.lit(1.0)).alias("daily_turnover"))
     tier = F.explode(F.array(*(F.struct(F.lit(a).alias("liquidity_tier"), F.lit(v).alias("adv"), F.lit(s).alias("vol"), F.lit(b).alias("spread")) for a, v, s, b in TIERS)))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions.special import counter_arrays, student_upper
-from panelspark.operators.aggregate import KEYS, date_returns, sharpe_of
+from panelspark.operators.aggregate import KEYS, by_threshold, selected, sharpe_of
 from panelspark.operators.panel import along_time, compounded, rank_confidence, raw_returns
 from panelspark.operators.series import block_lengths, effective_size
 from panelspark.tables import spread
@@ -387,12 +387,11 @@ def menu_table(panel: DataFrame, dates: DataFrame, series: DataFrame, draws: int
     confidences alone, avg_names also dates without any."""
     record = inference(series, bootstrap(series, "moving_block", draws, seed, annualise), annualise)
     sizes = dates.groupBy(*KEYS).agg(F.count("ret").alias("n_dates"))
-    counted = panel.select("panel_id", "t_idx", "conf", "realised").withColumn("threshold", F.explode(F.array(*map(F.lit, sorted({r[0] for r in dates.select("threshold").distinct().collect()})))))
-    reached = F.col("conf") >= F.col("threshold")
-    names = counted.groupBy(*KEYS).agg(
-        F.count_if(reached).alias("n_predictions"),
-        (F.count_if(reached & F.col("realised").isNotNull()) / F.countDistinct("t_idx")).alias("avg_names"),
-    )
+    thresholds = tuple(sorted(r[0] for r in dates.select("threshold").distinct().collect()))  # the menu: a few values
+    names = by_threshold(panel, ("panel_id",), thresholds, lambda x, _: [
+        F.count_if(F.col("conf") >= F.lit(x)).alias("n_predictions"), F.count_if((F.col("conf") >= F.lit(x)) & F.col("realised").isNotNull()).alias("names"),
+    ]).join(panel.groupBy("panel_id").agg(F.countDistinct("t_idx").alias("dates")), "panel_id")
+    names = names.select(*KEYS, "n_predictions", (F.col("names") / F.col("dates")).alias("avg_names"))
     rows = sizes.join(names, list(KEYS)).join(record, list(KEYS), "left")
     enough = F.col("n_dates") >= 30
     rows = rows.select(
@@ -418,12 +417,12 @@ def row_statistics(panel: DataFrame, thresholds: tuple[float, ...], annualise: f
     """All selected rows pooled, as if they were independent: n_rows, t statistic and its p-value by
     Student's distribution; Sharpe ratio with its iid error, interval and normal p-value
     (null below five rows)."""
-    rows = panel.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
-    held = rows.filter((F.col("conf") >= F.col("threshold")) & F.col("realised").isNotNull() & F.col("pred").isNotNull())
-    value = F.col("realised")
-    found = held.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n_rows"), t_statistics(value).alias("row_t_stat"), sharpe_of(value, annualise).alias("row_sharpe"), sharpe_of(value, 1.0).alias("period")
-    )
+
+    def figures(threshold: float, _: int) -> list[Column]:
+        value = F.when(selected(threshold), F.col("realised"))
+        return [F.count(value).alias("n_rows"), t_statistics(value).alias("row_t_stat"), sharpe_of(value, annualise).alias("row_sharpe"), sharpe_of(value, 1.0).alias("period")]
+
+    found = by_threshold(panel, ("panel_id",), thresholds, figures).filter("n_rows > 0")
     se = F.when(F.col("n_rows") >= 5, F.sqrt(annualise * (1 + 0.5 * F.col("period") * F.col("period")) / F.col("n_rows")))
     found = found.withColumn("row_sharpe_se", se).withColumn("row_p_positive", student_upper(F.col("row_t_stat"), F.greatest(F.lit(1.0), F.col("n_rows") - 1.0)))
     return found.select(
