@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelspark.functions.special import normal_cdf
 from panelspark.operators.aggregate import KEYS
 from panelspark.operators.series import bandwidths, delta_method, hac_sharpe, lagged, long_run_covariance, moments, rolling_sharpe, with_moments
 from panelspark.tables import spread
@@ -178,32 +180,40 @@ ROOT_LARGE = (1.7339, 0.93202, -0.12745, -0.010368)
 LEVEL_CRITICAL, LEVEL_ODDS = (0.347, 0.463, 0.574, 0.739), (0.10, 0.05, 0.025, 0.01)
 
 
-def unit_root_p(r: np.ndarray) -> float:
-    """The augmented unit-root test's p-value: a constant, and as many lagged differences as the least AIC takes."""
+def unit_root_t(r: np.ndarray) -> float:
+    """The augmented unit-root test's statistic: a constant, and as many lagged differences as the least AIC takes.
+
+    One matrix of products of the level, a constant, all lagged differences and the step serves all choices: its
+    triangular factor, column by column, holds what each more lag leaves unexplained. The chosen one adds the
+    products of the dates that it gains."""
     n = len(r)
     most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
     step = np.diff(r)
 
-    def fit(lags: int, start: int) -> tuple[float, float]:
-        y = step[start:]
-        x = np.column_stack([r[start:-1], np.ones(len(y)), *(step[start - k : len(step) - k] for k in range(1, lags + 1))])
-        beta, *_ = np.linalg.lstsq(x, y, rcond=None)
-        left = y - x @ beta
-        rss = float(left @ left)
-        aic = len(y) * (math.log(2 * math.pi * rss / len(y)) + 1) + 2 * x.shape[1]
-        cov = np.linalg.pinv(x.T @ x) * rss / (len(y) - x.shape[1])
-        return aic, beta[0] / math.sqrt(cov[0, 0])
-
-    best = min(range(most + 1), key=lambda k: fit(k, most)[0])
-    t = fit(best, best)[1]
-    if t > ROOT_MOST or t < ROOT_LEAST:
-        return 1.0 if t > ROOT_MOST else 0.0
-    powers = ROOT_SMALL if t <= ROOT_SWITCH else ROOT_LARGE
-    return 0.5 * math.erfc(-sum(c * t**i for i, c in enumerate(powers)) / math.sqrt(2))
-
-
-def level_p(r: np.ndarray) -> float:
-    """The stationarity test's p-value about a constant, with a data-driven Bartlett window; 0.01 to 0.1."""
+    def columns(lags: int, start: int, end: int) -> np.ndarray:
+        """Constant, level, the lagged differences and the step, a row for each date."""
+        return np.column_stack([np.ones(end - start), r[start:end], *(step[start - k : end - k] for k in range(1, lags + 1)), step[start:end]])
+
+    rows = columns(most, most, n - 1)
+    products = rows.T @ rows
+    left = np.linalg.cholesky(products)[-1] ** 2  # of the step, by each column, and what all leave
+    rss = np.cumsum(left[::-1])[::-1][2:]  # after the constant, the level and 0, 1 .. lags
+    lags = int(np.argmin(len(rows) * (np.log(2 * math.pi * rss / len(rows)) + 1) + 2 * np.arange(2, most + 3)))
+    chosen, gained = [0, *range(2, 2 + lags), 1, most + 2], columns(lags, lags, most)
+    gained = gained[:, [0, *range(2, 2 + lags), 1, lags + 2]]
+    factor = np.linalg.cholesky(products[np.ix_(chosen, chosen)] + gained.T @ gained)
+    return float(factor[-1, -2] / math.sqrt(factor[-1, -1] ** 2 / (n - 1 - lags - (lags + 2))))
+
+
+def unit_root_p(t: Column) -> Column:
+    """The p-value of the unit-root statistic."""
+    power = lambda powers: sum((c * F.pow(t, F.lit(float(i))) for i, c in enumerate(powers[1:], 1)), F.lit(powers[0]))
+    inside = normal_cdf(F.when(t <= ROOT_SWITCH, power(ROOT_SMALL)).otherwise(power(ROOT_LARGE)))
+    return F.when(t > ROOT_MOST, 1.0).when(t < ROOT_LEAST, 0.0).when(t.isNotNull(), inside)
+
+
+def level_statistic(r: np.ndarray) -> float:
+    """The stationarity test's statistic about a constant, with a data-driven Bartlett window."""
     n = len(r)
     x = r - r.mean()
     s0, s1 = float(x @ x) / n, 0.0
@@ -212,8 +222,15 @@ def level_p(r: np.ndarray) -> float:
         s0, s1 = s0 + product, s1 + k * product
     lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1)
     long_run = float(x @ x) + 2 * sum((1 - k / (lags + 1)) * float(x[k:] @ x[:-k]) for k in range(1, lags + 1))
-    statistic = float((np.cumsum(x) ** 2).sum()) / n**2 / (long_run / n)
-    return float(np.interp(statistic, LEVEL_CRITICAL, LEVEL_ODDS))
+    return float((np.cumsum(x) ** 2).sum()) / n**2 / (long_run / n)
+
+
+def level_p(statistic: Column) -> Column:
+    """The p-value of the stationarity statistic: between the critical values, 0.01 to 0.1."""
+    out = F.when(statistic <= LEVEL_CRITICAL[0], LEVEL_ODDS[0])
+    for (low, high), (a, b) in zip(pairwise(LEVEL_CRITICAL), pairwise(LEVEL_ODDS), strict=True):
+        out = out.when(statistic <= high, a + (b - a) * (statistic - low) / (high - low))
+    return out.when(statistic.isNotNull(), LEVEL_ODDS[-1])
 
 
 def stationarity(series: DataFrame, annualise: float, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -224,15 +241,16 @@ def stationarity(series: DataFrame, annualise: float, keys: tuple[str, ...] = KE
     def tests(group: pd.DataFrame) -> pd.DataFrame:
         r = group.sort_values("u")["r"].to_numpy()
         out = []
-        for test in (unit_root_p, level_p):
+        for test in (unit_root_t, level_statistic):
             try:
                 with np.errstate(all="raise"):
                     out.append(test(r) if len(r) >= 30 else None)
             except (ValueError, ArithmeticError, np.linalg.LinAlgError):
                 out.append(None)
-        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), len(r), *out]], columns=[*keys, "n", "adf_p", "kpss_p"])
+        return pd.DataFrame([[*(group[k].iloc[0] for k in keys), len(r), *out]], columns=[*keys, "n", "root_t", "level"])
 
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n long, adf_p double, kpss_p double"
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", n long, root_t double, level double"
     rolling = rolling_sharpe(series, annualise, keys).drop("rolling_window")
     found = series.groupBy(*keys).applyInPandas(tests, schema).join(rolling, list(keys), "left")
+    found = found.select(*keys, "n", unit_root_p(F.col("root_t")).alias("adf_p"), level_p(F.col("level")).alias("kpss_p"), "rolling_sr_min", "rolling_sr_max")
     return found.withColumns({c: F.when(F.col("n") >= 30, F.col(c)) for c in ("rolling_sr_min", "rolling_sr_max")})

@@ -418,7 +418,7 @@ def fixed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stationarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Unit-root and stationarity tests with the rolling Sharpe ratio (no SQL form: lags are chosen by regressions)."""
+    """Unit-root and stationarity tests with the rolling Sharpe ratio."""
     return rounded(robustness.stationarity(ship_series(spark, sf_dir), WEEKS), 5)
 
 

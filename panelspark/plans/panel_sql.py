@@ -5,6 +5,7 @@ from __future__ import annotations
 from panelspark.functions.special import counter_sql, normal_cdf_sql, normal_quantile, student_upper_sql
 from panelspark.operators.portfolio import AUM_MM, COSTS, EULER_GAMMA, TIERS, round_trip
 from panelspark.operators.campaign import TABLES as TABLE_NAMES
+from panelspark.operators.robustness import LEVEL_CRITICAL, LEVEL_ODDS, ROOT_LARGE, ROOT_LEAST, ROOT_MOST, ROOT_SMALL, ROOT_SWITCH
 from panelspark.plans.panel_queries import DRAWS, PERMS, PRIMARY, SEED, THRESHOLDS
 
 WEEK_VALUES = """SELECT date_trunc('week', l_shipdate)::DATE AS date, s_nationkey AS entity,
@@ -312,6 +313,57 @@ JOIN ({base}, {MOMENTS}, {BANDWIDTH}, {hac(both, "tau, label")} SELECT tau, max(
 JOIN ({base}, {HELD} SELECT tau, se_rows FROM hs) USING (tau)"""
 
 
+def root_statistic() -> str:
+    """tau and t of the unit-root test: products once for the choice of lags, once for the chosen ones, eliminated step by step."""
+    def eliminated(name: str, products: str, upto: str) -> str:
+        return f"""{name} AS (SELECT tau, 0 AS k, m FROM {products} UNION ALL
+  SELECT tau, k + 1, list_transform(range(1, len(m) + 1), lambda i: CASE WHEN i > k + 1 THEN list_transform(m[i], lambda x, j: x - m[i][k + 1] / m[k + 1][k + 1] * m[k + 1][j]) ELSE m[i] END)
+  FROM {name} WHERE k < {upto})"""
+
+    def products(name: str, rows: str) -> str:
+        return f"""{name} AS (SELECT tau, list(line ORDER BY a) AS m FROM (SELECT tau, a, list(g ORDER BY b) AS line FROM (SELECT tau, a, b, sum(v[a] * v[b]) AS g
+  FROM {rows} CROSS JOIN LATERAL (SELECT unnest(range(1, len(v) + 1)) AS a) CROSS JOIN LATERAL (SELECT unnest(range(1, len(v) + 1)) AS b) GROUP BY ALL) GROUP BY tau, a) GROUP BY tau)"""
+
+    lagged = "list_transform(range(1, {0} + 1), lambda k: s[i - k + 1])"
+    return f"""WITH RECURSIVE {BASE.removeprefix("WITH ")},
+ra AS (SELECT tau, count(*) AS n, list(r ORDER BY u) AS r FROM ser GROUP BY tau HAVING count(*) >= 30),
+sa AS (SELECT *, list_transform(range(1, n), lambda i: r[i + 1] - r[i]) AS s, least(ceil(12 * pow(n / 100.0::DOUBLE, 0.25)), n // 2 - 2)::BIGINT AS most FROM ra),
+v1 AS (SELECT tau, list_concat([1.0::DOUBLE, r[i + 1]], {lagged.format("most")}, [s[i + 1]]) AS v FROM sa CROSS JOIN LATERAL (SELECT unnest(range(most, n - 1)) AS i)),
+{products("p1", "v1")}, {eliminated("e1", "p1", "len(m) - 1")},
+ai AS (SELECT tau, k - 2 AS lags, (n - 1 - most) * (ln(2 * pi() * m[len(m)][len(m)] / (n - 1 - most)) + 1) + 2 * k AS aic FROM e1 JOIN sa USING (tau) WHERE k >= 2),
+ch AS (SELECT tau, arg_min(lags, aic) AS lags FROM ai GROUP BY tau),
+v2 AS (SELECT tau, list_concat([1.0::DOUBLE], {lagged.format("lags")}, [r[i + 1], s[i + 1]]) AS v FROM sa JOIN ch USING (tau) CROSS JOIN LATERAL (SELECT unnest(range(lags, n - 1)) AS i)),
+{products("p2", "v2")}, {eliminated("e2", "p2", "len(m) - 2")}
+SELECT tau, n, r, m[-1][-2] / m[-2][-2] / sqrt((m[-1][-1] - m[-1][-2] * m[-1][-2] / m[-2][-2]) / (n - 1 - lags - (lags + 2)) / m[-2][-2]) AS t
+FROM e2 JOIN sa USING (tau) JOIN ch USING (tau) WHERE k = len(m) - 2"""
+
+
+def stationarity_sql() -> str:
+    """The unit-root and stationarity tests and the rolling extremes."""
+    power = lambda powers: " + ".join(f"({c}) * pow(t, {i})" for i, c in enumerate(powers))
+    root = f"CASE WHEN t > {ROOT_MOST} THEN 1.0 WHEN t < {ROOT_LEAST} THEN 0.0 ELSE {normal_cdf_sql('inside')} END"
+    steps = zip(LEVEL_CRITICAL, LEVEL_CRITICAL[1:], LEVEL_ODDS, LEVEL_ODDS[1:], strict=False)
+    level = f"CASE WHEN level <= {LEVEL_CRITICAL[0]} THEN {LEVEL_ODDS[0]} " + " ".join(f"WHEN level <= {h} THEN {a} + ({b} - {a}) * (level - {low}) / ({h} - {low})" for low, h, a, b in steps) + f" ELSE {LEVEL_ODDS[-1]} END"
+    product = "list_sum(list_transform(range(k + 1, n + 1), lambda i: x[i] * x[i - k]))"
+    each = lambda upto, what: f"coalesce(list_sum(list_transform(range(1, {upto} + 1), lambda k: {what})), 0)"
+    rolling = oracle_rolling()
+    return f"""WITH rt AS ({root_statistic()}),
+xa AS (SELECT *, CASE WHEN t <= {ROOT_SWITCH} THEN {power(ROOT_SMALL)} ELSE {power(ROOT_LARGE)} END AS inside, list_transform(r, lambda v: v - list_avg(r)) AS x FROM rt),
+kp AS (SELECT *, list_sum(list_transform(x, lambda v: v * v)) AS xx, floor(pow(n::DOUBLE, 2 / 9.0::DOUBLE))::BIGINT AS first FROM xa),
+k2 AS (SELECT *, xx / n + {each("first", f"{product} / (n / 2.0::DOUBLE)")} AS s0, {each("first", f"k * {product} / (n / 2.0::DOUBLE)")} AS s1 FROM kp),
+k3 AS (SELECT *, least(floor(1.1447 * pow(pow(s1 / s0, 2), 1 / 3.0::DOUBLE) * pow(n::DOUBLE, 1 / 3.0::DOUBLE)), n - 1)::BIGINT AS lags FROM k2),
+k4 AS (SELECT *, list_sum(list_transform(range(1, n + 1), lambda i: pow(list_sum(x[1:i]), 2))) / n / n / ((xx + 2 * {each("lags", f"(1 - k / (lags + 1.0::DOUBLE)) * {product}")}) / n) AS level FROM k3)
+SELECT tau AS threshold, n, round({root}, 5) AS adf_p, round({level}, 5) AS kpss_p, round(lo, 5) AS rolling_sr_min, round(hi, 5) AS rolling_sr_max FROM k4 LEFT JOIN ({rolling}) USING (tau)"""
+
+
+def oracle_rolling() -> str:
+    """tau and the extremes of the rolling Sharpe ratio."""
+    return f"""{BASE}, nn AS (SELECT tau, least(252, greatest(30, count(*) // 5)) AS w FROM ser GROUP BY tau),
+roll AS (SELECT a.tau, a.u, any_value(w) AS w, coalesce(avg(b.r) / nullif(stddev_samp(b.r), 0) * sqrt(52.0::DOUBLE), 0) AS s
+  FROM ser a JOIN nn USING (tau) JOIN ser b ON b.tau = a.tau AND b.u BETWEEN a.u - w + 1 AND a.u WHERE a.u >= w - 1 GROUP BY 1, 2)
+SELECT tau, any_value(w) AS w, min(s) AS lo, max(s) AS hi FROM roll GROUP BY tau"""
+
+
 def oracle() -> dict[str, str]:
     """Name -> SQL."""
     hac_auto = f"{BASE}, {MOMENTS}, {BANDWIDTH}, {hac(AUTO)}"
@@ -360,10 +412,8 @@ SELECT tau AS threshold, label AS lag_label, bandwidth AS used_bandwidth, round(
 b AS (SELECT tau, any_value(n) AS n, max(se) FILTER (label = 'iid') AS si, max(se) FILTER (label = 'hac') AS sh, max(bandwidth) FILTER (label = 'hac') AS bw FROM h GROUP BY tau)
 SELECT tau AS threshold, round(greatest(1.0, least(n::DOUBLE, n * pow(si / sh, 2))), 4) AS n_eff_sr, round(si, 4) AS se_iid_delta, round(sh, 4) AS se_hac_delta, round(sh / si, 4) AS se_inflation, bw AS hac_bandwidth FROM b""",
         "block_lengths": f"{BASE}, {MOMENTS}, {BLOCKS} SELECT tau AS threshold, n, b AS block_size FROM bl",
-        "rolling_sharpe": f"""{BASE}, nn AS (SELECT tau, least(252, greatest(30, count(*) // 5)) AS w FROM ser GROUP BY tau),
-roll AS (SELECT a.tau, a.u, any_value(w) AS w, coalesce(avg(b.r) / nullif(stddev_samp(b.r), 0) * sqrt(52.0::DOUBLE), 0) AS s
-  FROM ser a JOIN nn USING (tau) JOIN ser b ON b.tau = a.tau AND b.u BETWEEN a.u - w + 1 AND a.u WHERE a.u >= w - 1 GROUP BY 1, 2)
-SELECT tau AS threshold, w AS rolling_window, round(min(s), 4) AS rolling_sr_min, round(max(s), 4) AS rolling_sr_max FROM roll GROUP BY 1, 2""",
+        "rolling_sharpe": f"SELECT tau AS threshold, w AS rolling_window, round(lo, 4) AS rolling_sr_min, round(hi, 4) AS rolling_sr_max FROM ({oracle_rolling()})",
+        "stationarity": stationarity_sql(),
         "bootstrap_iid": shown("iid"),
         "bootstrap_moving_block": shown("moving_block"),
         "bootstrap_stationary": shown("stationary"),

@@ -63,3 +63,28 @@ def test_inflation_is_floored(spark):
     rows = spark.createDataFrame([("a", 0.0, 2.0), ("b", 0.0, 0.5), ("c", 0.0, None)], "panel_id string, threshold double, sei double")
     got = {r.panel_id: tuple(r)[3:] for r in robustness.inflation(rows).collect()}
     assert got == {"a": (4.0, 4.0, 0.25, 0.25), "b": (0.25, 1.0, 4.0, 1.0), "c": (None,) * 4}
+
+
+def plain_root_t(r):
+    """A regression for each choice of lags."""
+    n, step = len(r), np.diff(r)
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+
+    def fit(lags, start):
+        y = step[start:]
+        x = np.column_stack([r[start:-1], np.ones(len(y)), *(step[start - k : len(step) - k] for k in range(1, lags + 1))])
+        beta, *_ = np.linalg.lstsq(x, y, rcond=None)
+        rss = float(((y - x @ beta) ** 2).sum())
+        aic = len(y) * (math.log(2 * math.pi * rss / len(y)) + 1) + 2 * x.shape[1]
+        return aic, beta[0] / math.sqrt((np.linalg.pinv(x.T @ x) * rss / (len(y) - x.shape[1]))[0, 0])
+
+    return fit(*[min(range(most + 1), key=lambda k: fit(k, most)[0])] * 2)[1]
+
+
+def test_unit_root_by_one_matrix():
+    rng = np.random.default_rng(1)
+    for n in (30, 61, 357, 2600):
+        noise = rng.normal(0, 0.02, n)
+        follows = np.convolve(noise, 0.6 ** np.arange(8))[:n]
+        for r in (noise, noise.cumsum(), follows):
+            assert abs(robustness.unit_root_t(r) - plain_root_t(r)) < 1e-8
