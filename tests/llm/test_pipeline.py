@@ -8,6 +8,7 @@ import pytest
 import sentencepiece
 
 import corpus_pipeline as cp
+from panelspark import tables as tables_module
 from panelspark.llm import quality_classifier as qc
 from test_decontamination import plain as plain_hits
 from test_near_copies import plain_groups
@@ -110,3 +111,10 @@ def test_classifier_equals_a_plain_fit(spark):
         assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
         assert abs(got[i].score - score[i]) < 2e-3, i
         assert got[i].predicted == int(got[i].score >= 0.5)
+
+
+def test_only_the_result_stays_on_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables_module, "shared_dir", lambda _: str(tmp_path))
+    rows = cp.run(spark, "/root/testdata/sf0.001")
+    assert [p.name.split("-")[:2] for p in tmp_path.iterdir()] == [["stage", "4"]]
+    assert rows.count() > 0
