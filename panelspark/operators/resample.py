@@ -266,7 +266,7 @@ def white_reality_check(dates: DataFrame, draws: int, seed: int) -> DataFrame:
 def permuted_sharpe(
     panel: DataFrame, thresholds: tuple[float, ...], perms: int, seed: int, annualise: float, group: Column | None = None, exposure: str = "as_selected"
 ) -> DataFrame:
-    """NULL_DRAWS: panel_id, threshold, perm and sharpe with (pred, conf) dealt anew among the
+    """NULL_DRAWS: panel_id, threshold, perm, seed (with perm it gives the draw again) and sharpe with (pred, conf) dealt anew among the
     entities of a date (and of a group, if one is given). A task has a block of dates, once, goes through all
     permutations and returns sums; each entity's turn is a counter of (seed, perm, t_idx, e_idx)."""
 
@@ -292,7 +292,7 @@ def permuted_sharpe(
         return pd.concat(out)
 
     sums = dated_blocks(panel, group).groupBy("panel_id", "dates").applyInPandas(deal, "panel_id string, threshold double, perm int, n long, s1 double, s2 double")
-    return sharpe_of_sums(sums, [*KEYS, "perm"], annualise)
+    return sharpe_of_sums(sums, [*KEYS, "perm"], annualise).select(*KEYS, "perm", F.lit(seed).alias("seed"), "sharpe")
 
 
 def null_summary(draws: DataFrame, observed: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:

@@ -432,7 +432,7 @@ SELECT tau AS threshold, round(p, 5) AS p, round(least(1.0, p * m), 5) AS p_bonf
         "deflated_sharpe": f"""{BASE}, sh AS (SELECT tau, count(*) AS n, skewness(r) AS sk, kurtosis(r) + 3 AS ku, {sharpe("r", 1.0)} AS sr FROM ser GROUP BY tau),
 d AS (SELECT *, {star} / sqrt(n - 1.0::DOUBLE) AS st, 1 - sk * sr + (ku - 1) / 4 * sr * sr AS sp FROM sh), z AS (SELECT *, (sr - st) * sqrt(n - 1.0::DOUBLE) / sqrt(sp) AS z FROM d)
 SELECT tau AS threshold, round({normal_cdf_sql("z")}, 5) AS dsr, round(st * sqrt(52.0::DOUBLE), 5) AS sr_star, round(sk, 5) AS skew, round(ku, 5) AS kurtosis FROM z""",
-        "permutation_draws": f"{BASE}, {permuted('0')} SELECT tau AS threshold, perm, round(s, 5) AS sharpe FROM nulls",
+        "permutation_draws": f"{BASE}, {permuted('0')} SELECT tau AS threshold, perm, {SEED}::BIGINT AS seed, round(s, 5) AS sharpe FROM nulls",
         "grouped_permutation": summary_of(f"{BASE}, {permuted('e // 5')}", 5, OBSERVED),
         "signal_permutation": summary_of(f"{BASE}, {permuted('0', 'nxt AS raw, pred, c AS conf', 'conf')}", 5, OBSERVED),
         "turnover": turn(WEIGHTS),
