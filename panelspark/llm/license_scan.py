@@ -36,7 +36,8 @@ from panelspark.llm.common import NON_WORD, ascii_lower, text_or_empty, written
 #: phrase -> label
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: The notices by which licenses are usually granted, and our labels.
+#: The notices by which licenses are usually granted, the opening parts of their texts (-full), and
+#: whole texts of the short licenses (-text). A template's label is its name without that ending.
 TEMPLATES = {
     "agpl-3-notice": "licensed under the GNU Affero General Public License version 3",
     "agpl-3-full": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
@@ -44,9 +45,9 @@ TEMPLATES = {
     "apache-2-full": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "bsd-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-full": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
-    "cc-by-4-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-nc-4-notice": "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
-    "cc-by-sa-4-notice": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
+    "cc-by-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License",
+    "cc-by-nc-notice": "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
+    "cc-by-sa-notice": "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
     "gpl-3-notice": "This work is licensed under the GNU General Public License, version 3",
     "gpl-3-full": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     "isc-full": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -55,6 +56,11 @@ TEMPLATES = {
     "mit-short-notice": "Released under the MIT License",
     "mpl-2-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "unlicense-full": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "zlib-text": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
 }
 WIDTHS = (8, 16, 32, 64, 128, 256)
 
@@ -109,6 +115,11 @@ def vocabulary_order(docs: DataFrame, vocabulary: list[str]) -> list[str]:
     return sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
 
 
+def label_of(template: str) -> str:
+    """The label of a template: its name without ``-notice``, ``-full`` or ``-text``."""
+    return re.sub(r"(-short)?-(notice|full|text)$", "", template)
+
+
 def width_of(template: str) -> int:
     """The least of ``WIDTHS`` that holds a template (the largest, for longer ones)."""
     n = len(words_of(template))
@@ -184,9 +195,10 @@ def scan_licenses(
     found = reaching.groupBy("row").agg(F.collect_list(F.struct("label", reached_by.alias("reach"))).alias("all"))
     over = rivals(sets, threshold)
     rival = F.create_map(*(x for k in sets for x in (F.lit(k), F.array(*map(F.lit, over[k])) if over[k] else F.array().cast("array<string>"))))
+    names = F.create_map(*(x for k in sets for x in (F.lit(k), F.lit(label_of(k)))))
     beaten = lambda x: F.exists("all", lambda y: F.array_contains(F.element_at(rival, x["label"]), y["label"]) & (y["reach"] > x["reach"]))
     found = found.select(
-        "row", F.transform(F.filter("all", lambda x: ~beaten(x)), lambda x: x["label"]).alias("found"),
+        "row", F.transform(F.filter("all", lambda x: ~beaten(x)), lambda x: F.element_at(names, x["label"])).alias("found"),
         F.array_max(F.transform("all", lambda x: x["reach"]["share"])).alias("containment"),
     )
     method = F.coalesce("found", F.array().cast("array<string>"))
@@ -235,8 +247,9 @@ met AS (
   FROM block JOIN t ON block.width = t.width WHERE len(list_intersect(block, t.words)) >= need),
 best AS (SELECT id, label, max(c) AS c, max(s) AS s FROM met GROUP BY 1, 2),
 rival(label, other) AS ({rival_rows}),
+named(label, name) AS (VALUES {", ".join(f"('{k}', '{label_of(k)}')" for k in templates)}),
 own AS (
-  SELECT id, list(label) AS labels, max(c) AS best FROM best AS x
+  SELECT id, list(DISTINCT name) AS labels, max(c) AS best FROM best AS x JOIN named USING (label)
   WHERE NOT EXISTS (SELECT 1 FROM best AS y JOIN rival ON other = y.label WHERE rival.label = x.label AND y.id = x.id AND (y.c > x.c OR (y.c = x.c AND y.s > x.s)))
   GROUP BY id)
 SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,

@@ -22,7 +22,7 @@ def plain(text, threshold=0.8):
             reach[k] = (most / len(want), most)
     beaten = {k for k in reach for j in reach if j != k and len(sets[j] & sets[k]) >= threshold * len(sets[k]) and reach[j] > reach[k]}
     own, best = set(reach) - beaten, max((c for c, _ in reach.values()), default=0.0)
-    base = {label for _, label in places}
+    own, base = {ls.label_of(k) for k in own}, {label for _, label in places}
     at = [i for i, _ in places]
     return (len(words), len(places), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | own)), round(1.0 if places else best, 6))
 
@@ -36,10 +36,15 @@ def test_scan_equals_plain(spark):
 def test_wrapped_notices_are_found(spark):
     """Notices broken over lines, with other words around them; the one of two alike that fits best wins."""
     wrap = lambda t, n: "\n * ".join(" ".join(t.split()[i : i + n]) for i in range(0, len(t.split()), n))
-    labels = ("mit-full", "bsd-full", "gpl-3-full", "agpl-3-full", "apache-2-full", "unlicense-full")
+    labels = ("mit-full", "bsd-full", "gpl-3-full", "agpl-3-full", "apache-2-full", "unlicense-full", "bsd-text", "isc-text", "mit-text", "unlicense-text", "zlib-text")
     docs = spark.createDataFrame([(i, "some words before " * 9 + wrap(ls.TEMPLATES[k], 7) + " and after" * 30) for i, k in enumerate(labels)], "doc_id long, text string")
-    got = {r.doc_id: set(r.labels.split(",")) - set(r.base_labels.split(",")) for r in ls.scan_licenses(docs).collect()}
-    assert got == {i: {k} for i, k in enumerate(labels)}
+    got = {r.doc_id: r.labels for r in ls.scan_licenses(docs).collect()}
+    assert got == {i: ls.label_of(k) for i, k in enumerate(labels)}
+
+
+def test_labels_are_the_licenses():
+    assert ls.label_of("mit-short-notice") == ls.label_of("mit-text") == "mit" and ls.label_of("gpl-3-full") == "gpl-3" and ls.label_of("other") == "other"
+    assert set(ls.PHRASES.values()) <= {ls.label_of(k) for k in ls.TEMPLATES}
 
 
 def test_empty_table(spark):
