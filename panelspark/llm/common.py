@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000, size: int = 64 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
     """Bound the rows and bytes of an Arrow batch, so that very long texts fit a Python worker (a single
     text beyond the bytes is a batch of its own). This sets the session for what runs after it as well."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

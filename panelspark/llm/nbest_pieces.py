@@ -50,8 +50,8 @@ LONG = 256
 class Pieces:
     """A model's pieces, and segmentation by them."""
 
-    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], model) -> None:
-        self.pieces, self.byte_ids, self.model = pieces, byte_ids, model
+    def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int], model, keep: int = KEEP_PARTS) -> None:
+        self.pieces, self.byte_ids, self.model, self.keep = pieces, byte_ids, model, keep
         self.root: dict = {}  # character -> [following characters, (score, id) of the piece that ends here or None]
         for piece, (i, score) in pieces.items():
             following, node = self.root, None
@@ -74,13 +74,13 @@ class Pieces:
         self.listed: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
 
     @classmethod
-    def load(cls, path: str) -> Pieces:
-        """From a SentencePiece model file."""
+    def load(cls, path: str, keep: int = KEEP_PARTS) -> Pieces:
+        """From a SentencePiece model file; up to twice ``keep`` parts, of some 300 bytes each, are remembered."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        return cls({model.id_to_piece(i): (i, model.get_score(i)) for i in plain}, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], model)
+        return cls({model.id_to_piece(i): (i, model.get_score(i)) for i in plain}, [model.piece_to_id(f"<0x{b:02X}>") for b in range(256)], model, keep)
 
     def encode(self, part: str) -> array:
         """The model's own encoding of a text with its leading space, or of a part of one."""
@@ -188,7 +188,7 @@ class Pieces:
         encoding, first = self.encode(part).tobytes(), self.ids(part, [(starts[e], ends[e], pieces[e]) for e in reversed(path)]).tobytes()
         found = (encoding, best[n], best[n] - second, encoding if first == encoding else first)
         if n <= KEEP_CHARS:
-            if len(self.known) >= KEEP_PARTS:
+            if len(self.known) >= self.keep:
                 self.known, self.older = {}, self.known
             self.known[part] = found
         return found
@@ -258,16 +258,16 @@ class Pieces:
 
 
 @functools.lru_cache(maxsize=2)
-def _pieces(path: str) -> Pieces:
-    return Pieces.load(path)
+def _pieces(path: str, keep: int = KEEP_PARTS) -> Pieces:
+    return Pieces.load(path, keep)
 
 
-def encoded(text: Column, model_path: str, n: int = 4) -> Column:
+def encoded(text: Column, model_path: str, n: int = 4, keep: int = KEEP_PARTS) -> Column:
     """A struct of ids, scores and nbest (the ids) of the ``n`` best segmentations, and round_trip for a column of texts."""
 
     @F.pandas_udf("ids array<int>, scores array<double>, nbest array<array<int>>, round_trip boolean")
     def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = _pieces(model_path)
+        pieces = _pieces(model_path, keep)
         for batch in batches:
             out = []
             for text in batch:
@@ -279,12 +279,12 @@ def encoded(text: Column, model_path: str, n: int = 4) -> Column:
     return of_batches(text)
 
 
-def encoding(text: Column, model_path: str, n: int = 4) -> Column:
+def encoding(text: Column, model_path: str, n: int = 4, keep: int = KEEP_PARTS) -> Column:
     """The same with nbest_sha256, a digest of each of the ``n`` best, in place of their ids."""
 
     @F.pandas_udf("ids array<int>, scores array<double>, nbest_sha256 array<string>, round_trip boolean")
     def of_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        pieces = _pieces(model_path)
+        pieces = _pieces(model_path, keep)
         for batch in batches:
             out = []
             for text in batch:
@@ -308,10 +308,12 @@ def decoded(ids: Column, model_path: str) -> Column:
     return of_batches(ids)
 
 
-def encode(docs: DataFrame, model_path: str, n: int = 4, lists: bool = False) -> DataFrame:
-    """doc_id, ids, scores, nbest_sha256 (with ``lists`` nbest, the ids of the ``n`` best) and round_trip of every row of ``docs``."""
+def encode(docs: DataFrame, model_path: str, n: int = 4, lists: bool = False, keep: int = 100_000) -> DataFrame:
+    """doc_id, ids, scores, nbest_sha256 (with ``lists`` nbest, the ids of the ``n`` best) and round_trip of every row of ``docs``.
+
+    Workers stay between the stages of a pipeline, so here they remember fewer parts (``keep``) than in :func:`segment`."""
     own = encoded if lists else encoding
-    return docs.select("doc_id", own(F.col("text"), model_path, n).alias("encoded")).select("doc_id", "encoded.*")
+    return docs.select("doc_id", own(F.col("text"), model_path, n, keep).alias("encoded")).select("doc_id", "encoded.*")
 
 
 def segment(docs: DataFrame, model_path: str, n: int = 4) -> DataFrame:

@@ -8,8 +8,6 @@ words give the same hash wherever they stand.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 
 _U = np.uint64
@@ -18,20 +16,22 @@ _BYTE_BASE, _RUN_BASES = 0x9E3779B97F4A7C15, (0xD1342543DE82EF95, 0xAF251AF3B0F0
 _BYTE_VALUES = np.random.default_rng(20_240_229).integers(0, 2**64, 256, dtype=np.uint64)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-
-
-@functools.lru_cache(maxsize=16)
-def _powers(base: int, length: int, inverse: bool) -> np.ndarray:
-    if inverse:
-        base = pow(base, -1, 2**64)
-    values = np.full(length, base, dtype=np.uint64)
-    values[0] = 1
-    return np.multiply.accumulate(values)
+#: The longest powers so far of each base and of its inverse, from which shorter ones are cut.
+_POWERS: dict[tuple[int, bool], np.ndarray] = {}
+#: Longer ones than this aren't kept.
+KEEP_POWERS = 1 << 19
 
 
 def powers(base: int, length: int, inverse: bool = False) -> np.ndarray:
     """The first ``length`` powers of ``base`` (or of its inverse); sizes are rounded up for reuse."""
-    return _powers(base, 1 << max(12, (length - 1).bit_length()), inverse)[:length]
+    held = _POWERS.get((base, inverse))
+    if held is None or len(held) < length:
+        held = np.full(1 << max(12, (length - 1).bit_length()), pow(base, -1, 2**64) if inverse else base, dtype=np.uint64)
+        held[0] = 1
+        held = np.multiply.accumulate(held)
+        if len(held) <= KEEP_POWERS:
+            _POWERS[base, inverse] = held
+    return held[:length]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
