@@ -13,8 +13,8 @@ encoded as its bytes, so that decoding gives it back.
 
 The lattice falls apart where no piece crosses: before a run of spaces, at line breaks,
 and, in parts of over ``LONG`` characters, at any such place; what is left in one piece is
-held in flat arrays, some 30 bytes for each place and node. Each part is solved by a forward Viterbi pass; a backward pass gives the score
-of the best segmentation other than the best one. The N best of a text deviate in at
+held in flat arrays. Each part is solved by a forward Viterbi pass, which carries the two best scores of
+each place. The N best of a text deviate in at
 most N - 1 parts, those with the nearest second best. There a backward A-star search
 takes the forward scores as its heuristic, which is exact, so segmentations come out
 of it in order. Sums of the parts' lists then give the text's N best.
@@ -167,26 +167,43 @@ class Pieces:
         if part in self.older:
             found = self.known[part] = self.older.pop(part)
             return found
-        starts, ends, scores, pieces, best, via = self.forward(part)
-        path, at = array("q"), n
+        root, unknown = self.root, self.unknown
+        if n <= LONG:  # lists are faster, arrays are smaller
+            best, second, back, name = [0.0] + [-math.inf] * n, [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        else:
+            best, second = array("d", [0.0]) + array("d", [-math.inf]) * n, array("d", [-math.inf]) * (n + 1)
+            back, name = array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        written = part.replace(SPACE, "\0").replace(" ", SPACE)
+        for i in range(n):
+            node, j, upto, under = root.get(written[i]), i, best[i], second[i]
+            if node is None or node[1] is None:
+                through, so_far = upto + unknown, best[i + 1]
+                if through > so_far:
+                    second[i + 1] = max(so_far, under + unknown)
+                    best[i + 1], back[i + 1], name[i + 1] = through, i, -1
+                elif through > second[i + 1]:
+                    second[i + 1] = through
+            while node is not None:
+                following, piece = node
+                j += 1
+                if piece is not None:
+                    score, which = piece
+                    through, so_far = upto + score, best[j]
+                    if through > so_far:
+                        other = under + score
+                        second[j] = so_far if so_far > other else other
+                        best[j], back[j], name[j] = through, i, which
+                    elif through > second[j]:
+                        second[j] = through
+                if j == n:
+                    break
+                node = following.get(written[j])
+        path, at = [], n
         while at:
-            path.append(via[at])
-            at = starts[via[at]]
-        # the best score from each place on, and the best way that leaves the best path
-        rest, second, edge, on = [-math.inf] * n + [0.0] if n <= LONG else array("d", [-math.inf]) * n + array("d", [0.0]), -math.inf, len(ends), 0
-        ahead = path[0]
-        for i, j, score in zip(reversed(starts), reversed(ends), reversed(scores)):  # noqa: B905
-            edge -= 1
-            through = score + rest[j]
-            if through > rest[i]:
-                rest[i] = through
-            if edge == ahead:
-                on += 1
-                ahead = path[on] if on < len(path) else -1
-            elif best[i] + through > second:
-                second = best[i] + through
-        encoding, first = self.encode(part).tobytes(), self.ids(part, [(starts[e], ends[e], pieces[e]) for e in reversed(path)]).tobytes()
-        found = (encoding, best[n], best[n] - second, encoding if first == encoding else first)
+            path.append((back[at], at, name[at]))
+            at = back[at]
+        encoding, first = self.encode(part).tobytes(), self.ids(part, path[::-1]).tobytes()
+        found = (encoding, best[n], best[n] - second[n], encoding if first == encoding else first)
         if n <= KEEP_CHARS:
             if len(self.known) >= self.keep:
                 self.known, self.older = {}, self.known
