@@ -260,7 +260,9 @@ ser AS (SELECT tau, u, r FROM al), {MOMENTS}, {BANDWIDTH}, {", ".join(steps)},
 sc AS (SELECT tau, u, n, m_0_{last} AS alpha, bandwidth, ({through(last + 1)}) * (r - ({through(last)})) AS g FROM al JOIN g{last} USING (tau) JOIN (SELECT tau, bandwidth FROM bw) USING (tau)),
 vv AS (SELECT tau, any_value(a.n) AS n, any_value(a.alpha) AS alpha, any_value(a.bandwidth) AS lag, sum(CASE WHEN k = 0 THEN 1 ELSE 2 * (1 - k / (a.bandwidth + 1.0::DOUBLE)) END * a.g * b.g) AS v
   FROM sc a CROSS JOIN LATERAL (SELECT unnest(range(0, least(a.bandwidth, a.n - 1) + 1)) AS k) JOIN sc b USING (tau) WHERE b.u = a.u + k GROUP BY tau)
-SELECT tau, n, alpha, sqrt(greatest(v, 0)) AS se, lag, alpha / sqrt(v) AS t, 1 - {normal_cdf_sql("alpha / sqrt(v)")} AS p FROM vv"""
+SELECT tau, coalesce(n, 0) AS n, alpha, se, lag, alpha / nullif(se, 0) AS t, coalesce(1 - {normal_cdf_sql("alpha / nullif(se, 0)")}, 1) AS p
+FROM (SELECT unnest([{", ".join(f"{x}::DOUBLE" for x in THRESHOLDS)}]) AS tau)
+  LEFT JOIN (SELECT tau, n, CASE WHEN n >= 30 THEN alpha END AS alpha, CASE WHEN n >= 30 THEN sqrt(greatest(v, 0)) END AS se, CASE WHEN n >= 30 THEN lag END AS lag FROM vv) USING (tau)"""
 
 
 FACTS = f"""SELECT tau, hs, qs, h.p AS hac_p, b.p AS boot_p, p_adjusted AS rw_p, gross, net, o.p_positive AS perm_p, o.status AS perm_status, o.permutation_informative AS informative, r.p AS row_p,
