@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Longest part that is remembered, and how many are, by themselves and with their lists.
-KEEP_CHARS, KEEP_PARTS, KEEP_LISTS = 64, 300_000, 20_000
+KEEP_CHARS, KEEP_PARTS, KEEP_LISTS = 64, 600_000, 20_000
 #: Parts longer than this are cut wherever no piece crosses.
 LONG = 256
 
