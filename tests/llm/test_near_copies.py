@@ -208,3 +208,49 @@ def test_family_just_below_the_limit(spark, monkeypatch):
     got = dict(map(tuple, nc.group_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
     assert got == dict(plain_groups(rows))
     assert max(counted) <= 1.2 * counted[0]
+
+
+def test_blocks_give_fewer_links_than_texts(spark):
+    """A family of which all pairs are close by the sketches: what a block gives follows its texts, and connects all that is alike."""
+    rng = random.Random(23)
+    template = [f"t{i}" for i in range(120)]
+    texts, group = [], {}
+    for i in range(150):  # thirty drafts, below the limit, of five texts each, above it
+        if i % 5 == 0:
+            draft = list(template)
+            for at in range(i // 5 % 3 * 2, 120, 30):
+                draft[at] = f"d{i}-{at}"
+            draft += [f"e{i}-{k}" for k in range(10)]
+        own = list(draft)
+        if i % 5:
+            own[rng.randrange(8, 100)] = f"c{i}"
+        texts.append(" ".join(own))
+        group[i] = i // 5 * 5
+    sets = [nc.shingles_of(t, 5) for t in texts]
+    alike = lambda a, b: (both := len(np.intersect1d(sets[a], sets[b]))) / (len(sets[a]) + len(sets[b]) - both) >= 0.8
+    assert all(alike(a, b) == (group[a] == group[b]) for a in group for b in group if a % 5 == 0)
+    prints = nc.wide_fingerprints(texts, 5)
+    nodes = spark.createDataFrame([(i, len(x), p.tolist()) for i, (x, p) in enumerate(zip(sets, prints, strict=True))], "node long, size int, fingerprint array<long>")
+    members = spark.createDataFrame([(0, 9, i) for i in range(150)] + [(1, 3, i) for i in range(0, 150, 2)], "part int, key long, node long")
+    roots = spark.createDataFrame([(i, 0) for i in range(1, 5)], "node long, root long")
+    own = spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "node long, shingles binary")
+    for room, shingles in ((10, 1000), (1000, nc.SHINGLES_AT_ONCE)):
+        pairs = nc.crossed_pairs(members, roots, nodes, 700, room).count()
+        rows = nc.close_rows(members, roots, nodes, 700, room, shingles)
+        assert rows.filter(f"role = {nc.TOLD}").groupBy("part", "key", "block", "sub").count().filter("count > 30").isEmpty() == (room == 10)
+        links = [tuple(r) for r in nc.crossed_links(nc.in_order(rows.join(own, "node"), "sub"), 0.8, 700).collect()]
+        assert pairs > 9000 and all(alike(a, b) and group[a] == group[b] for a, b in links)
+        assert room == 10 or len(links) <= 149 + 74
+        found = {r.node: r.root for r in nc.connected_components(spark.createDataFrame(links + [(i, 0) for i in range(1, 5)], "a long, b long")).collect()}
+        assert found == group
+
+
+def test_many_alike_short_texts_give_few_links(spark, monkeypatch):
+    """Short texts beyond a block's room: all that is alike is connected, by fewer links than there are pairs."""
+    counted = []
+    plain = nc.crossed_links
+    monkeypatch.setattr(nc, "crossed_links", lambda *a: counted.append((found := plain(*a)).count()) or found)
+    rows = [(i, " ".join(["same", "first", "words", "of", "all"] + [f"{'abcdefgh'[i % 8]}{k}" for k in range(20)] + [f"x{i}"])) for i in range(160)]
+    got = dict(map(tuple, nc.group_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), room=16).collect()))
+    assert got == dict(plain_groups(rows))
+    assert sum(counted) <= 2 * len(rows)
