@@ -254,3 +254,16 @@ def test_many_alike_short_texts_give_few_links(spark, monkeypatch):
     got = dict(map(tuple, nc.group_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), room=16).collect()))
     assert got == dict(plain_groups(rows))
     assert sum(counted) <= 2 * len(rows)
+
+
+def test_all_that_is_computed_counts(spark, monkeypatch):
+    """Keys have met once, and no job runs between that and what they give."""
+    spark.sparkContext.setJobGroup("keys-met", "")
+    ran = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("keys-met"))
+    jobs, met, central = [], nc.shared_keys, nc.central_pairs
+    monkeypatch.setattr(nc, "shared_keys", lambda *a: (met(*a), jobs.append(ran()))[0])
+    monkeypatch.setattr(nc, "central_pairs", lambda members: (jobs.append(ran()), central(members))[1])
+    rows = [(i, " ".join(f"w{i % 7}-{k}" for k in range(80)) + f" x{i}") for i in range(60)]
+    got = dict(map(tuple, nc.group_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == {i: i % 7 for i in range(60)}
+    assert len(jobs) == 2 and 0 < jobs[0] == jobs[1]
