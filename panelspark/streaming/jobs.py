@@ -42,8 +42,14 @@ def finished(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
 
 
 def to_files(frame: DataFrame, work_dir: str, name: str) -> DataStreamWriter:
-    """Append to the table ``name``, one file a micro-batch, so that the order of files is that of batches."""
-    return frame.coalesce(1).writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{work_dir}/checkpoints/{name}").option("path", f"{work_dir}/{name}")
+    """Append to the table ``name``."""
+    return frame.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{work_dir}/checkpoints/{name}").option("path", f"{work_dir}/{name}")
+
+
+def one_file(frame: DataFrame) -> DataFrame:
+    """Rows for one file a micro-batch, so that the order of files is that of batches. They are shuffled to its task: only
+    put together, all of the query's state would be gone through there as well."""
+    return frame.repartition(1)
 
 
 def event_source(spark: SparkSession, path: str, files: int | None, beats: str | None) -> DataFrame:
@@ -55,13 +61,14 @@ def event_source(spark: SparkSession, path: str, files: int | None, beats: str |
 def close_days(spark: SparkSession, path: str, work_dir: str, files: int | None = None, entities: int = 5, delay: str = "1 day", beats: str | None = None) -> StreamingQuery:
     """Append the days that the events under ``path``, and the heartbeats under ``beats``, have closed to ``days``."""
     seen = event_source(spark, path, files, beats)
-    return finished(spark, to_files(events.closed_days(seen, entities, delay), work_dir, "days"))
+    return finished(spark, to_files(one_file(events.closed_days(seen, entities, delay)), work_dir, "days"))
 
 
 def close_sessions(
     spark: SparkSession, path: str, work_dir: str, files: int | None = None, gap: str = "30 minutes", delay: str = "1 day", beats: str | None = None
 ) -> StreamingQuery:
-    """Append the sessions that the events under ``path``, and the heartbeats under ``beats``, have closed to ``sessions``."""
+    """Append the sessions that the events under ``path``, and the heartbeats under ``beats``, have closed to ``sessions``,
+    a file from each task that holds users."""
     seen = event_source(spark, path, files, beats)
     return finished(spark, to_files(events.sessions(seen, gap, delay), work_dir, "sessions"))
 
@@ -70,7 +77,7 @@ def take_days(spark: SparkSession, work_dir: str, thresholds: tuple[float, ...],
     """Append the date returns that ``days`` gives to ``dates``."""
     reader = spark.readStream.schema(events.CLOSED)
     days = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{work_dir}/days")
-    return finished(spark, to_files(returns.date_returns(days, thresholds, lookback, skip), work_dir, "dates"))
+    return finished(spark, to_files(one_file(returns.date_returns(days, thresholds, lookback, skip)), work_dir, "dates"))
 
 
 def summarise(spark: SparkSession, work_dir: str, annualise: float, files: int | None = None, source: str = "dates") -> StreamingQuery:
@@ -79,7 +86,7 @@ def summarise(spark: SparkSession, work_dir: str, annualise: float, files: int |
     dates = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{work_dir}/{source}")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{work_dir}/summaries/batch={number}")
+        one_file(batch).write.mode("overwrite").parquet(f"{work_dir}/summaries/batch={number}")
 
     writer = returns.running_summary(dates, annualise).writeStream.outputMode("update").foreachBatch(keep)
     return finished(spark, writer.option("checkpointLocation", f"{work_dir}/checkpoints/summaries"))

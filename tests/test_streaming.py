@@ -121,6 +121,15 @@ def test_sessions_equal_batch(spark, tmp_path):
     assert key(found) == key(events.sessions(table, gap))
 
 
+def test_sessions_are_closed_by_many_tasks(spark, tmp_path):
+    """No task goes through all users: each writes those it holds."""
+    events.heartbeat(spark, f"{tmp_path}/beats", FAR)
+    jobs.close_sessions(spark, f"{SMALL}/events.parquet*", str(tmp_path), gap="6 hours", beats=f"{tmp_path}/beats")
+    found = spark.read.parquet(f"{tmp_path}/sessions").groupBy(F.input_file_name().alias("file")).agg(F.countDistinct("user_id").alias("users"))
+    users = [r.users for r in found.collect()]
+    assert len(users) > 1 and max(users) < sum(users)
+
+
 def test_midranks():
     import numpy as np
 
